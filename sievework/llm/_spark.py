@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
@@ -28,11 +30,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back.
 
     Cuts the lineage so that what follows survives lost executors without running the work before
-    it again, and so that values which could differ between attempts are fixed once.
+    it again, and so that values which could differ between attempts are fixed once. The shuffle
+    files behind the written rows go when the write ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/sievework/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sievework/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_keys(*columns: Column | str) -> list[Column]:

@@ -195,9 +195,9 @@ def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None =
     look = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_run", "_core", (F.col("_n") == 1).alias("_alone"))).alias("_runs"))
     windows = map_batches(plain.join(look, ["_k1", "_k2"]), _window_rows(unit, threshold), "_k1 long, _k2 long, _run long, _core long, _window long, _alone boolean")
     equal = windows.groupBy("_core", "_window").agg(F.count("*").alias("_n")).where("_n >= 2").select("_core", "_window")
-    edges = windows.where("_alone").join(equal, ["_core", "_window"], "left_semi")
+    edges = settle(windows.where("_alone").join(equal, ["_core", "_window"], "left_semi").select("_k1", "_k2", "_run"), "edges")
 
-    runs = left.where("_one").select("_k1", "_k2", "_run").unionByName(same.select("_k1", "_k2", "_run")).unionByName(edges.select("_k1", "_k2", "_run"))
+    runs = left.where("_one").select("_k1", "_k2", "_run").unionByName(same.select("_k1", "_k2", "_run")).unionByName(edges)
     listed = runs.groupBy("_k1", "_k2").agg(F.collect_list("_run").alias("_runs"))
     out = schema_of(keyed.drop("_k1", "_k2", "_text"), ("kept", "binary"), ("removed", "array<struct<start: bigint, end: bigint>>"))
     return map_batches(keyed.join(listed, ["_k1", "_k2"], "left"), _cut(unit, threshold), out)
