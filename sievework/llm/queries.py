@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format, mixing, packing, quality_rules
 from .suffix_dedup import suffix_dedup
 
 
@@ -14,6 +15,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of `documents`, under the base and the standard policy."""
+    found = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality_rules.MEASURES, "failed_bits", (~quality_rules.passes("base-1")).alias("base_failed"), quality_rules.passes("standard-1").alias("kept"))
+
+
+_W = r"[^\x20\x09-\x0D]"
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+    SELECT r, doc_id, t, regexp_extract_all(t, '{_W}+') AS ws,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS ls
+    FROM d
+),
+pos AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+g AS (
+    SELECT r, i, CASE WHEN lead(x, 4) OVER o IS NOT NULL THEN
+        concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) END AS g
+    FROM pos WINDOW o AS (PARTITION BY r ORDER BY i)
+),
+f AS (SELECT r, i, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY r, g) > 1 THEN 1 ELSE 0 END AS f FROM g),
+c AS (SELECT r, max(f) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM f),
+n AS (SELECT r, sum(c) AS n FROM c GROUP BY r),
+m AS (
+    SELECT doc_id, len(ws)::BIGINT AS n_words,
+           length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           len(ls)::BIGINT AS n_lines,
+           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+           coalesce(n, 0)::BIGINT AS n_repeat_words
+    FROM w LEFT JOIN n USING (r)
+),
+b AS (
+    SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+        + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+        + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
+        + CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END
+        + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END)::BIGINT AS failed_bits
+    FROM m
+)
+SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
+"""
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`conversations` and conversation -1, folded, rendered, and read back from what was rendered."""
+    control = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    chats = chat_format.format_chats(chat_format.events_of(rows))
+    read = chats.select("conv_id", chat_format.parse(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP2_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+o AS (
+    SELECT *, length(role) + length(text) + 20
+        + length(role || text) - length(replace(replace(replace(role || text, chr(92), ''), '<', ''), '[', '')) AS n
+    FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in sequences of at most 2048 tokens."""
+    return packing.sequences(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` mixed to 150% of their words, sources weighing 5, 2, 1 in turn."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of `documents` in 400-byte strings that also start anywhere else."""
     found = suffix_dedup(table(spark, sf_dir, "documents"), unit="byte", threshold=400)
@@ -28,7 +115,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_chat_format": op2_chat_format,
+    "op4_packing": op4_packing,
+    "op5_mixing": op5_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op2_chat_format": OP2_SQL,
+}
