@@ -183,8 +183,9 @@ def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None =
     cores = map_batches(plain, _core_rows(unit, threshold), "_k1 long, _k2 long, _run long, _core long, _span long")
 
     # Pass 1. Groups of one core occurrence drop out; where all spans agree, all windows are repeated.
+    # What is counted is written before it is joined: Spark splits a hot key's side of a join of two shuffles.
     shared = cores.groupBy("_core").agg(F.count("*").alias("_n"), F.min("_span").alias("_low"), F.max("_span").alias("_high")).where("_n >= 2")
-    left = settle(cores.join(shared.select("_core", (F.col("_low") == F.col("_high")).alias("_one")), "_core"), "cores")
+    left = settle(cores.join(settle(shared.select("_core", (F.col("_low") == F.col("_high")).alias("_one")), "shared"), "_core"), "cores")
 
     # Pass 2. Of the rest, spans that occur twice are repeated; each distinct span goes on as one row.
     mixed = left.where("NOT _one")
@@ -194,7 +195,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None =
     # Pass 3. Single windows, to the full depth.
     look = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_run", "_core", (F.col("_n") == 1).alias("_alone"))).alias("_runs"))
     windows = map_batches(plain.join(look, ["_k1", "_k2"]), _window_rows(unit, threshold), "_k1 long, _k2 long, _run long, _core long, _window long, _alone boolean")
-    equal = windows.groupBy("_core", "_window").agg(F.count("*").alias("_n")).where("_n >= 2").select("_core", "_window")
+    equal = settle(windows.groupBy("_core", "_window").agg(F.count("*").alias("_n")).where("_n >= 2").select("_core", "_window"), "equal")
     edges = settle(windows.where("_alone").join(equal, ["_core", "_window"], "left_semi").select("_k1", "_k2", "_run"), "edges")
 
     runs = left.where("_one").select("_k1", "_k2", "_run").unionByName(same.select("_k1", "_k2", "_run")).unionByName(edges)
