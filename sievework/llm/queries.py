@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, mixing, packing, quality_rules
 from .suffix_dedup import suffix_dedup
+from .vptree import nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +102,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, of all `embeddings`."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.5)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of `documents` in 400-byte strings that also start anywhere else."""
     found = suffix_dedup(table(spark, sf_dir, "documents"), unit="byte", threshold=400)
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
+    "op6_nearest": op6_nearest,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
 
