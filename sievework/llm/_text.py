@@ -106,11 +106,11 @@ def slices(batch: pa.RecordBatch, name: str, most: int = SLICE_BYTES) -> Iterato
         start = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = WHITE_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte places of all words; words of row i are first[i]:first[i + 1]."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~WHITE_SPACE[data]
+    solid = ~gaps[data]
     before, after = np.empty_like(solid), np.empty_like(solid)
     before[0] = after[-1] = False
     before[1:], after[:-1] = solid[:-1], solid[1:]

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_rules
+from . import chat_format, license_scan, mixing, packing, quality_rules
+from .dart_minhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .vptree import nearest
 
@@ -120,6 +121,42 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8).select("doc_id", "class_id", "kept")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of which at least 0.8 of the shingles are in a document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"), containment=0.8).select("doc_id", "license", "n_shared", "n_shingles")
+
+
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES.items())
+_T = r"(?:[A-Za-z0-9]|[^\x00-\x7F])+"
+OP9_SQL = rf"""
+WITH t(license, t) AS (VALUES {_TEMPLATE_ROWS}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (
+    SELECT license, 0 AS r, unnest(w) AS x, generate_subscripts(w, 1) AS i
+    FROM (SELECT license, regexp_extract_all(lower(t), '{_T}') AS w FROM t)
+    UNION ALL
+    SELECT NULL, r, unnest(w), generate_subscripts(w, 1)
+    FROM (SELECT r, regexp_extract_all(lower(t), '{_T}') AS w FROM d)
+),
+s AS (
+    SELECT DISTINCT license, r, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g
+    FROM p WINDOW o AS (PARTITION BY license, r ORDER BY i) QUALIFY lead(x, 4) OVER o IS NOT NULL
+),
+n AS (SELECT license, count(*) AS n_shingles FROM s WHERE r = 0 GROUP BY license),
+m AS (
+    SELECT a.license, b.r, count(*) AS n_shared
+    FROM s a JOIN s b ON a.g = b.g AND a.r = 0 AND b.r > 0 GROUP BY a.license, b.r
+)
+SELECT doc_id, license, n_shared, n_shingles
+FROM m JOIN n USING (license) JOIN d USING (r) WHERE n_shared >= 0.8 * n_shingles
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -127,9 +164,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_nearest": op6_nearest,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_dart_minhash": op8_dart_minhash,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op2_chat_format": OP2_SQL,
+    "op9_license_scan": OP9_SQL,
 }
