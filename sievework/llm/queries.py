@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, mixing, packing, quality_classifier, quality_rules
+from . import chat_format, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules
 from .dart_minhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .vptree import nearest
@@ -92,6 +92,13 @@ FROM o GROUP BY conv_id
 """
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    field = html_extract.fit(html_extract.example_pages())
+    found = html_extract.extract(table(spark, sf_dir, "pages"), field)
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` in sequences of at most 2048 tokens."""
     return packing.sequences(table(spark, sf_dir, "documents"), capacity=2048)
@@ -167,6 +174,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op3_html_extract": op3_html_extract,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op6_nearest": op6_nearest,
