@@ -180,7 +180,7 @@ class Field:
         return [*reversed([*states, state])]
 
 
-def fit(pages: Iterable[tuple[str, str]], steps: int = 300, ridge: float = 0.02, rate: float = 0.5) -> Field:
+def fit(pages: Iterable[tuple[str, str]], steps: int = 300, ridge: float = 0.002, rate: float = 0.5) -> Field:
     """Maximum likelihood by forward-backward and AdaGrad. pages: (html, main text); a block is main
     if its text is a line of the main text."""
     found, states = [], []
