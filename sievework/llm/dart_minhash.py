@@ -12,9 +12,11 @@ the similarity of the sets.
 Bands of ROWS coordinates are joined. Two documents of similarity s share a band with probability
 1 - (1 - s^ROWS)^BANDS: above 0.999994 at 0.8. Equal sets are one vertex from the start. In each
 bucket members are held against one hub (its least member), exactly, on whole shingle sets, in two
-rounds of one row per member; what is still in different components of one bucket is then compared
-member by member, so no link of a bucket that could join two classes is lost, and groups of thousands
-of copies cost one comparison per member.
+rounds of one row per member; so groups of thousands of copies cost one comparison per member. What
+is still in different components of one bucket then meets member by member, so that no link which
+could join two classes is lost: first in the join itself by sketches (four bits of each coordinate),
+where a pair goes on unless it disagrees more often than a pair at the threshold ever would (SURE
+standard deviations, 1e-5), then exactly.
 
 Defined results: null, empty and blank texts have no shingles, are never linked and are classes of
 their own; texts of fewer words than a shingle are one shingle; ties go to the least id; repeated rows
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import map_batches, row_keys, schema_of, settle, text_or_empty
@@ -38,6 +40,7 @@ from .components import components
 
 SHINGLE, ROWS, BANDS = 5, 6, 40
 COORDINATES = ROWS * BANDS
+SURE = 4.4
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -125,20 +128,42 @@ def band_keys(ids: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
+def sketches(ids: np.ndarray) -> np.ndarray:
+    """Four bits of every coordinate, sixteen to a 64-bit number."""
+    n, t = ids.shape
+    bits = np.zeros((n, -(-t // 16) * 16), dtype=U64)
+    bits[:, :t] = ids & U64(15)
+    shifts = np.arange(0, 64, 4, dtype=U64)
+    return np.bitwise_or.reduce(bits.reshape(n, -1, 16) << shifts, axis=2)
+
+
+def _differing(x: str, y: str, length: int) -> Column:
+    """In how many coordinates two sketch columns differ."""
+    total = F.lit(0)
+    for i in range(length):
+        z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(z)
+    return total
+
+
 def _signature_rows(width: int, rows: int, bands: int, weighted: bool):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "_text"):
             keys, counts, first = shingle_sets(*buffers(part.column("_text")), width)
             n, size = part.num_rows, np.diff(first)
             weights = counts.astype(np.float64) if weighted else np.ones(len(keys))
-            found = band_keys(signatures(keys, weights, first, rows * bands), rows)
+            ids = signatures(keys, weights, first, rows * bands)
+            found, short = band_keys(ids, rows), sketches(ids)
             marked = mix64(keys ^ mix64(counts.astype(U64))) if weighted else mix64(keys)
             total = np.concatenate([np.zeros(1, U64), np.cumsum(marked)])
             label = mix64(total[first[1:]] - total[first[:-1]] + size.astype(U64))
             full = np.flatnonzero(size > 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((size > 0) * bands)]).astype(np.int32)), pa.array(found[full].ravel().view(np.int64)))
+            drawn = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * short.shape[1], pa.int32()), pa.array(short.ravel().view(np.int64)))
             names = [c for c in part.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.where(size > 0, label, U64(0)).view(np.int64)), pa.array(size.astype(np.int64)), lists], names=[*names, "_set", "_size", "_bands"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.where(size > 0, label, U64(0)).view(np.int64)), pa.array(size.astype(np.int64)), lists, drawn], names=[*names, "_set", "_size", "_bands", "_sketch"])
 
     return run
 
@@ -176,9 +201,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     carry = [c for c in (carry or []) if c != id_column]
     keyed = docs.select(F.col(f"`{id_column}`"), *(F.col(f"`{c}`") for c in carry), text_or_empty(text).alias("_text")).select("*", *row_keys(f"`{id_column}`", *(f"`{c}`" for c in carry if c != text), "_text"))
     plain = keyed.drop("_text")
-    signed = settle(map_batches(keyed, _signature_rows(width, rows, bands, weighted), schema_of(plain, ("_set", "bigint"), ("_size", "bigint"), ("_bands", "array<bigint>"))), "signatures")
+    signed = settle(map_batches(keyed, _signature_rows(width, rows, bands, weighted), schema_of(plain, ("_set", "bigint"), ("_size", "bigint"), ("_bands", "array<bigint>"), ("_sketch", "array<bigint>"))), "signatures")
 
-    distinct = signed.where("_size > 0").groupBy("_set").agg(F.first("_size").alias("_size"), F.first("_bands").alias("_bands"), F.first("_k1").alias("_k1"), F.first("_k2").alias("_k2"))
+    distinct = signed.where("_size > 0").groupBy("_set").agg(F.first("_size").alias("_size"), F.first("_bands").alias("_bands"), F.first("_sketch").alias("_sketch"), F.first("_k1").alias("_k1"), F.first("_k2").alias("_k2"))
     distinct = settle(distinct, "distinct")
     buckets = distinct.select("_set", "_size", F.explode("_bands").alias("_band"))
     hubs = settle(buckets.groupBy("_band").agg(F.min("_set").alias("_hub"), F.max("_set").alias("_high")).where("_hub != _high").select("_band", "_hub"), "hubs")
@@ -207,10 +232,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     # The rest, exactly: members of one bucket that are still in different components.
     placed = in_groups(groups, "_set")
     several = settle(placed.groupBy("_band").agg(F.min("_set_group").alias("_low"), F.max("_set_group").alias("_high")).where("_low != _high").select("_band"), "several")
-    open_ = settle(placed.join(several, "_band").where("_set != _hub").select("_band", "_set", "_size", "_set_group"), "open")
-    x, y = (open_.select("_band", *(F.col(c).alias(f"{c}_{side}") for c in ("_set", "_size", "_set_group"))) for side in "xy")
+    open_ = placed.join(several, "_band").where("_set != _hub").select("_band", "_set", "_size", "_set_group")
+    open_ = settle(open_.join(distinct.select("_set", "_sketch"), "_set"), "open")
+    x, y = (open_.select("_band", *(F.col(c).alias(f"{c}_{side}") for c in ("_set", "_size", "_set_group", "_sketch"))) for side in "xy")
     smaller, larger = F.least("_size_x", "_size_y"), F.greatest("_size_x", "_size_y")
-    meeting = x.join(y, "_band").where((F.col("_set_x") < F.col("_set_y")) & (F.col("_set_group_x") != F.col("_set_group_y")) & (F.lit(weighted) | (smaller >= similarity * larger - 1e-9)))
+    t, agree = rows * bands, similarity + (1 - similarity) / 16
+    most = math.ceil(t * (1 - agree) + SURE * math.sqrt(t * agree * (1 - agree)))
+    could = (F.lit(weighted) | (smaller >= similarity * larger - 1e-9)) & (_differing("_sketch_x", "_sketch_y", -(-t // 16)) <= most)
+    meeting = x.join(y, (x["_band"] == y["_band"]) & (F.col("_set_x") < F.col("_set_y")) & (F.col("_set_group_x") != F.col("_set_group_y")) & could)
     third = settle(meeting.select(F.col("_set_x").alias("a"), F.col("_set_y").alias("b")).distinct().join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     groups = grouped(links.unionByName(_linked(third, sets, similarity)))
 
