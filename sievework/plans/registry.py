@@ -1,4 +1,4 @@
-"""All registered queries of the screening engine, with their SQL."""
+"""Registration of queries: each has a name that starts with its operator's number, and its SQL if SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,6 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "r03_reference_screening"
+FLAGSHIP = "r03_reference_verdicts"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import scalars  # noqa: F401
