@@ -250,11 +250,11 @@ def f28(spark, d):
     return rows.select("event_id", F.substring("coded", 1, 6).alias("frame"), T.decrypt_field(F.col("coded"), key).alias("back"))
 
 
-@query("f29_levenshtein_gate", sql(_PAIRS.format(N.format("a.title[:60]"), N.format("b.title[:60]")) + """
+@query("f29_levenshtein_gate", sql(_PAIRS.format(r"regexp_replace(" + N.format("a.title[:60]") + r", '[^\x00-\x7F]', '', 'g')", r"regexp_replace(" + N.format("b.title[:60]") + r", '[^\x00-\x7F]', '', 'g')") + """
 SELECT ref_id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 1 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END::DOUBLE, 6) AS ratio FROM pairs
 """, "records", "refs"))
 def f29(spark, d):
-    x, y = (T.normalize_text(F.substring(c, 1, 60)) for c in ("title", "r_title"))
+    x, y = (F.regexp_replace(T.normalize_text(F.substring(c, 1, 60)), r"[^\x00-\x7F]", "") for c in ("title", "r_title"))
     return _neighbours(spark, d).select("ref_id", F.round(T.levenshtein_ratio(x, y), 6).alias("ratio"))
 
 
