@@ -40,7 +40,8 @@ from .components import components
 
 SHINGLE, ROWS, BANDS = 5, 6, 40
 COORDINATES = ROWS * BANDS
-SURE = 4.4
+#: Coordinates of the sketches of the last round, and how many standard deviations they may be off.
+SKETCH, SURE = 1024, 4.4
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -137,15 +138,26 @@ def sketches(ids: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(n, -1, 16) << shifts, axis=2)
 
 
-def _differing(x: str, y: str, length: int) -> Column:
+def _differing(x: Column, y: Column) -> Column:
     """In how many coordinates two sketch columns differ."""
-    total = F.lit(0)
-    for i in range(length):
-        z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+
+    def unequal(a: Column, b: Column) -> Column:
+        z = a.bitwiseXOR(b)
         z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(z)
-    return total
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda total, n: total + n)
+
+
+def _sketch_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    listed = batch.column("_elements")
+    first = listed.offsets.to_numpy().astype(np.int64)
+    keys = listed.values.to_numpy().view(U64)[first[0] : first[-1]]
+    for at in range(0, batch.num_rows, 256):  # so many sets at once
+        own = first[at : at + 257] - first[0]
+        short = sketches(signatures(keys[own[0] : own[-1]], np.ones(own[-1] - own[0]), own - own[0], SKETCH))
+        drawn = pa.ListArray.from_arrays(pa.array(np.arange(len(own)) * short.shape[1], pa.int32()), pa.array(short.ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("_set").slice(at, 256), drawn], names=["_set", "_sketch"])
 
 
 def _signature_rows(width: int, rows: int, bands: int, weighted: bool):
@@ -154,16 +166,14 @@ def _signature_rows(width: int, rows: int, bands: int, weighted: bool):
             keys, counts, first = shingle_sets(*buffers(part.column("_text")), width)
             n, size = part.num_rows, np.diff(first)
             weights = counts.astype(np.float64) if weighted else np.ones(len(keys))
-            ids = signatures(keys, weights, first, rows * bands)
-            found, short = band_keys(ids, rows), sketches(ids)
+            found = band_keys(signatures(keys, weights, first, rows * bands), rows)
             marked = mix64(keys ^ mix64(counts.astype(U64))) if weighted else mix64(keys)
             total = np.concatenate([np.zeros(1, U64), np.cumsum(marked)])
             label = mix64(total[first[1:]] - total[first[:-1]] + size.astype(U64))
             full = np.flatnonzero(size > 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((size > 0) * bands)]).astype(np.int32)), pa.array(found[full].ravel().view(np.int64)))
-            drawn = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * short.shape[1], pa.int32()), pa.array(short.ravel().view(np.int64)))
             names = [c for c in part.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.where(size > 0, label, U64(0)).view(np.int64)), pa.array(size.astype(np.int64)), lists, drawn], names=[*names, "_set", "_size", "_bands", "_sketch"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.where(size > 0, label, U64(0)).view(np.int64)), pa.array(size.astype(np.int64)), lists], names=[*names, "_set", "_size", "_bands"])
 
     return run
 
@@ -201,9 +211,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     carry = [c for c in (carry or []) if c != id_column]
     keyed = docs.select(F.col(f"`{id_column}`"), *(F.col(f"`{c}`") for c in carry), text_or_empty(text).alias("_text")).select("*", *row_keys(f"`{id_column}`", *(f"`{c}`" for c in carry if c != text), "_text"))
     plain = keyed.drop("_text")
-    signed = settle(map_batches(keyed, _signature_rows(width, rows, bands, weighted), schema_of(plain, ("_set", "bigint"), ("_size", "bigint"), ("_bands", "array<bigint>"), ("_sketch", "array<bigint>"))), "signatures")
+    signed = settle(map_batches(keyed, _signature_rows(width, rows, bands, weighted), schema_of(plain, ("_set", "bigint"), ("_size", "bigint"), ("_bands", "array<bigint>"))), "signatures")
 
-    distinct = signed.where("_size > 0").groupBy("_set").agg(F.first("_size").alias("_size"), F.first("_bands").alias("_bands"), F.first("_sketch").alias("_sketch"), F.first("_k1").alias("_k1"), F.first("_k2").alias("_k2"))
+    distinct = signed.where("_size > 0").groupBy("_set").agg(F.first("_size").alias("_size"), F.first("_bands").alias("_bands"), F.first("_k1").alias("_k1"), F.first("_k2").alias("_k2"))
     distinct = settle(distinct, "distinct")
     buckets = distinct.select("_set", "_size", F.explode("_bands").alias("_band"))
     hubs = settle(buckets.groupBy("_band").agg(F.min("_set").alias("_hub"), F.max("_set").alias("_high")).where("_hub != _high").select("_band", "_hub"), "hubs")
@@ -232,13 +242,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     # The rest, exactly: members of one bucket that are still in different components.
     placed = in_groups(groups, "_set")
     several = settle(placed.groupBy("_band").agg(F.min("_set_group").alias("_low"), F.max("_set_group").alias("_high")).where("_low != _high").select("_band"), "several")
-    open_ = placed.join(several, "_band").where("_set != _hub").select("_band", "_set", "_size", "_set_group")
-    open_ = settle(open_.join(distinct.select("_set", "_sketch"), "_set"), "open")
-    x, y = (open_.select("_band", *(F.col(c).alias(f"{c}_{side}") for c in ("_set", "_size", "_set_group", "_sketch"))) for side in "xy")
-    smaller, larger = F.least("_size_x", "_size_y"), F.greatest("_size_x", "_size_y")
-    t, agree = rows * bands, similarity + (1 - similarity) / 16
-    most = math.ceil(t * (1 - agree) + SURE * math.sqrt(t * agree * (1 - agree)))
-    could = (F.lit(weighted) | (smaller >= similarity * larger - 1e-9)) & (_differing("_sketch_x", "_sketch_y", -(-t // 16)) <= most)
+    open_ = settle(placed.join(several, "_band").where("_set != _hub").select("_band", "_set", "_set_group"), "open")
+    opened = settle(sets.join(open_.select("_set").distinct(), "_set"), "opened")
+    bodies = opened.select("_set", F.explode("_elements").alias("_element"))
+    found_once = F.count("*") == 1
+    lone = bodies.groupBy("_element").agg(F.first("_set").alias("_set"), found_once.alias("_once")).where("_once").groupBy("_set").agg(F.count("*").alias("_lone"))
+    drawn = map_batches(opened, _sketch_rows, "_set long, _sketch array<bigint>")
+    facts = opened.select("_set", F.size("_elements").alias("_n")).join(lone, "_set", "left").join(drawn, "_set")
+    open_ = settle(open_.join(facts, "_set").withColumn("_lone", F.coalesce("_lone", F.lit(0))), "open")
+    sides = ("_set", "_set_group", "_n", "_lone", "_sketch")
+    x, y = (open_.select("_band", *(F.col(c).alias(f"{c}_{side}") for c in sides)) for side in "xy")
+    # What only one open set holds is never shared: that bounds the similarity from above.
+    most_shared = F.least(F.col("_n_x") - F.col("_lone_x"), F.col("_n_y") - F.col("_lone_y"))
+    least_union = F.greatest(F.col("_n_x") + F.col("_lone_y"), F.col("_n_y") + F.col("_lone_x"))
+    agree = similarity + (1 - similarity) / 16
+    most = math.ceil(SKETCH * (1 - agree) + SURE * math.sqrt(SKETCH * agree * (1 - agree)))
+    could = (most_shared >= similarity * least_union - 1e-9) & (_differing(F.col("_sketch_x"), F.col("_sketch_y")) <= most)
     meeting = x.join(y, (x["_band"] == y["_band"]) & (F.col("_set_x") < F.col("_set_y")) & (F.col("_set_group_x") != F.col("_set_group_y")) & could)
     third = settle(meeting.select(F.col("_set_x").alias("a"), F.col("_set_y").alias("b")).distinct().join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     groups = grouped(links.unionByName(_linked(third, sets, similarity)))
