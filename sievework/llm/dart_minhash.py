@@ -276,10 +276,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The rows of `docs` that stand for their classes in `found`, one each (same columns as there)."""
     carry = [c for c in (carry or []) if c != id_column]
-    keyed = docs.select("*", *row_keys(F.col(f"`{id_column}`"), *(F.col(f"`{c}`") for c in carry if c != text), text_or_empty(text)))
     # Blank texts are classes of their own, so equal rows of them all stay.
     blank = F.length(F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]+", "")) == 0
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    keyed = docs.select(whole, blank.alias("_blank"), *row_keys(F.col(f"`{id_column}`"), *(F.col(f"`{c}`") for c in carry if c != text), text_or_empty(text)))
     rows = found.where("kept").groupBy("_k1", "_k2").agg(F.count("*").alias("_rows"))
     stay = keyed.join(rows, ["_k1", "_k2"])
-    single = (F.col("_rows") == 1) | blank
-    return stay.where(single).unionByName(stay.where(~single).dropDuplicates(["_k1", "_k2"])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    single = (F.col("_rows") == 1) | F.col("_blank")
+    return stay.where(single).unionByName(stay.where(~single).dropDuplicates(["_k1", "_k2"])).select("_row.*")

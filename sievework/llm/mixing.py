@@ -150,10 +150,9 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", carry: list
 def repeat(docs: DataFrame, mixed: DataFrame, source: str = "source", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The mix itself: every row of `docs` as often as `mixed` (of the same columns) takes it."""
     carry = ["doc_id"] if carry is None else carry
-    columns = docs.columns
-    keyed = docs.select("*", *row_keys(*(F.col(f"`{c}`") for c in carry if c != text), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")), text_or_empty(text)))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_keys(*(F.col(f"`{c}`") for c in carry if c != text), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")), text_or_empty(text)))
     plan = mixed.groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
     found = keyed.join(plan, ["_k1", "_k2"])
     # Rows that are wholly the same share their copies; one of them stands for all.
     once = found.where("_rows = 1").unionByName(found.where("_rows > 1").dropDuplicates(["_k1", "_k2"]))
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in columns))
+    return once.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select("_row.*")
