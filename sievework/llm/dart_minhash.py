@@ -249,8 +249,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     lone = bodies.groupBy("_element").agg(F.first("_set").alias("_set"), found_once.alias("_once")).where("_once").groupBy("_set").agg(F.count("*").alias("_lone"))
     drawn = map_batches(opened, _sketch_rows, "_set long, _sketch array<bigint>")
     facts = opened.select("_set", F.size("_elements").alias("_n")).join(lone, "_set", "left").join(drawn, "_set")
-    open_ = settle(open_.join(facts, "_set").withColumn("_lone", F.coalesce("_lone", F.lit(0))), "open")
-    sides = ("_set", "_set_group", "_n", "_lone", "_sketch")
+    at = F.array_position("_bands", F.col("_band")).cast("int")
+    open_ = settle(open_.join(facts, "_set").join(distinct.select("_set", "_bands"), "_set").withColumn("_lone", F.coalesce("_lone", F.lit(0))).withColumn("_before", F.slice("_bands", 1, at - 1)).drop("_bands"), "open")
+    sides = ("_set", "_set_group", "_n", "_lone", "_sketch", "_before")
     x, y = (open_.select("_band", *(F.col(c).alias(f"{c}_{side}") for c in sides)) for side in "xy")
     # What only one open set holds is never shared: that bounds the similarity from above.
     most_shared = F.least(F.col("_n_x") - F.col("_lone_x"), F.col("_n_y") - F.col("_lone_y"))
@@ -258,8 +259,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     agree = similarity + (1 - similarity) / 16
     most = math.ceil(SKETCH * (1 - agree) + SURE * math.sqrt(SKETCH * agree * (1 - agree)))
     could = (most_shared >= similarity * least_union - 1e-9) & (_differing(F.col("_sketch_x"), F.col("_sketch_y")) <= most)
+    # A pair comes out of the first of the bands that it shares.
+    could = could & ~F.exists(F.zip_with("_before_x", "_before_y", lambda a, b: a == b), lambda same: same)
     meeting = x.join(y, (x["_band"] == y["_band"]) & (F.col("_set_x") < F.col("_set_y")) & (F.col("_set_group_x") != F.col("_set_group_y")) & could)
-    third = settle(meeting.select(F.col("_set_x").alias("a"), F.col("_set_y").alias("b")).distinct().join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
+    third = settle(meeting.select(F.col("_set_x").alias("a"), F.col("_set_y").alias("b")).join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     groups = grouped(links.unionByName(_linked(third, sets, similarity)))
 
     named = groups.select(F.col("vertex").alias("_set"), F.col("component").alias("_group"))
