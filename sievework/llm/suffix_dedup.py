@@ -182,15 +182,17 @@ def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None =
     plain = keyed.select("_k1", "_k2", "_text")
     cores = map_batches(plain, _core_rows(unit, threshold), "_k1 long, _k2 long, _run long, _core long, _span long")
 
-    # Pass 1. Groups of one core occurrence drop out; where all spans agree, all windows are repeated.
+    # Pass 1. Groups of one core occurrence drop out; the commonest span of each core is settled at once.
     # What is counted is written before it is joined: Spark splits a hot key's side of a join of two shuffles.
-    shared = cores.groupBy("_core").agg(F.count("*").alias("_n"), F.min("_span").alias("_low"), F.max("_span").alias("_high")).where("_n >= 2")
-    left = settle(cores.join(settle(shared.select("_core", (F.col("_low") == F.col("_high")).alias("_one")), "shared"), "_core"), "cores")
+    counted = cores.groupBy("_core", "_span").agg(F.count("*").alias("_n"))
+    shared = counted.groupBy("_core").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_kinds"), F.max("_n").alias("_most"), F.max_by("_span", "_n").alias("_top")).where("_rows >= 2")
+    done = (F.col("_span") == F.col("_top")) & (F.col("_most") >= 2)
+    left = settle(cores.join(settle(shared, "shared"), "_core").select("_k1", "_k2", "_run", "_core", "_span", done.alias("_done"), (F.col("_kinds") > 1).alias("_mixed")), "cores")
 
-    # Pass 2. Of the rest, spans that occur twice are repeated; each distinct span goes on as one row.
-    mixed = left.where("NOT _one")
+    # Pass 2. Where spans differ, others that occur twice are repeated too; each distinct span goes on as one row.
+    mixed = left.where("_mixed")
     spans = settle(mixed.groupBy("_core", "_span").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in ("_k1", "_k2", "_run"))), "spans")
-    same = mixed.join(spans.where("_n >= 2").select("_core", "_span"), ["_core", "_span"], "left_semi")
+    same = mixed.where("NOT _done").join(spans.where("_n >= 2").select("_core", "_span"), ["_core", "_span"], "left_semi")
 
     # Pass 3. Single windows, to the full depth.
     look = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_run", "_core", (F.col("_n") == 1).alias("_alone"))).alias("_runs"))
@@ -198,7 +200,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None =
     equal = settle(windows.groupBy("_core", "_window").agg(F.count("*").alias("_n")).where("_n >= 2").select("_core", "_window"), "equal")
     edges = settle(windows.where("_alone").join(equal, ["_core", "_window"], "left_semi").select("_k1", "_k2", "_run"), "edges")
 
-    runs = left.where("_one").select("_k1", "_k2", "_run").unionByName(same.select("_k1", "_k2", "_run")).unionByName(edges)
+    runs = left.where("_done").select("_k1", "_k2", "_run").unionByName(same.select("_k1", "_k2", "_run")).unionByName(edges)
     listed = runs.groupBy("_k1", "_k2").agg(F.collect_list("_run").alias("_runs"))
     out = schema_of(keyed.drop("_k1", "_k2", "_text"), ("kept", "binary"), ("removed", "array<struct<start: bigint, end: bigint>>"))
     return map_batches(keyed.join(listed, ["_k1", "_k2"], "left"), _cut(unit, threshold), out)
