@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import analytics, matching, scalars  # noqa: F401
+    from . import analytics, ingest, matching, scalars, state, structuring  # noqa: F401
