@@ -22,7 +22,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 WHITE_SPACE = np.zeros(256, dtype=bool)
 WHITE_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that one numpy pass handles.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -42,6 +42,8 @@ SHINGLE, ROWS, BANDS = 5, 6, 40
 COORDINATES = ROWS * BANDS
 #: Coordinates of the sketches of the last round, and how many standard deviations they may be off.
 SKETCH, SURE = 1024, 4.4
+#: Darts that one numpy pass throws where strips have many.
+DARTS_AT_ONCE = 1 << 19
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -74,19 +76,22 @@ def _throw(strip: np.ndarray, row: np.ndarray, limit: np.ndarray, width: np.ndar
 
 
 def _throw_many(strip: np.ndarray, row: np.ndarray, limit: np.ndarray, width: np.ndarray, t: int):
-    """The same darts for strips with many of them, all steps at once."""
-    steps = np.ceil(limit + 8 * np.sqrt(limit) + 16).astype(np.int64)
-    begin = np.concatenate([[0], np.cumsum(steps)])
-    of = np.repeat(np.arange(len(strip)), steps)
-    k = (np.arange(begin[-1]) - begin[of] + 1).astype(U64)
-    dart = mix64(strip[of] + k * _STEP)
-    total = np.cumsum(-np.log(unit(dart)))
-    rank = total - np.concatenate([[0.0], total])[begin[of]]
-    live = rank < limit[of]
-    of, rank, dart = of[live], rank[live], dart[live]
-    other = mix64(dart ^ U64(0x5851F42D4C957F2D))
-    seen = unit(mix64(other)) < width[of]
-    yield row[of[seen]], (other[seen] % U64(t)).astype(np.int64), rank[seen], dart[seen]
+    """The same darts for strips with many of them: all steps at once, DARTS_AT_ONCE at a time."""
+    every = np.ceil(limit + 8 * np.sqrt(limit) + 16).astype(np.int64)
+    part = np.cumsum(every) // DARTS_AT_ONCE
+    for own in np.split(np.arange(len(strip)), np.flatnonzero(np.diff(part)) + 1):
+        steps = every[own]
+        begin = np.concatenate([[0], np.cumsum(steps)])
+        of = np.repeat(np.arange(len(own)), steps)
+        k = (np.arange(begin[-1]) - begin[of] + 1).astype(U64)
+        dart = mix64(strip[own][of] + k * _STEP)
+        total = np.cumsum(-np.log(unit(dart)))
+        rank = total - np.concatenate([[0.0], total])[begin[of]]
+        live = rank < limit[own][of]
+        of, rank, dart = own[of[live]], rank[live], dart[live]
+        other = mix64(dart ^ U64(0x5851F42D4C957F2D))
+        seen = unit(mix64(other)) < width[of]
+        yield row[of[seen]], (other[seen] % U64(t)).astype(np.int64), rank[seen], dart[seen]
 
 
 def signatures(keys: np.ndarray, weights: np.ndarray, first: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -107,7 +112,7 @@ def signatures(keys: np.ndarray, weights: np.ndarray, first: np.ndarray, t: int
         use = todo[row]
         best.reshape(n, t)[todo] = np.inf
         for big, throw in ((False, _throw), (True, _throw_many)):
-            pick = use & ((limit[row] > 16) == big)
+            pick = use & ((limit[row] > 64) == big)
             if not pick.any():
                 continue
             for r, c, rank, dart in throw(strip[pick], row[pick], limit[row[pick]], width[pick], t):
@@ -153,11 +158,11 @@ def _sketch_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     listed = batch.column("_elements")
     first = listed.offsets.to_numpy().astype(np.int64)
     keys = listed.values.to_numpy().view(U64)[first[0] : first[-1]]
-    for at in range(0, batch.num_rows, 256):  # so many sets at once
-        own = first[at : at + 257] - first[0]
+    for at in range(0, batch.num_rows, 64):  # so many sets at once
+        own = first[at : at + 65] - first[0]
         short = sketches(signatures(keys[own[0] : own[-1]], np.ones(own[-1] - own[0]), own - own[0], SKETCH))
         drawn = pa.ListArray.from_arrays(pa.array(np.arange(len(own)) * short.shape[1], pa.int32()), pa.array(short.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("_set").slice(at, 256), drawn], names=["_set", "_sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("_set").slice(at, 64), drawn], names=["_set", "_sketch"])
 
 
 def _signature_rows(width: int, rows: int, bands: int, weighted: bool):
