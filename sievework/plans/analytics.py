@@ -14,7 +14,11 @@ from .registry import query
 from .scalars import N, prefix_match, search_terms
 
 AS_OF = "2024-01-31 00:00:00"
-NOW = F.lit(AS_OF).cast("timestamp")
+
+
+def now() -> Column:
+    """The instant that recency is measured from: a parameter, never the clock."""
+    return F.lit(AS_OF).cast("timestamp")
 
 
 def log_filter(df: DataFrame, verdicts=None, since=None, until=None, user_id=..., workspace_id=...) -> DataFrame:
@@ -43,7 +47,7 @@ _STATS = "count(*) AS total, count(*) FILTER (verdict = 'PASS') AS n_pass, count
 @query("a02_log_stats", sql(f"SELECT {_STATS}, count(*) FILTER (created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS last_30d FROM logs", "logs"))
 def a02(spark, d):
     n = lambda v: F.count_if(F.col("verdict") == v)
-    return logs(spark, d).agg(F.count("*").alias("total"), n("PASS").alias("n_pass"), n("REVIEW").alias("n_review"), n("FAIL").alias("n_fail"), F.count_if(F.col("created_at") >= NOW - F.expr("INTERVAL 30 DAYS")).alias("last_30d"))
+    return logs(spark, d).agg(F.count("*").alias("total"), n("PASS").alias("n_pass"), n("REVIEW").alias("n_review"), n("FAIL").alias("n_fail"), F.count_if(F.col("created_at") >= now() - F.expr("INTERVAL 30 DAYS")).alias("last_30d"))
 
 
 @query("a03_dashboard", sql(f"SELECT workspace_id, {_STATS}, count(*) FILTER (status = 'parsing') AS n_parsing, count(*) FILTER (status = 'error') AS n_error, count(*) FILTER (created_at >= TIMESTAMP '1998-01-01' - INTERVAL 7 DAY) AS last_7d FROM manuscripts GROUP BY workspace_id", "manuscripts"))
@@ -270,12 +274,12 @@ def p12(spark, d):
 
 @query("p14_live_tokens", "SELECT event_id FROM events WHERE event_type <> 'error' AND ts + INTERVAL 7 DAY >= TIMESTAMP '2024-01-31'")
 def p14(spark, d):
-    return table(spark, d, "events").where((F.col("event_type") != "error") & (F.col("ts") + F.expr("INTERVAL 7 DAYS") >= NOW)).select("event_id")
+    return table(spark, d, "events").where((F.col("event_type") != "error") & (F.col("ts") + F.expr("INTERVAL 7 DAYS") >= now())).select("event_id")
 
 
 @query("p15_recency", "SELECT user_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS last_7d, count(*) FILTER (ts >= TIMESTAMP '2024-01-01') AS last_30d FROM events GROUP BY user_id")
 def p15(spark, d):
-    recent = lambda days: F.count_if(F.col("ts") >= NOW - F.expr(f"INTERVAL {days} DAYS"))
+    recent = lambda days: F.count_if(F.col("ts") >= now() - F.expr(f"INTERVAL {days} DAYS"))
     return table(spark, d, "events").groupBy("user_id").agg(recent(7).alias("last_7d"), recent(30).alias("last_30d"))
 
 
