@@ -390,3 +390,46 @@ def u07(spark, d):
 @query("u09_latest_wins", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def u09(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("p13_active_scope", "SELECT s_suppkey AS user_id, n_name AS workspace FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey % 2 = 0")
+def p13(spark, d):
+    """The active workspace where the user still is a member, else none (personal)."""
+    members = table(spark, d, "nation").where("n_regionkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("workspace"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), "s_nationkey").join(members, "s_nationkey", "left").select("user_id", "workspace")
+
+
+@query("p16_retention", sql("SELECT id, status FROM manuscripts WHERE status = 'error' AND created_at <= TIMESTAMP '1996-01-01' - INTERVAL 72 HOUR", "manuscripts"))
+def p16(spark, d):
+    cutoff = F.lit("1996-01-01").cast("timestamp") - F.expr("INTERVAL 72 HOURS")
+    return manuscripts(spark, d).where((F.col("status") == "error") & (F.col("created_at") <= cutoff)).select("id", "status")
+
+
+@query("r11_export_pages", sql("SELECT (k - 1) // 500 AS page, count(*) AS n, min(id) AS low, max(id) AS high FROM (SELECT id, row_number() OVER (PARTITION BY status ORDER BY id) AS k FROM manuscripts WHERE status = 'parsing') GROUP BY 1", "manuscripts"))
+def r11(spark, d):
+    """Pages of 500 rows for an export: rows are numbered inside stretches of 4096 ids and shifted by
+    the counts of the stretches before, so no task sorts them all."""
+    dealt = manuscripts(spark, d).where("status = 'parsing'").select("id", F.floor(F.col("id") / 4096).alias("part"))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = dealt.join(counts.select("part", before.alias("before")), "part")
+    k = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return shifted.select("id", k.alias("k")).groupBy(F.floor((F.col("k") - 1) / 500).alias("page")).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+
+
+@query("u08_set_difference", sql(f"{_TRUTH}\nSELECT ref_id, coalesce(array_to_string(list_sort(list_filter(want, lambda x: NOT list_contains(got, x))), '|'), '') AS missing, coalesce(array_to_string(list_sort(list_filter(got, lambda x: NOT list_contains(want, x))), '|'), '') AS extra FROM truth", "records", "refs"))
+def u08(spark, d):
+    key = F.concat(F.lit("D"), F.lpad((F.col("ref_id") - 1).cast("string"), 8, "0"))
+    both = references(spark, d).withColumn("record_id", key).join(records(spark, d).select("record_id", F.col("author").alias("other")), "record_id")
+    want, got = F.array_distinct(F.split("author", ";")), F.array_distinct(F.split("other", ";"))
+    line = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), "|")
+    return both.select("ref_id", line(want, got).alias("missing"), line(got, want).alias("extra"))
+
+
+@query("a17_evidence_fold", sql("SELECT id, array_to_string(list_filter([CASE WHEN n_refs > 0 THEN 'refs' END, CASE WHEN n_authors > 0 THEN 'authors' END, CASE WHEN n_possible > 0 THEN 'possible' END], lambda x: x IS NOT NULL), '|') AS fields, round(n_refs * 0.5 + n_authors * 0.25 + n_possible * 0.125, 3)::DOUBLE AS total FROM logs", "logs"))
+def a17(spark, d):
+    """Evidence of a row as an array, folded to its sum and its fields."""
+    weights = {"refs": 0.5, "authors": 0.25, "possible": 0.125}
+    found = F.array_compact(F.array(*(F.when(F.col(f"n_{k}") > 0, F.struct(F.lit(k).alias("field"), (F.col(f"n_{k}") * w).alias("delta"))) for k, w in weights.items())))
+    total = F.aggregate("e", F.lit(0.0), lambda sum_, x: sum_ + x["delta"])
+    return logs(spark, d).select("id", found.alias("e")).select("id", F.array_join(F.transform("e", lambda x: x["field"]), "|").alias("fields"), F.round(total, 3).alias("total"))

@@ -343,3 +343,93 @@ def u03(spark, d):
     both = references(spark, d).withColumn("record_id", key).join(records(spark, d).select("record_id", F.col("title").alias("other")), "record_id")
     x, y = T.title_tokens(F.col("title")), T.title_tokens(F.col("other"))
     return both.select("ref_id", F.size(F.array_intersect(x, y)).cast("long").alias("n_shared"), joined(F.array_except(x, y)).alias("only_left"))
+
+
+@query("j08_reference_candidates", sql(f"""{AUTHORS},
+{REF_AUTHORS},
+{IDS_SQL},
+q AS (SELECT ref_id, {TITLE_TOKENS.format("title")} AS x FROM refs), r AS (SELECT record_id, {TITLE_TOKENS.format("title")} AS y FROM records)
+SELECT ref_id, record_id FROM refs q JOIN ids i ON q.doi <> '' AND q.doi = i.doi AND doi_type IN ('original', 'retraction')
+UNION SELECT ref_id, record_id FROM refs q JOIN ids i ON q.pmid <> '' AND q.pmid = i.doi AND doi_type IN ('original_pmid', 'retraction_pmid')
+UNION SELECT ref_id, record_id FROM ra q JOIN authors a ON q.surname <> '' AND q.surname = a.surname
+UNION SELECT ref_id, record_id FROM ra q JOIN authors a ON q.signature <> '' AND q.signature = a.signature
+UNION SELECT ref_id, record_id FROM (SELECT *, len(list_intersect(x, y))::DOUBLE AS s FROM q, r) WHERE s > 0 AND s / (len(x) + len(y) - s) >= 0.3::DOUBLE""", "records", "refs"))
+def j08(spark, d):
+    """The pool of a reference: identifiers, surnames and signatures of its first five authors, similar titles; a set, uncapped."""
+    refs, notices = references(spark, d), records(spark, d)
+    ids, authors = M.identifiers_of(notices), M.authors_of(notices)
+    asked = refs.withColumnRenamed("ref_id", "query_id")
+    named = refs.select("ref_id", F.explode(F.slice(T.semicolon_list(F.col("author")), 1, 5)).alias("name")).withColumn("n", T.name_parts(F.col("name")))
+    by = lambda key: named.select("ref_id", F.col(f"n.{key}").alias(key)).where(F.col(key) != "").join(authors, key).select("ref_id", "record_id")
+    hard = [M.by_identifier(asked, ids, k, k).withColumnRenamed("query_id", "ref_id") for k in ("doi", "pmid")]
+    routes = [*hard, by("surname"), by("signature"), M.title_pairs(refs, notices, 0.3).select("ref_id", "record_id")]
+    out = routes[0]
+    for route in routes[1:]:
+        out = out.unionByName(route)
+    return out.distinct()
+
+
+@query("j20_identifier_lookup", sql(f"{IDS_SQL}\nSELECT ref_id, record_id, title FROM (SELECT DISTINCT ref_id, record_id FROM refs q JOIN ids i ON q.pmid <> '' AND q.pmid = i.doi AND doi_type IN ('original_pmid', 'retraction_pmid')) JOIN records USING (record_id) QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY record_id) <= 20", "records", "refs"))
+def j20(spark, d):
+    """Records of an identifier, at most twenty each by record id; blank ids find nothing."""
+    from pyspark.sql import Window
+
+    notices = records(spark, d)
+    found = M.by_identifier(references(spark, d).withColumnRenamed("ref_id", "query_id"), M.identifiers_of(notices), "pmid", "pmid").withColumnRenamed("query_id", "ref_id")
+    at = F.row_number().over(Window.partitionBy("ref_id").orderBy("record_id"))
+    return found.withColumn("at", at).where("at <= 20").join(notices.select("record_id", "title"), "record_id").select("ref_id", "record_id", "title")
+
+
+@query("r04_best_candidate", person_sql("SELECT query_id, record_id, verdict, score FROM ranked WHERE kind = 'match' AND rank = 1"))
+def r04(spark, d):
+    """The best match of each person, by one aggregation with no sort."""
+    formal = _scored(spark, d).where("verdict != 'no_match' AND score > 0")
+    best = F.min_by(F.struct("record_id", "verdict", "score"), F.struct(-F.col("score"), F.col("record_id"))).alias("b")
+    return formal.groupBy("query_id").agg(best).select("query_id", "b.record_id", "b.verdict", "b.score")
+
+
+@query("r07_best_author_weight", reference_sql("SELECT ref_id, record_id, authors_delta AS author_delta FROM verdicts WHERE authors_delta > 0"))
+def r07(spark, d):
+    return _ref_scored(spark, d).where("author_delta > 0").select("ref_id", "record_id", "author_delta")
+
+
+_FIRST = "firsts2 AS (SELECT record_id, string_split(institution, ';')[1] AS a, string_split(institution, ';')[2] AS b, 'the ' || string_split(institution, ' ')[1] || ' group' AS asked FROM records)"
+
+
+@query("r08_best_institution", sql(f"""{_FIRST}
+SELECT record_id, CASE WHEN len(list_intersect({PLACE_TOKENS.format("asked")}, {PLACE_TOKENS.format("a")})) > 0 THEN a END AS best FROM firsts2""", "records"))
+def r08(spark, d):
+    """The institution that overlaps most with the one asked for, the first on ties; null without overlap."""
+    asked = T.institution_tokens(F.concat(F.lit("the "), F.substring_index("institution", " ", 1), F.lit(" group")))
+    scored = F.transform(T.semicolon_list(F.col("institution")), lambda x, i: F.struct(T.token_overlap(asked, T.institution_tokens(x)).alias("overlap"), (-i).alias("order"), x.alias("text")))
+    return records(spark, d).withColumn("top", F.array_max(scored)).select("record_id", F.when(F.col("top.overlap") > 0, F.col("top.text")).alias("best"))
+
+
+@query("u04_shared_variant", sql(f"""{PEOPLE_SQL},
+{AUTHORS},
+{ASKED}
+SELECT query_id, record_id, pos::INT AS pos, CASE WHEN list_contains(q.variants, a.n) THEN a.n WHEN len(a.t) > 1 AND list_contains(q.variants, array_to_string(list_reverse(a.t), ' ')) THEN array_to_string(list_reverse(a.t), ' ') ELSE a.t[1][1:1] || ' ' || a.surname END AS shared
+FROM (SELECT *, pos AS qpos FROM asked) q JOIN (SELECT record_id, pos, n, t, surname, variants FROM authors) a ON substring(record_id, 2)::BIGINT // 2 = query_id AND len(list_intersect(a.variants, q.variants)) > 0""".replace("SELECT query_id, record_id, pos::INT AS pos", "SELECT query_id, record_id, a.pos::INT AS pos"), "records"))
+def u04(spark, d):
+    """The first variant that a person and an author share, in the author's order."""
+    asked = people(spark, d).select("query_id", T.name_parts(F.col("name"))["variants"].alias("own"))
+    authors = M.authors_of(records(spark, d)).withColumn("query_id", F.expr("cast(substring(record_id, 2) as bigint) div 2"))
+    shared = F.array_intersect("variants", "own")
+    return authors.join(asked, "query_id").where(F.size(shared) > 0).select("query_id", "record_id", (F.col("pos") + 1).alias("pos"), shared[0].alias("shared"))
+
+
+@query("p20_input_diagnostics", person_sql("""SELECT q.query_id, email IS NOT NULL AS email_provided, CASE WHEN email IS NOT NULL THEN string_split(lower(email), '@')[-1] END AS email_domain, coalesce(m.hit, false) AS email_contributed
+FROM people q LEFT JOIN (SELECT query_id, bool_or(contains(matched_fields, 'email_domain')) AS hit FROM ranked WHERE rank <= 10 GROUP BY query_id) m USING (query_id)"""))
+def p20(spark, d):
+    ranked = M.rank_people(_scored(spark, d)).groupBy("query_id").agg(F.bool_or(F.col("matched_fields").contains("email_domain")).alias("hit"))
+    rows = people(spark, d).select("query_id", "email").join(ranked, "query_id", "left")
+    return rows.select("query_id", (F.trim(F.coalesce("email", F.lit(""))) != "").alias("email_provided"), F.nullif(T.email_domain(F.col("email")), F.lit("")).alias("email_domain"), F.coalesce("hit", F.lit(False)).alias("email_contributed"))
+
+
+@query("c14_explained_pairs", person_sql("SELECT query_id, record_id, score, verdict, matched_fields FROM verdicts WHERE substring(record_id, 2)::BIGINT // 2 = query_id"))
+def c14(spark, d):
+    """Given pairs scored and explained with no blocking: each person against the notice they were made from."""
+    who, notices = people(spark, d), records(spark, d)
+    pairs = notices.select("record_id", F.expr("cast(substring(record_id, 2) as bigint) div 2").alias("query_id"))
+    scored = M.score_people(pairs, who, notices).select("query_id", "record_id", "score", "verdict", "matched_fields")
+    return scored.join(M.person_routes(who, notices).select("query_id", "record_id"), ["query_id", "record_id"], "left_semi")
