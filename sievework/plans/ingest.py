@@ -94,3 +94,53 @@ def k09(spark, d):
     row = F.struct("id", "user_id", "workspace_id", "file_name", "verdict").dropFields("id", "user_id", "workspace_id")
     return logs(spark, d).select("id", F.to_json(row).alias("shared"))
 
+
+
+def page_items(spark, d):
+    """Positioned items: every second page in two columns, 600 wide."""
+    q, odd, page = F.col("l_quantity"), F.col("l_linenumber") % 2 == 1, F.col("l_suppkey")
+    x = F.when(page % 2 == 0, F.when(odd, q * 4 + 330).otherwise(q * 4 + 50)).otherwise(q * 10 + 50)
+    item = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(page.alias("page"), item.alias("item"), x.cast("double").alias("x"), (F.col("l_orderkey") % 700).cast("double").alias("y"), F.lit(10.0).alias("height"), F.concat("l_returnflag", "l_linestatus").alias("str"))
+
+
+_ITEMS = """items AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS item, CASE WHEN l_suppkey % 2 = 0 THEN CASE WHEN l_linenumber % 2 = 1 THEN 330 + l_quantity * 4 ELSE 50 + l_quantity * 4 END ELSE 50 + l_quantity * 10 END::DOUBLE AS x,
+    (l_orderkey % 700)::DOUBLE AS y, l_returnflag || l_linestatus AS str FROM lineitem),
+gaps AS (SELECT *, (x + nx) / 2 AS mid, nx - x AS gap FROM (SELECT *, lead(x) OVER (PARTITION BY page ORDER BY x) AS nx FROM items)),
+best AS (SELECT page, mid, gap FROM gaps WHERE mid BETWEEN 180 AND 420 AND gap > 0 QUALIFY row_number() OVER (PARTITION BY page ORDER BY gap DESC, mid) = 1),
+counted AS (SELECT page, count(*) AS n, any_value(gap) AS gap, any_value(mid) AS mid, count(*) FILTER (x < mid) AS l FROM items LEFT JOIN best USING (page) GROUP BY page),
+cols AS (SELECT page, CASE WHEN two THEN 2 ELSE 1 END::INT AS columns, CASE WHEN two THEN mid END AS split_x FROM (SELECT *, coalesce(n >= 30 AND gap >= 48 AND l >= n * 0.25 AND n - l >= n * 0.25, false) AS two FROM counted))"""
+
+
+@query("s12_column_detection", f"WITH {_ITEMS} SELECT page, columns, split_x FROM cols")
+def s12(spark, d):
+    from ..operators.layout import detect_columns
+
+    return detect_columns(page_items(spark, d), 600.0)
+
+
+@query("s12_page_text", f"""WITH {_ITEMS},
+placed AS (SELECT *, CASE WHEN split_x IS NOT NULL AND x >= split_x THEN 1 ELSE 0 END AS side FROM items JOIN cols USING (page)),
+broken AS (SELECT *, lag(y) OVER (PARTITION BY page, side ORDER BY y DESC, x, item, str) AS py FROM placed)
+SELECT page, md5(trim(regexp_replace(string_agg(CASE WHEN py IS NULL THEN CASE WHEN side = 1 THEN chr(10) || chr(10) ELSE '' END WHEN py - y > 16 THEN chr(10) || chr(10) WHEN py - y > 6 THEN chr(10) ELSE ' ' END || str, '' ORDER BY side, y DESC, x, item, str), '[ \\t]{{2,}}', ' ', 'g'))) AS text FROM broken GROUP BY page""")
+def s12_text(spark, d):
+    from ..operators.layout import detect_columns, render_pages
+
+    items = page_items(spark, d)
+    return render_pages(items, detect_columns(items, 600.0)).select("page", F.md5("text").alias("text"))
+
+
+@query("s13_bibtex", sql("SELECT ref_id, title_ AS title, year::VARCHAR AS year FROM (SELECT ref_id, year, trim(regexp_replace(regexp_replace(title[:60], '[^A-Za-z ]', ' ', 'g'), '\\s+', ' ', 'g')) AS title_ FROM refs)", "refs"))
+def s13(spark, d):
+    """Entries written as BibTeX and parsed again, file by file."""
+    import pandas as pd
+
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.substring("title", 1, 60), "[^A-Za-z ]", " "), r"\s+", " "))
+    entry = F.concat(F.lit("@article{k, title = {{"), clean, F.lit('}}, author = "A and B", year = '), F.col("year").cast("string"), F.lit("\n}"))
+
+    def parse(batches):
+        for batch in batches:
+            found = [readers.parse_bibtex(text)[0] for text in batch["entry"]]
+            yield pd.DataFrame({"ref_id": batch["ref_id"], "title": [f.get("title", "") for f in found], "year": [f.get("year") for f in found]})
+
+    return references(spark, d).select("ref_id", entry.alias("entry")).mapInPandas(parse, "ref_id long, title string, year string")
