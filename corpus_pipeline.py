@@ -17,7 +17,8 @@ from sievework.llm._spark import settle
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model, carry=docs.columns).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = docs.select("text", "source", "lang", "n_chars", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return quality_classifier.score(whole, model, carry=["_row"]).where("kept").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +28,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words that start anywhere else too are cut from the texts; every document stays."""
-    others = [c for c in docs.columns if c != "text"]
-    cut = suffix_dedup.suffix_dedup(docs, carry=others, unit="word", threshold=50)
+    rest = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"))
+    cut = suffix_dedup.suffix_dedup(rest, carry=["_row"], unit="word", threshold=50)
     text = F.col("kept").cast("string")
-    return cut.withColumn("text", text).withColumn("n_chars", F.char_length(text).cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return cut.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,16 @@ def test_mix_and_pack(spark, steps):
     assert packed.where("piece = 0").count() == sum(copies.values())
     rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
     assert all(r["n"] == r["end"] <= 2048 for r in rows)
+
+
+def test_odd_rows_in_every_stage(spark, sf_dir):
+    """Nulls in any column, blank and repeated rows, and extra columns named like those of the operators."""
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, "a", 0), (1, "", None, "a", 0), (2, " \n", "en", None, None), (3, "x " * 4000, "en", "a", 8000), (3, "x " * 4000, "en", "a", 8000)], some.schema)
+    docs = some.unionByName(odd)
+    for name in ("kept", "score", "removed", "copies", "size", "class_id", "piece", "_k1", "_text"):
+        docs = docs.withColumn(name, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() > 0 and (name == "packing" or out.columns == docs.columns)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
