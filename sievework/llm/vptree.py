@@ -14,7 +14,8 @@ can show of them, so a hot vector weighs as much as another; equal query vectors
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no
 part, nor do rows without id; vectors of other lengths than the query's are no candidates; ties go
-to the smaller id; all rows with the query's own id are left out; an empty table gives no rows; only
+to the smaller id; rows of one id and one vector count once; all rows with the query's own id are left
+out; an empty table gives no rows; only
 the id and vector columns are read.
 """
 
@@ -124,11 +125,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int, factor: float, id_column:
     plain = rows.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{vector}`").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("_ask"))
     sound = plain.where(F.col("_id").isNotNull() & usable("vector")).select("*", F.xxhash64(F.lit("a"), "vector").alias("_k1"), F.xxhash64(F.lit("b"), "vector").alias("_k2"))
     first_ids = Window.partitionBy("_k1", "_k2").orderBy("_id")
-    fewest = sound.withColumn("_at", F.row_number().over(first_ids)).where(F.col("_at") <= k + 1)
-    points = settle(
-        fewest.groupBy("_k1", "_k2").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_set("_id")).alias("ids")).withColumn("first_id", F.col("ids")[0]).withColumn("_dim", F.size("vector")),
-        "points",
-    )
+    fewest = sound.select("_k1", "_k2", "_id").distinct().withColumn("_at", F.row_number().over(first_ids)).where(F.col("_at") <= k + 1)
+    listed = settle(fewest.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list("_id")).alias("ids")), "ids")
+    vectors = sound.groupBy("_k1", "_k2").agg(F.first("vector").alias("vector"))
+    points = settle(vectors.join(listed, ["_k1", "_k2"]).withColumn("first_id", F.col("ids")[0]).withColumn("_dim", F.size("vector")), "points")
     asked = sound.where("_ask").select("_k1", "_k2", F.col("_id").alias("query_id")).distinct()
     queries = settle(points.drop("ids", "first_id").join(asked.select("_k1", "_k2").distinct(), ["_k1", "_k2"]), "queries")
     square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))

@@ -198,7 +198,8 @@ def test_nearest(spark):
     draw = np.random.default_rng(1)
     vectors = [list(map(float, v)) for v in draw.normal(size=(600, 8)).astype(np.float32)]
     vectors += [vectors[0]] * 200 + [None, [], [0.0] * 8, [float("nan")] * 8, [float("inf")] * 8, [1.0, None, *[0.0] * 6], [1.0, 2.0]]
-    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
+    repeated = [(0, vectors[0])] * 12
+    table = spark.createDataFrame([*enumerate(vectors), *repeated], "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
     sound = {i: np.array(v) for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and any(v)}
     for factor, least in ((1.0, 1.0), (1.5, 0.9)):
         out = defaultdict(list)
