@@ -111,3 +111,20 @@ def test_bibtex_and_archives():
     for name in ("../a.tex", "/a.tex", "b.zip"):
         with pytest.raises(ValueError):
             readers.unzip_guarded(archive(**{name: "x"}))
+
+
+def test_overlong_entries(spark):
+    one = "Smith, J., & Doe, A. (2019). " + "A long title about many things in the world of study, " * 3 + "Journal of Stuff, 3"
+    two = "Nesher Cement Enterprises Ltd. (2014). " + "Another report with words and words and more words, " * 3 + "Series 4"
+    assert value(spark, structuring.split_overlong, f"{one}. {two}.") == [one, two + "."]
+    assert value(spark, structuring.split_overlong, "short. Smith, J. (2019). x") == ["short. Smith, J. (2019). x"]
+
+
+def test_romanisation(spark):
+    from sievework.functions import han
+
+    dictionary = spark.createDataFrame([("张", "Zhang"), ("伟", "wei"), ("学", "xue"), ("习", "xi")], "char string, pinyin string")
+    rows = spark.createDataFrame([(1, "张伟"), (2, "Wei Zhang"), (3, "学习 AI龘")], "id long, name string")
+    assert {r["id"]: r["pinyin"] for r in han.romanize(rows, "id", "name", dictionary).collect()} == {1: "zhang wei", 2: "", 3: "xue xi ai龘"}
+    got = spark.range(1).select(han.title_similarity(F.lit("xue deep zhang"), F.lit("学习"), F.lit("xue xi"), F.lit("")).alias("x"), han.title_similarity(F.lit("deep nets"), F.lit("deep nets"), F.lit(""), F.lit("")).alias("y")).first()
+    assert round(got["x"], 4) == round(1 / 3, 4) and got["y"] == 1.0
