@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .policy import BALANCED, Policy
 
+SALTS = 16
 VERDICT_RANK = {"confirmed": 3, "likely_match": 2, "possible_match": 1, "no_match": 0}
 
 
@@ -131,7 +132,10 @@ def title_pairs(refs: DataFrame, records: DataFrame, least: float) -> DataFrame:
     each = both.select("side", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("df"))
     place = Window.partitionBy("side", "id").orderBy("df", "token")
-    ranked = each.join(common, "token").withColumn("at", F.row_number().over(place))
+    # A token that a third of all titles hold is looked up in SALTS parts.
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    spread = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    ranked = salted.join(spread, ["token", "salt"]).withColumn("at", F.row_number().over(place))
     keys = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
     q, r = (keys.where(F.col("side") == s).select("token", F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n")) for s in "qr")
     near = (F.least("q_n", "r_n") >= least * F.greatest("q_n", "r_n") - 1e-9)

@@ -238,7 +238,7 @@ def p07(spark, d):
     """Records by id, in the caller's order."""
     order = Window.orderBy(F.col("item_id").desc())
     asked = table(spark, d, "benchmark").select(F.concat(F.lit("D"), F.lpad(F.col("item_id").cast("string"), 8, "0")).alias("record_id"), F.row_number().over(order).alias("pos"))
-    return records(spark, d).join(F.broadcast(asked), "record_id").select("record_id", "pos", "title")
+    return records(spark, d).join(asked, "record_id").select("record_id", "pos", "title")
 
 
 @query("p08_substring", sql("SELECT record_id FROM records WHERE contains(" + N.format("institution") + ", 'src3')", "records"))

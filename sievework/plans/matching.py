@@ -165,11 +165,11 @@ def j05_passages(spark, d):
     inner = F.array_distinct(F.slice(F.regexp_extract_all("passage", F.lit(word), F.lit(0)), 2, F.greatest(F.size(F.regexp_extract_all("passage", F.lit(word), F.lit(0))) - 2, F.lit(0))))
     asked = passages.select("item_id", "passage", F.explode(inner).alias("word"))
     terms = asked.select("word").distinct()
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("word")).join(F.broadcast(terms), "word")
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("word")).join(terms, "word")
     df = held.groupBy("word").agg(F.count("*").alias("df"))
     rarest = asked.join(df, "word").groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.first("passage").alias("passage"))
-    met = held.join(F.broadcast(rarest.select("item_id", "word")), "word").select("item_id", "doc_id")
-    return met.join(docs, "doc_id").join(F.broadcast(passages), "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
+    met = held.join(rarest.select("item_id", "word"), "word").select("item_id", "doc_id")
+    return met.join(docs, "doc_id").join(passages, "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
 
 
 @query("j06_institution_fallback", sql(f"{PEOPLE_SQL},\n{AUTHORS},\n{ASKED},\n{IDS_SQL},\n{ROUTES_SQL}\nSELECT query_id, record_id FROM pool WHERE priority = 5", "records"))
