@@ -21,7 +21,7 @@ import base64
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -49,8 +49,8 @@ def vocabulary_path() -> str:
 def encoder(path: str):
     """The byte-level BPE of a tokenizers file, run by the faster library on the same vocabulary and merges.
 
-    Their ids agree (tests/llm hold them against each other); strings of special tokens in a text are
-    ordinary text.
+    Their ids agree (tests/llm hold them against each other). As in that library with
+    add_special_tokens=False, nothing is added to a text, but the string of an added token in it is that token.
     """
     import json
 
@@ -62,9 +62,10 @@ def encoder(path: str):
     assert set(plain) == set(ByteLevel.alphabet())
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
-    special = {token["content"] for token in model["added_tokens"]}
+    assert not any(token[flag] for token in model["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+    special = {token["content"]: token["id"] for token in model["added_tokens"]}
     ranks = {bytes(plain[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def byte_order() -> dict[int, str]:
@@ -81,7 +82,7 @@ def pieces(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     plain = docs.select(*(F.col(f"`{c}`") for c in carry), text_or_empty(text).alias("_text"))
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = partial(encoder(vocabulary).encode, allowed_special="all")
         for part in slices(batch, "_text"):
             row, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(part.column("_text")):

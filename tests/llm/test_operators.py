@@ -140,6 +140,23 @@ def test_packing(docs, rows, empty):
     assert len(packing.search([[0], [1], [2]], [4, 3, 3], 10)) == 1
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.vocabulary_path())
+    texts = ["<|endoftext|>", "one  <|endoftext|>  two\n", "a<|endoftext|><|endoftext|>b <|endoftext|", "<|endoftext|> x " * 300, "<|END", "|<|endoftext|>|\t \n<|endoftext|>", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter()
+    for doc_id, text in enumerate(texts):
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 256 or 256, len(ids) + 1, 256)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())] += 1
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [50256]
+    found = packing.sequences(docs, capacity=256).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
+
+
 def test_tokenizer_of_the_faster_library(spark):
     from hypothesis import given, settings, strategies
     from tokenizers import Tokenizer
