@@ -47,6 +47,13 @@ def s09(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(readers.strip_latex(dressed), r"[ \t\n\r\f]+", " "))).alias("body"))
 
 
+@query("r18_references_by_marker")
+def r18(spark, d):
+    """Where numbered references begin in the last half of every document, -1 if nowhere."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", S.references_by_marker(text).alias("start"))
+
+
 @query("r19_references_section")
 def r19(spark, d):
     """Where the reference section of every document begins, -1 if no header is there, and its length."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import __spark_entry__
 from pyspark.sql import functions as F
 from sievework.operators import structuring as S
 
@@ -27,3 +28,29 @@ def test_sections_in_whole_texts(spark):
     found = {r["k"]: (r["s"], r["e"]) for r in rows.collect()}
     assert found == {k: (start_of(t), end_of(t)) for k, t in enumerate(texts)}
     assert found[2][0] == 10000
+
+
+def marker_of(text: str) -> int:
+    if len(text) < 400:
+        return -1
+    skipped = len(text) // 2
+    found = re.finditer(r"(?:\A|[\s)\].])(?:\[([0-9]{1,3})\]|([0-9]{1,3})\.)\s+(?=[A-Z\u4e00-\u9fff])", text[skipped:])
+    hits = [(m.start(), n) for m in found if (n := int(m[1] or m[2])) >= 1]
+    for (i, a), (_, b), (k, c) in zip(hits, hits[1:], hits[2:], strict=False):
+        if k - i <= 4000 and a <= 5 and a < b < c:
+            return skipped + i
+    return -1
+
+
+def test_markers_in_whole_texts(spark, sf_dir):
+    draw = random.Random(7)
+    parts = ["[0] A", " [1] Ab", "\n2. Cd", ".[3] 中", ") 4. E", " [7] G", "[12] X", "9. y", "word " * 30, "w" * 4000, "\n", "\u00a0[5]\u3000Z", "x" * 90]
+    run = "[1] Aa b. [2] Bb c. [3] Cc d. "
+    texts = ["", run, run + "word " * 400, "word " * 400 + run, run + "word " * 400 + run, "a" * 370 + run[:-1], "a" * 369 + run[:-1]]
+    texts += ["".join(draw.choices(parts, k=draw.randint(1, 25))) for _ in range(400)]
+    found = {r["k"]: r["s"] for r in spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", S.references_by_marker(F.col("t")).alias("s")).collect()}
+    assert found == {k: marker_of(t) for k, t in enumerate(texts)}
+    assert found[2] == -1 and found[3] == 1999 and sum(v >= 0 for v in found.values()) > 20
+    got = sorted((r["doc_id"], r["start"]) for r in __spark_entry__.queries()["r18_references_by_marker"](spark, sf_dir).collect())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert got == sorted((r["doc_id"], marker_of(r["text"] or "")) for r in docs)
