@@ -211,7 +211,7 @@ def unwrap_blob(block: Column) -> Column:
 
 def safe_file_name(name: Column) -> Column:
     """The last path part, other characters than letters, digits, Han, dots, dashes as one underscore, at most 200."""
-    leaf = F.regexp_extract(F.translate(name, "\\", "/"), r"([^/]*)/*$", 1)
+    leaf = F.regexp_extract(F.translate(name, "\\", "/"), r"(?<![^/])([^/]*+)/*$", 1)
     steps = ((r"^\.+", "_"), (r"[^A-Za-z0-9._\x{4e00}-\x{9fff}-]+", "_"), (r"\.{2,}", "."), (r"_{2,}", "_"))
     cleaned = F.substring(reduce(lambda t, step: F.regexp_replace(t, *step), steps, leaf), 1, 200)
     return F.when(cleaned == "", "upload.bin").otherwise(cleaned)

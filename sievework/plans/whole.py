@@ -7,9 +7,36 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import structuring as S
 from ..sources import readers
-from .bridge import sql, table
+from .bridge import records, sql, table
 from .registry import query
-from .scalars import _PAIRS, TITLE_TOKENS, N, _neighbours, joined
+from .scalars import _NAMES, _PAIRS, TITLE_TOKENS, N, _neighbours, joined
+
+
+_CLASSES = f"""
+names AS (SELECT *, t[-1] AS surname, array_to_string(list_filter(t[:len(t) - 1], lambda w: length(w) > 1), '') AS given FROM {_NAMES} WHERE n <> ''),
+classes AS (SELECT DISTINCT surname, given FROM names)
+"""
+
+
+def _names(spark, d):
+    rows = records(spark, d).select("record_id", F.posexplode(F.split("author", ";")).alias("at", "name")).withColumn("n", T.name_parts(F.col("name")))
+    given = T._given(F.col("n"))
+    return rows.where("n.normalized != ''").select("record_id", (F.col("at") + 1).alias("pos"), F.col("n.surname").alias("surname"), given.alias("given"))
+
+
+@query("f09_name_classes", sql(_CLASSES + "SELECT record_id, pos::INT AS pos, surname, given FROM names", "records"))
+def f09_classes(spark, d):
+    """The class (surname, given name) of every name, whatever its length."""
+    return _names(spark, d)
+
+
+@query("f09_class_conflicts", sql(_CLASSES + """
+SELECT a.surname, a.given, b.given AS other_given FROM classes a JOIN classes b ON a.surname = b.surname AND a.given < b.given WHERE a.given <> ''""", "records"))
+def f09_conflicts(spark, d):
+    """Classes of one surname whose given names conflict; with the classes of names, all conflicts of names."""
+    classes = _names(spark, d).where("given != ''").select("surname", "given").distinct()
+    a, b = classes.alias("a"), classes.alias("b")
+    return a.join(b, (F.col("a.surname") == F.col("b.surname")) & (F.col("a.given") < F.col("b.given"))).select("a.surname", "a.given", F.col("b.given").alias("other_given"))
 
 
 @query("f14_normalize_title_whole", "SELECT doc_id, md5(" + N.format("text") + ") AS title FROM documents")
@@ -31,6 +58,14 @@ def f25(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.unwrap_blob(numbered)).alias("block"))
 
 
+@query("f26_safe_file_name_whole", r"""
+SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(string_split(replace('C:\dir/..' || text || '..tex', chr(92), '/'), '/')[-1], '^\.+', '_'), '[^A-Za-z0-9._\x{4e00}-\x{9fff}\-]+', '_', 'g'), '\.{2,}', '.', 'g'), '_{2,}', '_', 'g'), 1, 200) AS name
+FROM documents""")
+def f26(spark, d):
+    """Every document, those with a slash too, whose name is what follows the last one."""
+    return table(spark, d, "documents").select("doc_id", T.safe_file_name(F.concat(F.lit("C:\\dir/.."), "text", F.lit("..tex"))).alias("name"))
+
+
 @query("f29_levenshtein_gate_whole", sql(_PAIRS.format(r"regexp_replace(" + N.format("a.title") + r", '[^\x00-\x7F]', '', 'g')", r"regexp_replace(" + N.format("b.title") + r", '[^\x00-\x7F]', '', 'g')") + """
 SELECT ref_id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 1 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END::DOUBLE, 6) AS ratio FROM pairs
 """, "records", "refs"))
@@ -47,6 +82,19 @@ def s09(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(readers.strip_latex(dressed), r"[ \t\n\r\f]+", " "))).alias("body"))
 
 
+@query("s15_upload_status_whole", r"""
+SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'ok' WHEN 4 THEN 'unsupported' WHEN 2 THEN 'encrypted'
+       ELSE CASE WHEN doc_id % 5 = 1 AND NOT contains(t, '%%EOF') THEN 'truncated' WHEN contains(t, '/Encrypt') THEN 'encrypted' ELSE 'ok' END END AS status
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def s15(spark, d):
+    """Every document, those with the mark of encryption too, whole as the upload's body."""
+    k = F.col("doc_id") % 5
+    body = F.coalesce("text", F.lit(""))
+    head = F.when(k == 3, F.concat(F.lit("\\documentclass{x} "), body)).when(k == 4, F.concat(F.lit("?"), F.regexp_replace(body, r"\\", ""))).otherwise(F.concat(F.lit("%PDF-1.7 "), body))
+    tail = F.when(k == 1, body).when(k == 2, F.lit("/Encrypt %%EOF")).otherwise("%%EOF")
+    return table(spark, d, "documents").select("doc_id", readers.upload_status(F.encode(head, "UTF-8"), F.encode(tail, "UTF-8"), F.lit(1000)).alias("status"))
+
+
 @query("r18_references_by_marker")
 def r18(spark, d):
     """Where numbered references begin in the last half of every document, -1 if nowhere."""
