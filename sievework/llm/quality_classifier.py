@@ -8,12 +8,13 @@ of as pseudo-labels, as many of each class as the classes' shares allow. Both ar
 labelled documents that neither was trained on, and a logistic layer over the two calibrated log odds,
 fitted there too, gives the score.
 
-Training takes a bounded sample: MAX_LABELLED labelled and MAX_UNLABELLED other documents, those with
-the least hashes of their ids, so it is the same on every run and fits on the driver. Scoring reads
-every document, by numpy passes over Arrow batches, with no shuffle.
+Training takes a bounded sample of labelled documents only: MAX_LABELLED, those with the least hashes of
+their ids. The pool of pseudo-labels is every unlabelled document: features are written once, each round
+scores all of them on Spark, and only the surest rows, at most SHARE_A_ROUND of MAX_UNLABELLED a view and
+round, come to the driver. Scoring reads every document, by numpy passes over Arrow batches, with no shuffle.
 
 Defined results: null texts are empty; null sources and languages are values of their own; documents
-with several labels count with the mean of them; labels of unknown documents and null labels are left
+with several labels count with the mean of them, several documents of one id as one of them in training; labels of unknown documents and null labels are left
 out; without labels of both classes every score is the share of good ones (1 if there are none, so
 nothing is rejected); an empty table gives no rows; other columns are not read.
 """
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_rules
-from ._spark import map_batches, schema_of, text_or_empty
+from ._spark import map_batches, schema_of, settle, text_or_empty
 from ._text import U64, buffers, mix64, slices, word_hashes, words
 
-#: Bounds of the training sample.
+#: Bounds of the labelled sample, and of what shares of the unlabelled documents are counted from.
 MAX_LABELLED, MAX_UNLABELLED = 4000, 4000
 ROUNDS, SURE, SHARE_A_ROUND = 5, 0.95, 0.05
 WORD_BINS, NAME_BINS = 512, 32
@@ -136,20 +137,61 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.layer[0] * a + self.layer[1] * b + self.layer[2], -30, 30)))
 
 
-def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y: 1 good, 0 bad, nan unlabelled. Every fourth labelled row is held out for calibration."""
-    labelled = np.flatnonzero(~np.isnan(y))
-    prior = float(np.mean(y[labelled])) if len(labelled) else 1.0
-    held, train = labelled[3::4], labelled[np.arange(len(labelled)) % 4 != 3]
+class Pool:
+    """Every unlabelled document, one row per id, with its features in the shared folder."""
+
+    def __init__(self, features: DataFrame, ids: DataFrame):
+        self.features, self.ids = features, settle(ids, "pool")
+        self.size = self.ids.count()
+
+    def surest(self, models: list[np.ndarray], scales: list[tuple[float, float]], told: tuple[dict, dict], most: dict[float, int]) -> list[tuple[int, float, int]]:
+        """(view, class, row) of the rows each view is most sure of and has not told the other yet."""
+        bound = float(np.log(SURE / (1 - SURE)))
+
+        def odds(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            if not batch.num_rows:
+                return
+            found = [np.round(scales[v][0] * logit_of(x, models[v]).astype(np.float64) + scales[v][1], 5) for v, x in enumerate(_arrays(batch))]
+            sure = pa.array(np.flatnonzero(np.maximum(np.abs(found[0]), np.abs(found[1])) >= bound))
+            yield pa.RecordBatch.from_arrays([batch.column("_uid").take(sure), *(pa.array(x).take(sure) for x in found)], names=["_uid", "_odds0", "_odds1"])
+
+        scored = map_batches(self.features.select("_uid", "_text", "_page"), odds, "_uid bigint, _odds0 double, _odds1 double")
+        sure = settle(scored.join(self.ids, "_uid"), "sure")
+        out = []
+        for v in (0, 1):
+            known = list(told[1 - v])
+            for good, sign in ((1.0, 1), (0.0, -1)):
+                rows = sure.where(F.col(f"_odds{v}") * sign >= bound)
+                rows = rows.where(~F.col("_uid").isin(known)) if known else rows
+                best = rows.orderBy(F.col(f"_odds{v}") * -sign, "_draw", "_uid").limit(most[good]).select("_uid").collect()
+                out += [(v, good, r["_uid"]) for r in best]
+        return out
+
+    def fetch(self, rows: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Features of these rows."""
+        if not rows:
+            return {}
+        found = self.features.where(F.col("_uid").isin(rows)).select("_uid", "_text", "_page").toArrow()
+        return dict(zip(found.column("_uid").to_pylist(), zip(*_arrays(found), strict=True), strict=True))
+
+
+def _arrays(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.stack([np.frombuffer(r, dtype=np.float32) for r in rows.column(n).to_pylist()]) for n in ("_text", "_page"))
+
+
+def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool: Pool, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS) -> Model:
+    """y: 1 good, 0 bad. Every fourth labelled row is held out for calibration."""
+    labelled = np.arange(len(y))
+    prior = float(np.mean(y))
+    held, train = labelled[3::4], labelled[labelled % 4 != 3]
     if any(len(np.unique(y[part] >= 0.5)) < 2 for part in (held, train)):
         return Model(None, None, prior=prior)
     hard = (y >= 0.5).astype(np.float64)
-    pool = np.flatnonzero(np.isnan(y))
-    views, told = (text, page), [dict(zip(train.tolist(), hard[train].tolist(), strict=True)) for _ in range(2)]
+    views, told, brought = (text, page), ({}, {}), {}
 
     def fit(v: int, start: np.ndarray | None = None) -> np.ndarray:
-        rows = np.fromiter(told[v], dtype=np.int64)
-        return fit_logistic(views[v][rows], np.array([told[v][r] for r in rows.tolist()]), steps=250 if start is None else 60, start=start)
+        x = np.vstack([views[v][train], *(brought[r][v][None, :] for r in told[v])])
+        return fit_logistic(x, np.concatenate([hard[train], np.array(list(told[v].values()), dtype=np.float64)]), steps=250 if start is None else 60, start=start)
 
     def scale(logits: np.ndarray) -> tuple[float, float]:
         spread = float(np.std(logits)) or 1.0
@@ -157,17 +199,15 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, rounds: int = RO
         return max(float(w[0]) / spread, 0.0), float(w[1])
 
     models = [fit(0), fit(1)]
-    for _ in range(rounds):
-        for v in (0, 1):
-            slope, offset = scale(logit_of(views[v][held], models[v]))
-            open_ = pool[[r not in told[1 - v] for r in pool.tolist()]] if len(pool) else pool
-            if not len(open_):
-                continue
-            p = 1 / (1 + np.exp(-np.clip(slope * logit_of(views[v][open_], models[v]) + offset, -30, 30)))
-            for good, sure in ((1.0, p), (0.0, 1 - p)):
-                most = int(np.ceil(SHARE_A_ROUND * len(pool) * (prior if good else 1 - prior)))
-                best = np.argsort(-sure, kind="stable")[:most]
-                told[1 - v].update(dict.fromkeys(open_[best[sure[best] >= SURE]].tolist(), good))
+    most = {good: int(np.ceil(SHARE_A_ROUND * min(pool.size, max_unlabelled) * share)) for good, share in ((1.0, prior), (0.0, 1 - prior))}
+    for _ in range(rounds if pool.size else 0):
+        scales = [scale(logit_of(views[v][held], models[v])) for v in (0, 1)]
+        chosen = pool.surest(models, scales, told, most)
+        if not chosen:
+            break
+        brought |= pool.fetch(sorted({r for _, _, r in chosen} - brought.keys()))
+        for v, good, row in chosen:
+            told[1 - v][row] = good
         models = [fit(0, models[0]), fit(1, models[1])]
     scales = [scale(logit_of(views[v][held], models[v])) for v in (0, 1)]
     odds = np.column_stack([s[0] * logit_of(views[v][held], models[v]) + s[1] for v, s in enumerate(scales)])
@@ -195,26 +235,24 @@ def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), target: str = "quality", max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Co-train on a bounded sample of `docs`, with labels (id, target 0 or 1)."""
+    """Co-train on a bounded sample of the labelled and on all other `docs`, with labels (id, target 0 or 1)."""
     known = labels.where(F.col(columns.id).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(columns.id).alias("_id")).agg(F.avg(target).cast("double").alias("_y"))
-    draw = [F.xxhash64("_id", F.lit(1)), F.col("_id")]
-    chosen = known.orderBy(*draw).limit(max_labelled)
-    ids = docs.select(F.col(f"`{columns.id}`").alias("_id")).where(F.col("_id").isNotNull())
-    others = ids.orderBy(F.xxhash64("_id", F.lit(2)), F.col("_id")).limit(max_unlabelled).distinct().join(known.select("_id"), "_id", "left_anti").withColumn("_y", F.lit(None).cast("double"))
-    sample = F.broadcast(chosen.unionByName(others))
-    rows = _plain(docs, columns, [columns.id]).withColumnRenamed(columns.id, "_id").join(sample, "_id")
-
-    def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, "_text"):
-            text, page = _views(part)
-            yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.string()), part.column("_y"), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (text, page))], names=["_id", "_y", "_text", "_page"])
+    plain = _plain(docs.where(F.col(f"`{columns.id}`").isNotNull()), columns, [columns.id]).withColumnRenamed(columns.id, "_id").withColumn("_hash", F.xxhash64("_text", "_source", "_lang", "_stated"))
 
-    found = map_batches(rows, features, "_id string, _y double, _text binary, _page binary").toArrow().sort_by([("_id", "ascending")])
-    if not found.num_rows:
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, "_text"):
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_hash"), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in _views(part))], names=["_id", "_hash", "_text", "_page"])
+
+    found = map_batches(plain, rows, schema_of(plain.select("_id", "_hash"), ("_text", "binary"), ("_page", "binary")))
+    features = settle(found.withColumn("_uid", F.monotonically_increasing_id()), "features")
+    ids = settle(features.groupBy("_id").agg(F.min(F.struct("_hash", "_uid")).alias("r")).select("_id", "r._uid"), "ids")
+    chosen = ids.join(known, "_id").orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(max_labelled)
+    sample = features.select("_uid", "_text", "_page").join(F.broadcast(chosen), "_uid").select(F.col("_id").cast("string"), "_y", "_text", "_page").toArrow().sort_by([("_id", "ascending")])
+    if not sample.num_rows:
         return Model(None, None)
-    text, page = (np.stack([np.frombuffer(r, dtype=np.float32) for r in found.column(n).to_pylist()]) for n in ("_text", "_page"))
-    y = np.array([np.nan if v is None else v for v in found.column("_y").to_pylist()], dtype=np.float64)
-    return co_train(text, page, y)
+    y = np.array(sample.column("_y").to_pylist(), dtype=np.float64)
+    pool = Pool(features, ids.join(known, "_id", "left_anti").select("_uid", F.xxhash64("_id", F.lit(2)).alias("_draw")))
+    return co_train(*_arrays(sample), y, pool, max_unlabelled)
 
 
 def score(docs: DataFrame, model: Model, columns: Columns = Columns(), carry: list[str] | None = None) -> DataFrame:

@@ -382,3 +382,22 @@ def test_contract_of_kept_bytes(spark, sf_dir):
     row = queries.op7_suffix_dedup(spark, sf_dir).where("n_removed = 0").first()
     text = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id") == row["doc_id"]).first()["text"]
     assert row["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest() and row["n_bytes"] == len(text.encode())
+
+
+def test_pool_of_the_classifier(spark, monkeypatch):
+    draw = random.Random(11)
+    texts = [(prose(draw, 60) if i % 2 else "#$ %& " * draw.randint(20, 60)) for i in range(240)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)]
+    hot = min(range(200, 240), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"), F.lit(2))).first()[0])
+    docs = spark.createDataFrame(rows + [rows[hot]] * 60, DOCS).repartition(3)
+    told = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 0) for i in range(10_000, 14_000)], "doc_id long, quality int")
+    seen = []
+    original = quality_classifier.Pool.surest
+    monkeypatch.setattr(quality_classifier.Pool, "surest", lambda self, *a: seen.append((self.size, original(self, *a))) or seen[-1][1])
+    model = quality_classifier.train(docs, told, max_labelled=150, max_unlabelled=40)
+    assert model.text is not None and model.prior > 0.3
+    assert {n for n, _ in seen} == {40}
+    first = seen[0][1]
+    assert first and len({(v, r) for v, _, r in first}) == len(first)
+    out = {r["doc_id"]: r["kept"] for r in quality_classifier.score(docs, model).collect()}
+    assert np.mean([out[i] == bool(i % 2) for i in range(240)]) > 0.95
