@@ -125,6 +125,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         n_removed.alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # What is left, readable: a character that a cut goes through is U+FFFD.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 

@@ -2,24 +2,29 @@
 
 Two suffixes that agree on their first `threshold` tokens start a repeated window. A full suffix
 array would order every suffix of the corpus to its end; here suffixes are only told apart through
-`threshold` tokens, by most-significant-digit passes over the whole corpus. After each pass a group
-with one member holds no repeated window and drops out, and what is left after the last pass are the
-groups of equal windows. The digits, in the order of the passes, are these:
+`threshold` tokens, by most-significant-digit passes over the whole corpus. A digit is a stretch of
+threshold / DIGITS tokens, the first pass reads the front one, and each pass splits the groups of the
+pass before it by the next digit; a suffix that is alone in its group starts no repeated window and
+drops out. What is left after the last pass are exactly the groups of equal windows. Groups are told
+apart, not ordered: nothing here asks for the order, so digits are compared by 64-bit hashes, and the
+last group is keyed by two of them.
 
-1. The *core*: of all runs of threshold / 2 tokens inside a window, the one with the least hash
-   (leftmost on ties). Equal windows have equal cores at equal distances, so windows with the same
-   core occurrence stay one row of the first pass: about two in (threshold / 2) suffixes.
-2. The *span*: all tokens that the windows of one core occurrence cover. Equal spans settle all
-   their windows at once, copies of any number included.
-3. The *window*: the full depth, only where spans around a shared core differ - at the edges of
-   repeated passages. One row stands for each distinct span, however many copies it has.
+Two named speed-ups come first, since most suffixes of a corpus need no digit read at all:
 
-Digits are compared by 64-bit hashes, and a window's group is keyed by core and window hash together
-(128 bits). Every pass is a partial aggregation before its shuffle, so hot groups arrive summed.
+* Anchors. Of all runs of threshold / 2 tokens inside a window, the one with the least hash (leftmost
+  on ties) is its anchor. Equal windows have equal anchors at equal distances. So suffixes are dealt
+  into groups by anchor, the windows of one anchor occurrence as one row, and those whose anchor is
+  found once in the corpus drop out together: all but about two rows in (threshold / 2) suffixes.
+* Collapse. The span of an anchor occurrence is all that its windows cover. Equal spans settle all
+  their windows at once, and one span stands for all of its copies in the digit passes, which only
+  look at anchors with different spans around them: the edges of repeated passages.
+
+Every pass counts by a partial aggregation before its shuffle, so hot groups arrive summed.
 
 Defined results: a null text is empty; texts shorter than the threshold keep everything; repeated
-rows count as different documents, so their windows are repeated; an empty table gives no rows; only
-the columns named are read, others may have any name.
+rows count as different documents, so their windows are repeated; very long texts are read in
+overlapping pieces, and every window is in exactly one; an empty table gives no rows; only the columns
+named are read, others may have any name.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ from ._text import BYTE_VALUES, MASK64, U64, Spans, buffers, mix64, slices, word
 
 #: Bits of a packed run of windows that count them; the rest is the first window's start.
 RUN_BITS = 20
+#: Digits of a suffix, and suffixes that one numpy pass handles.
+DIGITS, SUFFIXES_AT_ONCE = 2, 1 << 20
 #: Tokens of one piece of a long document; pieces overlap so that each window is in exactly one.
 PIECE = 1 << 22
 
@@ -114,23 +121,36 @@ def _core_rows(unit: str, threshold: int):
     return rows
 
 
-def _window_rows(unit: str, threshold: int):
-    """Of documents with the runs that pass 3 looks at: a row for each window."""
+def depths(threshold: int, digits: int = DIGITS) -> list[int]:
+    """How many tokens of a suffix are known after each pass."""
+    return sorted({-(-threshold * k // digits) for k in range(1, digits + 1)})
+
+
+def _suffix_rows(unit: str, threshold: int):
+    """Of documents with the runs that the digit passes look at: a row for each suffix, its group after each pass."""
+    ends = depths(threshold)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "_text"):
             values, first, _, _ = _tokens(part, unit)
-            runs = part.column("_runs")
-            for i in range(part.num_rows):
-                own = values[first[i] : first[i + 1]]
-                listed = runs[i].values
-                packed, cores, alone = (listed.field(n).to_numpy(zero_copy_only=False) for n in ("_run", "_core", "_alone"))
-                at, count = packed >> RUN_BITS, packed & ((1 << RUN_BITS) - 1)
-                found = [Spans(own[s : s + n + threshold - 1]).windows(threshold) for s, n in zip(at, count, strict=True)]
-                if found:
-                    where = np.concatenate([np.arange(s, s + n) for s, n in zip(at, count, strict=True)])
-                    k = [pa.array(np.full(len(where), part.column(n)[i].as_py(), dtype=np.int64)) for n in ("_k1", "_k2")]
-                    yield pa.RecordBatch.from_arrays([*k, pa.array(where << RUN_BITS | 1), pa.array(np.repeat(cores, count)), _signed(np.concatenate(found)), pa.array(np.repeat(alone, count))], names=["_k1", "_k2", "_run", "_core", "_window", "_alone"])
+            offsets = part.column("_runs").offsets.to_numpy().astype(np.int64)
+            listed = part.column("_runs").values.slice(offsets[0], offsets[-1] - offsets[0])
+            packed, anchors, alone = (listed.field(n).to_numpy(zero_copy_only=False) for n in ("_run", "_core", "_alone"))
+            doc, uid = np.repeat(np.arange(part.num_rows), np.diff(offsets)), part.column("_uid").to_numpy()
+            start, count = packed >> RUN_BITS, packed & ((1 << RUN_BITS) - 1)
+            load = np.cumsum(count) // SUFFIXES_AT_ONCE
+            for own in np.split(np.arange(len(packed)), np.flatnonzero(np.diff(load)) + 1):
+                for document in (np.split(own, np.flatnonzero(np.diff(doc[own])) + 1) if len(values) > SUFFIXES_AT_ONCE else [own]):
+                    if not len(document):
+                        continue
+                    n = count[document]
+                    of = np.repeat(document, n)
+                    at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                    where = first[doc[of]] + at
+                    low = int(where.min())
+                    spans = Spans(values[low : int(where.max()) + threshold])
+                    groups = [_signed(mix64(spans.hash(where - low, where - low + d) ^ mix64(anchors[of].view(U64)))) for d in ends]
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[doc[of]]), pa.array(at), pa.array(alone[of]), *groups], names=["_uid", "_at", "_alone", *(f"_group{d}" for d in ends)])
 
     return rows
 
@@ -182,25 +202,33 @@ def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None =
     plain = keyed.select("_k1", "_k2", "_text")
     cores = map_batches(plain, _core_rows(unit, threshold), "_k1 long, _k2 long, _run long, _core long, _span long")
 
-    # Pass 1. Groups of one core occurrence drop out; the commonest span of each core is settled at once.
+    # Anchors: groups of one occurrence drop out; the commonest span of each anchor is settled at once.
     # What is counted is written before it is joined: Spark splits a hot key's side of a join of two shuffles.
     counted = cores.groupBy("_core", "_span").agg(F.count("*").alias("_n"))
     shared = counted.groupBy("_core").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_kinds"), F.max("_n").alias("_most"), F.max_by("_span", "_n").alias("_top")).where("_rows >= 2")
     done = (F.col("_span") == F.col("_top")) & (F.col("_most") >= 2)
     left = settle(cores.join(settle(shared, "shared"), "_core").select("_k1", "_k2", "_run", "_core", "_span", done.alias("_done"), (F.col("_kinds") > 1).alias("_mixed")), "cores")
 
-    # Pass 2. Where spans differ, others that occur twice are repeated too; each distinct span goes on as one row.
+    # Collapse: where spans differ, others that occur twice are repeated too; each distinct span goes on as one row.
     mixed = left.where("_mixed")
     spans = settle(mixed.groupBy("_core", "_span").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in ("_k1", "_k2", "_run"))), "spans")
     same = mixed.where("NOT _done").join(spans.where("_n >= 2").select("_core", "_span"), ["_core", "_span"], "left_semi")
 
-    # Pass 3. Single windows, to the full depth.
-    look = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_run", "_core", (F.col("_n") == 1).alias("_alone"))).alias("_runs"))
-    windows = map_batches(plain.join(look, ["_k1", "_k2"]), _window_rows(unit, threshold), "_k1 long, _k2 long, _run long, _core long, _window long, _alone boolean")
-    equal = settle(windows.groupBy("_core", "_window").agg(F.count("*").alias("_n")).where("_n >= 2").select("_core", "_window"), "equal")
-    edges = settle(windows.where("_alone").join(equal, ["_core", "_window"], "left_semi").select("_k1", "_k2", "_run"), "edges")
+    # The digit passes: each splits the groups of the one before, and suffixes alone in their group drop out.
+    listed = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_run", "_core", (F.col("_n") == 1).alias("_alone"))).alias("_runs"))
+    look = settle(listed.withColumn("_uid", F.monotonically_increasing_id()), "look")
+    keys = [f"_group{d}" for d in depths(threshold)]
+    suffixes = map_batches(plain.join(look, ["_k1", "_k2"]).select("_uid", "_runs", "_text"), _suffix_rows(unit, threshold), f"_uid long, _at long, _alone boolean, {', '.join(f'{k} long' for k in keys)}")
+    for k, key in enumerate(keys):
+        group = keys[max(k - 1, 0) : k + 1]
+        several = settle(suffixes.groupBy(*group).agg(F.count("*").alias("_n")).where("_n >= 2").select(*group), "several")
+        if key == keys[-1]:  # spans that stand for copies are settled
+            suffixes = suffixes.where("_alone")
+        suffixes = settle(suffixes.join(several, group, "left_semi"), "suffixes")
+    edges = suffixes.join(look.select("_uid", "_k1", "_k2"), "_uid").select("_k1", "_k2", F.expr(f"shiftleft(_at, {RUN_BITS}) | 1").alias("_run"))
 
     runs = left.where("_done").select("_k1", "_k2", "_run").unionByName(same.select("_k1", "_k2", "_run")).unionByName(edges)
-    listed = runs.groupBy("_k1", "_k2").agg(F.collect_list("_run").alias("_runs"))
+    # Rows that are wholly the same have one key: their runs are one set.
+    listed = runs.groupBy("_k1", "_k2").agg(F.collect_set("_run").alias("_runs"))
     out = schema_of(keyed.drop("_k1", "_k2", "_text"), ("kept", "binary"), ("removed", "array<struct<start: bigint, end: bigint>>"))
     return map_batches(keyed.join(listed, ["_k1", "_k2"], "left"), _cut(unit, threshold), out)
