@@ -10,10 +10,12 @@ probability 1 - (1 - p / WINDOW)^BANDS: above 1 - 1.1e-6 even for a template of
 above 1 - 1e-28 for one of three. A retrieved template is then verified: at least `containment` of its
 distinct shingles must be in the text, counted exactly.
 
-Templates are a bounded list that goes with the code; texts never leave their partition, so there is
-no shuffle.
+Templates are a bounded list: the notices and full texts that go with the code, or the caller's own
+(a dict, or a folder of text files by `read_templates`). Texts never leave their partition, so there
+is no shuffle.
 
 Defined results: null and empty texts match nothing; templates of fewer than five tokens are refused;
+very long texts are windowed whole; equally good templates are all reported;
 a text that is repeated in the table is reported for each of its rows; an empty table gives no rows;
 only the text and the carried columns are read.
 """
@@ -24,17 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import map_batches, schema_of, text_or_empty
 from ._text import BYTE_VALUES, U64, Spans, buffers, mix64, shingles, slices, words
+from .license_texts import LICENSE_TEXTS
 
 SHINGLE, WINDOW, STRIDE, BANDS = 5, 4, 2, 48
 PART = WINDOW - STRIDE + 1
+#: Bounds of a caller's templates, which go to every task.
+MAX_TEMPLATES, MAX_TEMPLATE_BYTES = 5000, 16 << 20
 
 # The public wording of license notices.
-TEMPLATES = {
+NOTICES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -50,6 +55,8 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+TEMPLATES = NOTICES | LICENSE_TEXTS
+
 _CODES = np.arange(256)
 _UPPER = (_CODES >= 65) & (_CODES <= 90)
 _SOLID = _UPPER | ((_CODES >= 97) & (_CODES <= 122)) | ((_CODES >= 48) & (_CODES <= 57)) | (_CODES >= 128)
@@ -95,14 +102,20 @@ class Index:
             self.tables.append(table)
 
     def candidates(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Pairs (row, template), as rows of an array, that some band retrieves."""
+        """Pairs (row, template), as rows of an array, that some band retrieves. Windows end where their row ends."""
         if not len(keys):
             return np.zeros((0, 2), np.int64)
-        found, at = [], np.arange(0, len(keys), STRIDE)
-        last = np.minimum(at + WINDOW, len(keys)) - 1
-        rows = np.searchsorted(own, at, side="right") - 1, np.searchsorted(own, last, side="right") - 1
+        size = np.diff(own)
+        begins = np.concatenate([[0], np.cumsum(-(-size // STRIDE) * STRIDE + WINDOW)])
+        row = np.repeat(np.arange(len(size)), size)
+        place = begins[row] + np.arange(len(keys)) - own[row]
+        at = np.arange(0, begins[-1] - WINDOW + 1, STRIDE)
+        of = np.searchsorted(begins, at, side="right") - 1
+        inside = at - begins[of] < size[of]
+        at, of = at[inside], of[inside]
+        found, hashed = [], np.full(begins[-1], 0xFFFFFFFF, dtype=np.uint32)
         for j in range(BANDS):
-            hashed = np.concatenate([_band(keys, j), np.full(WINDOW, 0xFFFFFFFF, dtype=np.uint32)])
+            hashed[place] = _band(keys, j)
             low = hashed[at]
             for step in range(1, WINDOW):
                 low = np.minimum(low, hashed[at + step])
@@ -110,13 +123,21 @@ class Index:
             begin, end = (np.searchsorted(self.minima[j], low[maybe], side=s) for s in ("left", "right"))
             hits = np.repeat(maybe, end - begin)
             if len(hits):
-                inside = np.arange(len(hits)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin)
-                template = self.of[j][np.repeat(begin, end - begin) + inside]
-                # A window may reach into the next row: both are looked at.
-                found += [np.stack([r[hits], template], axis=1) for r in rows]
+                nth = np.arange(len(hits)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin)
+                found.append(np.stack([of[hits], self.of[j][np.repeat(begin, end - begin) + nth]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
+def read_templates(spark: SparkSession, folder: str, most: int = MAX_TEMPLATES, most_bytes: int = MAX_TEMPLATE_BYTES) -> dict[str, str]:
+    """Templates from a folder of text files, named by their files without the ending; refused if there are too many or they are too large."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    files = spark.read.text(folder, wholetext=True).select(name.alias("name"), "value")
+    size = files.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes")).first()
+    if size["n"] > most or size["bytes"] > most_bytes:
+        raise ValueError(f"{size['n']} templates of {size['bytes']} bytes; at most {most} of {most_bytes} bytes")
+    return {r["name"]: r["value"] for r in files.collect()}
+
+
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, templates: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
     """A row for each license found in a document: carried columns (default doc_id), license,
     n_shared, n_shingles (distinct shingles of the template: in the text, in all) and spans

@@ -140,7 +140,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), containment=0.8).select("doc_id", "license", "n_shared", "n_shingles")
 
 
-_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES.items())
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license_scan.TEMPLATES.items())
 _T = r"(?:[A-Za-z0-9]|[^\x00-\x7F])+"
 OP9_SQL = rf"""
 WITH t(license, t) AS (VALUES {_TEMPLATE_ROWS}),

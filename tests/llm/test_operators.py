@@ -401,3 +401,25 @@ def test_pool_of_the_classifier(spark, monkeypatch):
     assert first and len({(v, r) for v, _, r in first}) == len(first)
     out = {r["doc_id"]: r["kept"] for r in quality_classifier.score(docs, model).collect()}
     assert np.mean([out[i] == bool(i % 2) for i in range(240)]) > 0.95
+
+
+@pytest.mark.parametrize("size", [2, 3, 5, 8, 10])
+def test_adjacent_short_rows_of_licenses(spark, size):
+    texts = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "MIT License", "", None, "x Released under the MIT License.", license_scan.NOTICES["mpl-2.0"], "Released under the"]
+    rows = [(i, texts[(i * 3 + i // 8) % 8]) for i in range(48)] + [(100 + i, texts[0]) for i in range(8)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        found = {(r["doc_id"], r["license"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(i, n) for i, t in rows for n, x in (("mit", texts[0]), ("cc-by-nc-4.0", texts[1]), ("mpl-2.0", texts[6])) if t and x in t}
+    assert found == want
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "own-1.0.txt").write_text("One may do with this work all that one likes to.")
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "see: one may do with THIS work all that one likes to"), (2, "else")], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"]) for r in license_scan.scan(docs, templates=templates).collect()] == [(1, "own-1.0")]
+    with pytest.raises(ValueError):
+        license_scan.read_templates(spark, str(tmp_path), most=0)
