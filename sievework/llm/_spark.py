@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -41,7 +44,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*settled: DataFrame) -> None:
+    """Delete what `settle` wrote for these frames; only where all that reads them has been settled itself."""
+    for df in settled:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_keys(*columns: Column | str) -> list[Column]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_batches, row_keys, schema_of, settle, text_or_empty
+from ._spark import map_batches, release, row_keys, schema_of, settle, text_or_empty
 from ._text import BYTE_VALUES, MASK64, U64, Spans, buffers, mix64, slices, word_hashes, words
 
 #: Bits of a packed run of windows that count them; the rest is the first window's start.
@@ -207,7 +207,9 @@ def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None =
     counted = cores.groupBy("_core", "_span").agg(F.count("*").alias("_n"))
     shared = counted.groupBy("_core").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_kinds"), F.max("_n").alias("_most"), F.max_by("_span", "_n").alias("_top")).where("_rows >= 2")
     done = (F.col("_span") == F.col("_top")) & (F.col("_most") >= 2)
-    left = settle(cores.join(settle(shared, "shared"), "_core").select("_k1", "_k2", "_run", "_core", "_span", done.alias("_done"), (F.col("_kinds") > 1).alias("_mixed")), "cores")
+    shared = settle(shared, "shared")
+    left = settle(cores.join(shared, "_core").select("_k1", "_k2", "_run", "_core", "_span", done.alias("_done"), (F.col("_kinds") > 1).alias("_mixed")), "cores")
+    release(shared)
 
     # Collapse: where spans differ, others that occur twice are repeated too; each distinct span goes on as one row.
     mixed = left.where("_mixed")
@@ -225,6 +227,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None =
         if key == keys[-1]:  # spans that stand for copies are settled
             suffixes = suffixes.where("_alone")
         suffixes = settle(suffixes.join(several, group, "left_semi"), "suffixes")
+        release(several, *([written] if k else []))
+        written = suffixes
     edges = suffixes.join(look.select("_uid", "_k1", "_k2"), "_uid").select("_k1", "_k2", F.expr(f"shiftleft(_at, {RUN_BITS}) | 1").alias("_run"))
 
     runs = left.where("_done").select("_k1", "_k2", "_run").unionByName(same.select("_k1", "_k2", "_run")).unionByName(edges)
