@@ -5,22 +5,26 @@ taking the remainder. Pieces are dealt at random into cells of bounded size. In
 decreasing pass opens the bins, then local search improves them: between two underfull bins it moves
 a document, exchanges one for one, two for one or one for two, always so that the fuller bin gains.
 Each exchange raises the sum of squared fills, so the search ends, and poor bins run empty and
-close. Later rounds deal the bins that are still poor into new cells, where bins of different cells
+close. How hard it looks is an `Effort`: passes over the bins, documents of a bin that may go in pairs,
+donors looked back at for one exchange, and the fill up to which later rounds take a bin up again.
+THOROUGH has no such bounds: there a cell ends in a local optimum, where no move or exchange of these
+kinds is left. Later rounds deal the bins that are still poor into new cells, where bins of different cells
 meet, and search on from what they hold, so a round never adds a bin.
 
 No task sees more than a cell, and cells are numbered by row, so neither hot sources nor repeated
 rows make one larger.
 
 Defined results: null and empty texts are the closing token alone; repeated rows are packed one by
-one; an empty table gives no rows; only the named columns are read.
+one; very long texts are cut into as many pieces as they fill; ties go by length, then by place; an
+empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
@@ -33,10 +37,21 @@ from ._spark import map_batches, schema_of, settle, text_or_empty
 from ._text import slices
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces of a cell, about; rounds of search; passes over a cell's bins in a round.
-CELL_PIECES, ROUNDS, PASSES = 4096, 3, 8
-#: Later rounds take the bins filled to this part at most.
-POOR = 0.97
+#: Pieces of a cell, about, and rounds of search.
+CELL_PIECES, ROUNDS = 4096, 3
+
+
+@dataclass(frozen=True)
+class Effort:
+    """Bounds of the search; None is no bound."""
+
+    passes: int | None = 8
+    pairs: int | None = 12
+    looks: int | None = 24
+    poor: float = 0.97
+
+
+USUAL, THOROUGH = Effort(), Effort(None, None, None, 1.0)
 
 
 def vocabulary_path() -> str:
@@ -117,23 +132,27 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def search(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = PASSES) -> list[list[int]]:
+def search(bins: list[list[int]], lengths: list[int], capacity: int, effort: Effort = USUAL) -> list[list[int]]:
     """Local search between underfull bins; returns the bins that are not empty.
 
     For each bin, fullest first, the parts of poorer bins (one document or two) are looked up by
     length for the exchange that fills it most.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(passes):
+    home = {i: b for b, own in enumerate(bins) for i in own}
+    passes = 0
+    while effort.passes is None or passes < effort.passes:
+        passes += 1
         under = [b for b in range(len(bins)) if 0 < fill[b] < capacity]
-        parts = sorted((sum(lengths[i] for i in part), b, part) for b in under for part in _parts(bins[b]))
+        parts = sorted((sum(lengths[i] for i in part), b, part) for b in under for part in _parts(bins[b], lengths, effort))
         sizes = [p[0] for p in parts]
         gained = False
         for b in sorted(under, key=lambda b: -fill[b]):
-            while 0 < fill[b] < capacity and (swap := _best(b, bins, lengths, fill, capacity, parts, sizes)):
+            while 0 < fill[b] < capacity and (swap := _best(b, bins, home, lengths, fill, capacity, parts, sizes, effort)):
                 gain, donor, given, taken = swap
                 bins[b] = [i for i in bins[b] if i not in given] + list(taken)
                 bins[donor] = [i for i in bins[donor] if i not in taken] + list(given)
+                home |= {i: b for i in taken} | {i: donor for i in given}
                 fill[b] += gain
                 fill[donor] -= gain
                 gained = True
@@ -142,24 +161,24 @@ def search(bins: list[list[int]], lengths: list[int], capacity: int, passes: int
     return [b for b in bins if b]
 
 
-def _parts(own: list[int]) -> list[tuple[int, ...]]:
-    """Single documents, and pairs of the twelve last (smallest) ones."""
-    tail = own[-12:]
-    return [(i,) for i in own] + [(i, j) for n, i in enumerate(tail) for j in tail[n + 1 :]]
+def _parts(own: list[int], lengths: list[int], effort: Effort) -> list[tuple[int, ...]]:
+    """Single documents, and pairs of the smallest ones."""
+    small = sorted(own, key=lambda i: (-lengths[i], i))[-effort.pairs :] if effort.pairs else own
+    return [(i,) for i in own] + [(i, j) for n, i in enumerate(small) for j in small[n + 1 :]]
 
 
-def _best(b, bins, lengths, fill, capacity, parts, sizes):
+def _best(b, bins, home, lengths, fill, capacity, parts, sizes, effort):
     """(gain, donor, documents given, documents taken) that fills bin b most, or None."""
     free, best = capacity - fill[b], None
-    for given in [(), *_parts(bins[b])]:
+    for given in [(), *_parts(bins[b], lengths, effort)]:
         out = sum(lengths[i] for i in given)
         at = bisect_right(sizes, out + free) - 1
-        for look in range(at, max(-1, at - 24), -1):
+        for look in range(at, -1 if effort.looks is None else max(-1, at - effort.looks), -1):
             size, donor, taken = parts[look]
             gain = size - out
             if gain <= (best[0] if best else 0):
                 break
-            if donor != b and 0 < fill[donor] <= fill[b] and not (len(given) == 2 and len(taken) == 2) and all(i in bins[donor] for i in taken):
+            if donor != b and 0 < fill[donor] <= fill[b] and not (len(given) == 2 and len(taken) == 2) and all(home[i] == donor for i in taken):
                 best = gain, donor, given, taken
                 break
         if best and best[0] == free:
@@ -167,7 +186,7 @@ def _best(b, bins, lengths, fill, capacity, parts, sizes):
     return best
 
 
-def _pack_cell(carry: list[str], capacity: int, first: bool, round_no: int):
+def _pack_cell(capacity: int, first: bool, round_no: int, effort: Effort):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)
         lengths = rows["length"].tolist()
@@ -177,7 +196,7 @@ def _pack_cell(carry: list[str], capacity: int, first: bool, round_no: int):
             bins = [g.tolist() for g in rows.groupby("sequence_id", sort=True).indices.values()]
             for b in bins:
                 b.sort(key=lambda i: -lengths[i])
-        bins = search(bins, lengths, capacity)
+        bins = search(bins, lengths, capacity, effort)
         place, offset, filled = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for k, b in enumerate(bins):
             at = 0
@@ -191,7 +210,7 @@ def _pack_cell(carry: list[str], capacity: int, first: bool, round_no: int):
     return pack
 
 
-def pack(cut: DataFrame, carry: list[str] | None = None, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, carry: list[str] | None = None, capacity: int = CAPACITY, rounds: int = ROUNDS, effort: Effort = USUAL) -> DataFrame:
     """Pieces (of `pieces`) with sequence_id and offset; sequences are gapless from offset 0."""
     carry = ["doc_id"] if carry is None else carry
     now = settle(cut, "pieces")
@@ -205,8 +224,8 @@ def pack(cut: DataFrame, carry: list[str] | None = None, capacity: int = CAPACIT
             dealt = dealt.withColumn("_cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)).cast("long"))
         else:
             dealt = now.withColumn("_cell", F.pmod(F.xxhash64(F.lit(round_no), "sequence_id"), F.lit(cells)).cast("long"))
-        packed = settle(dealt.groupBy("_cell").applyInPandas(_pack_cell(carry, capacity, not round_no, round_no), dealt.schema).drop("_cell"), "packed")
-        poor = F.col("_fill") <= int(POOR * capacity)
+        packed = settle(dealt.groupBy("_cell").applyInPandas(_pack_cell(capacity, not round_no, round_no, effort), dealt.schema).drop("_cell"), "packed")
+        poor = F.col("_fill") <= int(effort.poor * capacity)
         if round_no < rounds - 1:
             done.append(packed.where(~poor))
             now = packed.where(poor)
@@ -218,6 +237,6 @@ def pack(cut: DataFrame, carry: list[str] | None = None, capacity: int = CAPACIT
     return out.select(*(F.col(f"`{c}`") for c in columns))
 
 
-def sequences(docs: DataFrame, text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, carry: list[str] | None = None) -> DataFrame:
+def sequences(docs: DataFrame, text: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, carry: list[str] | None = None, effort: Effort = USUAL) -> DataFrame:
     """Tokenise, cut and pack a table of documents."""
-    return pack(pieces(docs, text, carry, vocabulary, capacity), carry, capacity)
+    return pack(pieces(docs, text, carry, vocabulary, capacity), carry, capacity, effort=effort)
