@@ -8,12 +8,15 @@ pages at once, and decoded by Viterbi.
 
 Labelled pages are (html, main text) pairs, a line of text for each block; `example_pages` lays out a fixed number of them in the
 usual page designs. Training takes a bounded list of them on the driver; extraction runs page by page
-over Arrow batches and has no shuffle.
+over Arrow batches and has no shuffle. Open elements are linked to their parents and share what is known of
+their ancestors, so a page takes time and memory in proportion to its length.
 
 Defined results: null and empty pages, and pages without main text, give an empty text; character
 references are decoded; white space in a block becomes one space; unclosed and stray tags, comments
-and raw scripts are read as browsers do in the common cases; every row gives one row, in whatever
-number it is repeated; an empty table gives no rows; only the html and carried columns are read.
+and raw scripts are read as browsers do in the common cases; elements nested deeper than MAX_DEPTH are
+siblings at that depth, as in browsers, and an element lends MAX_NAMES words of its names at most; very
+long pages are read whole; every row gives one row, in whatever number it is repeated; an empty table
+gives no rows; only the html and carried columns are read.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,39 +41,66 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+#: Depth of open elements, and words of an element's class, id and role that are looked at.
+MAX_DEPTH, MAX_NAMES = 512, 32
+
 # HTML elements by kind.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+INERT = frozenset("noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math mi mn mo ms mrow msub msup msubsup mfrac msqrt mroot mtext mspace semantics".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
-LISTS = frozenset("ul ol dl table".split())
+LISTS = frozenset("ul ol dl table select".split())
+END_OF = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW | INERT}
+
+
+class Element:
+    """An open element: its tag and parent, whether it is inside a link, and what its leaves inherit."""
+
+    __slots__ = ("tag", "inside", "linked", "told", "leaf", "depth")
+
+    def __init__(self, tag: str, parent: Element | None, names: tuple[str, ...]) -> None:
+        self.tag = tag
+        self.linked = tag == "a" or parent is not None and parent.linked
+        told, leaf, depth = (parent.told, parent.leaf, parent.depth) if parent else (frozenset(), "none", 0)
+        if tag in INLINE or tag in ("html", "body"):
+            own = ()
+        else:
+            leaf, depth, own = tag, depth + 1, (f"in={tag}",)
+        if tag not in INLINE:
+            own = (*own, *(f"name={w}" for w in names))
+        new = [x for x in own if x not in told]
+        self.told, self.leaf, self.depth = told.union(new) if new else told, leaf, depth
 
 
 @dataclass
 class Block:
-    """Text of a leaf, its ancestors (tag, words of names), and how many of its characters are links."""
+    """Text of a leaf, what its ancestors tell (features), the innermost one's tag, their number, and how many of its characters are links."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    told: frozenset[str]
+    leaf: str
+    depth: int
     linked: int
 
 
 def _names(attributes: str) -> tuple[str, ...]:
-    found = []
+    found: list[str] = []
     for key, *values in ATTRIBUTE.findall(attributes):
         if key.lower() in ("hidden", "aria-hidden"):
             found += ["hidden"] if "false" not in values else []
         else:
-            found += [w.lower() for w in NAME_PARTS.findall("".join(values))]
-    return tuple(found)
+            found += [w.lower() for w in islice((m[0] for m in NAME_PARTS.finditer("".join(values))), MAX_NAMES)]
+    return tuple(found[:MAX_NAMES])
 
 
 def leaf_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Element("html", None, ())
+    stack: list[Element] = []
     buffer: list[str] = []
     linked = 0
 
@@ -77,7 +109,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if buffer:
             text = " ".join(html_lib.unescape("".join(buffer)).split())
             if text:
-                blocks.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), linked))
+                top = stack[-1] if stack else root
+                blocks.append(Block(text, top.told, top.leaf, top.depth, linked))
             buffer.clear()
         linked = 0
 
@@ -85,7 +118,7 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal linked
         if text:
             buffer.append(text)
-            if any(x[0] == "a" for x in stack):
+            if stack and stack[-1].linked:
                 linked += len(text)
 
     at = 0
@@ -100,29 +133,36 @@ def leaf_blocks(page: str) -> list[Block]:
             if name not in INLINE:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].tag == name:
                     del stack[k:]
                     break
-                if name in INLINE and stack[k][0] not in INLINE:
+                if name in INLINE and stack[k].tag not in INLINE:
                     break
             continue
         if name == "br":
             say(" ")
             continue
-        if name in RAW and not rest.endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if name in END_OF and not rest.endswith("/"):
+            if end := END_OF[name].search(page, at):
+                at = end.end()
+            elif name in RAW:  # what an unclosed one swallows, browsers do not show either
+                at = len(page)
             continue
         if name not in INLINE:
             flush()
             # A block closes an open paragraph with what is inside it; list and table parts their like.
+            closes = CLOSES.get(name, frozenset())
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in LISTS or stack[k][0] not in INLINE and stack[k][0] != "p" and stack[k][0] not in CLOSES.get(name, ()):
+                tag = stack[k].tag
+                if tag in LISTS or tag not in INLINE and tag != "p" and tag not in closes:
                     break
-                if stack[k][0] == "p" or stack[k][0] in CLOSES.get(name, ()):
+                if tag == "p" or tag in closes:
                     del stack[k:]
         if name not in VOID and not rest.endswith("/"):
-            stack.append((name, _names(rest) if "=" in rest or "hidden" in rest else ()))
+            if len(stack) >= MAX_DEPTH:
+                flush()
+                stack.pop()
+            stack.append(Element(name, stack[-1] if stack else root, _names(rest) if "=" in rest or "hidden" in rest else ()))
     say(page[at:])
     flush()
     return blocks
@@ -132,15 +172,15 @@ def _bucket(n: int, marks: tuple[int, ...]) -> int:
     return sum(n >= m for m in marks)
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
+def features(blocks: list[Block], known: Set[str] | None = None) -> list[list[str]]:
+    """The features of every block; of what ancestors tell only the known ones, if given."""
     out = []
     for k, b in enumerate(blocks):
         text, n = b.text, len(b.text)
         n_words = text.count(" ") + 1
-        tags = [tag for tag, _ in b.path if tag not in ("html", "body")]
-        own = ["bias", f"leaf={tags[-1] if tags else 'none'}", f"words={_bucket(n_words, (2, 4, 8, 16, 32, 64))}", f"links={_bucket(100 * b.linked // n, (1, 30, 70))}"]
-        own += {f"in={tag}" for tag in tags} | {f"name={w}" for _, names in b.path for w in names}
-        own += [f"end={'dot' if text[-1] in '.!?:;…”\"»)' else 'open'}", f"marks={_bucket(text.count(',') + text.count('. '), (1, 3, 6))}", f"depth={min(len(tags), 6)}"]
+        own = ["bias", f"leaf={b.leaf}", f"words={_bucket(n_words, (2, 4, 8, 16, 32, 64))}", f"links={_bucket(100 * b.linked // n, (1, 30, 70))}"]
+        own += b.told if known is None else b.told & known
+        own += [f"end={'dot' if text[-1] in '.!?:;…”\"»)' else 'open'}", f"marks={_bucket(text.count(',') + text.count('. '), (1, 3, 6))}", f"depth={min(b.depth, 6)}"]
         if k == 0 or k == len(blocks) - 1:
             own.append("first" if k == 0 else "last")
         if "©" in text or "(c)" in text:
@@ -192,42 +232,58 @@ def fit(pages: Iterable[tuple[str, str]], steps: int = 300, ridge: float = 0.002
     names = {name: i for i, name in enumerate(sorted({n for page in found for own in page for n in own}))}
     length = np.array([len(p) for p in found])
     n, longest = len(found), length.max()
-    x = np.zeros((n, longest, len(names)), dtype=np.float32)
     y = np.zeros((n, longest), dtype=np.int64)
-    for i, page in enumerate(found):
-        for t, own in enumerate(page):
-            x[i, t, [names[name] for name in own]] = 1
-            y[i, t] = states[i][t]
     on = np.arange(longest)[None, :] < length[:, None]
+    x = np.zeros((int(length.sum()), len(names)), dtype=np.float32)  # the blocks of all pages in a row
+    row = 0
+    for i, page in enumerate(found):
+        y[i, : len(page)] = states[i]
+        for own in page:
+            x[row, [names[name] for name in own]] = 1
+            row += 1
     w, moves, start = np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2)
     past = [np.full_like(p, 1e-8) for p in (w, moves, start)]
-    hot = np.eye(2)[y] * on[:, :, None]
-    both = on[:, 1:, None, None] * hot[:, :-1, :, None] * hot[:, 1:, None, :]
-
-    def soft(v: np.ndarray, axis: int) -> np.ndarray:
-        top = v.max(axis=axis, keepdims=True)
-        return (np.log(np.exp(v - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
-
     for _ in range(steps):
-        unary = x @ w.astype(np.float32)
-        ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = unary[:, 0] + start
-        for t in range(1, longest):
-            step = soft(ahead[:, t - 1, :, None] + moves, 1) + unary[:, t]
-            ahead[:, t] = np.where(on[:, t, None], step, ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            step = soft(moves + (unary[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            behind[:, t] = np.where(on[:, t + 1, None], step, 0)
-        total = soft(ahead[:, -1], 1)
-        p = np.exp(ahead + behind - total[:, None, None]) * on[:, :, None]
-        pair = np.exp(ahead[:, :-1, :, None] + moves + (unary[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]) * on[:, 1:, None, None]
-        grads = (np.einsum("ntf,nts->fs", x, hot - p) / n - ridge * w, (both - pair).sum(axis=(0, 1)) / n - ridge * moves, (hot - p)[:, 0].sum(axis=0) / n - ridge * start)
+        unary = np.zeros((n, longest, 2))
+        unary[on] = x @ w.astype(np.float32)
+        single, pair, first = gradients(unary, moves, start, y, on)
+        grads = (x.T @ single[on].astype(np.float32) / n - ridge * w, pair / n - ridge * moves, first / n - ridge * start)
         for value, seen, grad in zip((w, moves, start), past, grads, strict=True):
             seen += grad**2
             value += rate * grad / np.sqrt(seen)
     return Field({name: (float(w[i, 0]), float(w[i, 1])) for name, i in names.items()}, moves, start)
 
 
+def _log_sum(v: np.ndarray, axis: int) -> np.ndarray:
+    top = v.max(axis=axis, keepdims=True)
+    return (np.log(np.exp(v - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+
+
+def gradients(unary: np.ndarray, moves: np.ndarray, start: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Observed minus expected states (pages x blocks x 2), moves (2 x 2) and first states (2), by forward-backward."""
+    n, longest, _ = unary.shape
+    hot = np.eye(2)[y] * on[:, :, None]
+    both = on[:, 1:, None, None] * hot[:, :-1, :, None] * hot[:, 1:, None, :]
+    ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    ahead[:, 0] = unary[:, 0] + start
+    for t in range(1, longest):
+        step = _log_sum(ahead[:, t - 1, :, None] + moves, 1) + unary[:, t]
+        ahead[:, t] = np.where(on[:, t, None], step, ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        step = _log_sum(moves + (unary[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+        behind[:, t] = np.where(on[:, t + 1, None], step, 0)
+    total = _log_sum(ahead[:, -1], 1)
+    p = np.exp(ahead + behind - total[:, None, None]) * on[:, :, None]
+    pair = np.exp(ahead[:, :-1, :, None] + moves + (unary[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]) * on[:, 1:, None, None]
+    return hot - p, (both - pair).sum(axis=(0, 1)), (hot - p)[:, 0].sum(axis=0)
+
+
+@lru_cache(maxsize=1)
+def usual_field() -> Field:
+    """The field fitted on `example_pages`, once a process."""
+    return fit(example_pages())
+
+
 def example_pages(n: int = 160, seed: int = 7) -> list[tuple[str, str]]:
     """Labelled pages in the usual designs, with invented words."""
     draw = random.Random(seed)
@@ -279,7 +335,7 @@ def example_pages(n: int = 160, seed: int = 7) -> list[tuple[str, str]]:
         ad = pick(f'<div class="ad">{prose(1, 2)}</div>', f'<div class="{pick("advertisement", "banner ad", "ads", "promo")}"><p>{prose(1, 2)}</p></div>', "")
         side = pick(f'<aside>{menu(3)}<p>{prose(1, 2)}</p></aside>', f'<div class="{pick("sidebar", "side widget", "related")}"><h3>{title()}</h3>{menu(4)}<p>{prose(1, 2)}</p></div>', "", "")
         notice = pick(f'<div class="{pick("cookie-notice", "cookie-banner", "consent", "notice", "alert popup", "gdpr-modal")}"><p>{prose(1, 2)}</p><button>{draw.choice(syllables)}</button></div>', "", "")
-        form = pick(f'<form class="{pick("search", "login", "subscribe")}"><label>{title()}</label><input><button>{draw.choice(syllables)}</button></form>', "", "")
+        form = pick(f'<form class="{pick("search", "login", "subscribe")}"><label>{title()}</label><select><option>{draw.choice(syllables)}<option>{title()}</select><input><button>{draw.choice(syllables)}</button></form>', "", "")
         said = "".join(f'<{(t := pick("div", "li", "p"))} class="{pick("comment", "reply", "comment-body")}">{prose(1, 4)}</{t}>' for _ in range(draw.randint(1, 4)))
         comments = pick(f'<{(t := pick("section", "div"))} {pick("id", "class")}="{pick("comments", "comment-list", "discussion responses", "disqus comments")}"><h3>{title()}</h3>{said}</{t}>', "", "")
         foot = pick(f"<footer>&copy; {title()} &middot; {prose(1, 2)}</footer>", f'<div id="footer"><p>{prose(1, 2)}</p></div>', f'<footer class="site-footer"><p>&copy; {title()}</p>{menu(3)}</footer>', f'<div class="{pick("footer", "copyright", "bottom")}">{prose(1, 1)}</div>')
@@ -301,7 +357,7 @@ def extract(pages: DataFrame, field: Field, html: str = "html", carry: list[str]
             texts, n_blocks, n_main = [], [], []
             for page in part.column("_text"):
                 blocks = leaf_blocks(page.as_py())
-                main = [b.text for b, m in zip(blocks, field.decode(features(blocks)), strict=True) if m]
+                main = [b.text for b, m in zip(blocks, field.decode(features(blocks, field.weights.keys())), strict=True) if m]
                 texts.append(" ".join(main))
                 n_blocks.append(len(blocks))
                 n_main.append(len(main))

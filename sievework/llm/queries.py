@@ -94,8 +94,7 @@ FROM o GROUP BY conv_id
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    field = html_extract.fit(html_extract.example_pages())
-    found = html_extract.extract(table(spark, sf_dir, "pages"), field)
+    found = html_extract.extract(table(spark, sf_dir, "pages"), html_extract.usual_field())
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

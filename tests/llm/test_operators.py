@@ -486,3 +486,59 @@ def test_thorough_packing_ends_in_a_local_optimum():
                 for y in parts[b]:
                     gain = sum(lengths[i] for i in y) - sum(lengths[i] for i in x)
                     assert not (y and len(x) + len(y) < 4 and 0 < gain <= 100 - fill[a])
+
+
+def test_html_of_unseen_names():
+    field = html_extract.usual_field()
+    strange = lambda page: re.sub(r'(class|id)="([^"]*)"', lambda m: f'{m[1]}="' + " ".join("q" + hashlib.md5(w.encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for w in m[2].split()) + '"', page)
+    wrong = total = 0
+    for page, main in html_extract.example_pages(60, seed=123):
+        blocks = html_extract.leaf_blocks(strange(page))
+        for block, state in zip(blocks, field.decode(html_extract.features(blocks)), strict=True):
+            total += 1
+            wrong += state != (block.text in main.split("\n"))
+    assert wrong <= 0.07 * total
+    inside = '<article class="post"><h1>A title of it</h1><p>The first words, which are long enough to be read.</p><div class="comments"><p>Reader here, I do not agree.</p></div><p>The last words, which are long enough, too.</p><math><mi>x</mi><mo>=</mo><mn>1</mn></math></article>'
+    blocks = html_extract.leaf_blocks(inside)
+    main = [b.text for b, m in zip(blocks, field.decode(html_extract.features(blocks)), strict=True) if m]
+    assert main[:3] == ["A title of it", "The first words, which are long enough to be read.", "The last words, which are long enough, too."] and "Reader here, I do not agree." not in main
+    assert [b.text for b in html_extract.leaf_blocks("<p>a<noscript>b<p>c<svg><text>d</text></svg><math><mi>x</mi><mo>=</mo></math><script>e")] == ["ab", "c", "d", "x="]
+
+
+def test_html_takes_memory_in_proportion():
+    import tracemalloc
+
+    peaks = []
+    for n in (2000, 8000):
+        tracemalloc.start()
+        blocks = html_extract.leaf_blocks("<div class='a b c'>w" * n)
+        html_extract.features(blocks)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(blocks) == n
+    assert peaks[1] < 6 * peaks[0]
+
+
+def test_field_against_enumeration():
+    from itertools import product
+
+    draw = np.random.default_rng(8)
+    moves, start = draw.normal(size=(2, 2)), draw.normal(size=2)
+    unary, y, on = draw.normal(size=(3, 5, 2)), draw.integers(0, 2, (3, 5)), np.arange(5)[None, :] < np.array([[5], [3], [1]])
+    y, unary = y * on, unary * on[:, :, None]
+    single, pair, first = html_extract.gradients(unary, moves, start, y, on)
+    want_single, want_pair, want_first = np.zeros((3, 5, 2)), np.zeros((2, 2)), np.zeros(2)
+    for i in range(3):
+        n = int(on[i].sum())
+        score = lambda s, i=i, n=n: start[s[0]] + sum(unary[i, t, s[t]] for t in range(n)) + sum(moves[a, b] for a, b in zip(s, s[1:], strict=False))
+        paths = list(product((0, 1), repeat=n))
+        odds = np.exp([score(s) for s in paths])
+        for s, p in [*zip(paths, -odds / odds.sum(), strict=True), (tuple(y[i, :n]), 1.0)]:
+            want_first[s[0]] += p
+            for t in range(n):
+                want_single[i, t, s[t]] += p
+            for a, b in zip(s, s[1:], strict=False):
+                want_pair[a, b] += p
+        weights = {str(t): tuple(unary[i, t]) for t in range(n)}
+        assert html_extract.Field(weights, moves, start).decode([[str(t)] for t in range(n)]) == [bool(v) for v in max(paths, key=score)]
+    assert np.allclose(single, want_single) and np.allclose(pair, want_pair) and np.allclose(first, want_first)
