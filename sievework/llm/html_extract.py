@@ -326,7 +326,10 @@ def example_pages(n: int = 160, seed: int = 7) -> list[tuple[str, str]]:
                 body += "<ul>" + "".join(told("li", sentence(3, 14)) for _ in range(3)) + "</ul>"
             elif kind < 0.92:
                 body += "<blockquote>" + told("p", prose(1, 2)) + "</blockquote>"
-            elif kind < 0.96:
+            elif kind < 0.94:
+                kin = pick("comments", "comment", "reader-comments", "responses", "discussion")
+                body += f'<{(t := pick("div", "section"))} {pick("id", "class")}="{kin}">' + "".join(f"<p>{prose(1, 3)}</p>" for _ in range(draw.randint(1, 2))) + f"</{t}>"
+            elif kind < 0.97:
                 body += f'<div class="{pick("ad", "advert", "ads banner", "sponsored promo")}">{prose(1, 2)}</div>'
             else:
                 body += f'<{(t := pick("aside", "div"))} class="{pick("related", "share social", "newsletter signup")}"><p>{sentence(3, 12)}</p></{t}>'

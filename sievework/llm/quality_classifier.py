@@ -1,21 +1,23 @@
 """Quality classifier by co-training.
 
-Two views of a document that share nothing: its *text content* (hashed word frequencies, character
-and repetition statistics) and its *page metadata* (source, language, stated length, and the layout
-of the page: lines and their lengths). Each has a logistic classifier. Both start from the labelled
+Two views of a document: its *text content* (hashed word frequencies, character and repetition
+statistics) and its *page metadata* (source, language, stated length, and the layout of the page: how
+many lines there are, how long they are, what they begin and end with, and marks of cells; no word is
+read). Each has a logistic classifier. Both start from the labelled
 documents; then over ROUNDS rounds each gives the other the unlabelled documents that it is most sure
 of as pseudo-labels, as many of each class as the classes' shares allow. Both are then calibrated on
 labelled documents that neither was trained on, and a logistic layer over the two calibrated log odds,
-fitted there too, gives the score.
+fitted there too with weights of zero or more, gives the score.
 
 Training takes a bounded sample of labelled documents only: MAX_LABELLED, those with the least hashes of
 their ids. The pool of pseudo-labels is every unlabelled document: features are written once, each round
-scores all of them on Spark, and only the surest rows, at most SHARE_A_ROUND of MAX_UNLABELLED a view and
-round, come to the driver. Scoring reads every document, by numpy passes over Arrow batches, with no shuffle.
+scores all of them on Spark, and the surest rows that a view tells the other, SHARE_A_ROUND of the pool but
+A_ROUND at most, come to the driver. Scoring reads every document, by numpy passes over Arrow batches, with no shuffle.
 
 Defined results: null texts are empty; null sources and languages are values of their own; documents
 with several labels count with the mean of them, several documents of one id as one of them in training; labels of unknown documents and null labels are left
-out; without labels of both classes every score is the share of good ones (1 if there are none, so
+out, and so are rows without an id, in training; texts of any length are read whole; ties in sureness go by a hash of
+the id; without labels of both classes every score is the share of good ones (1 if there are none, so
 nothing is rejected); an empty table gives no rows; other columns are not read.
 """
 
@@ -33,8 +35,8 @@ from . import quality_rules
 from ._spark import map_batches, schema_of, settle, text_or_empty
 from ._text import U64, buffers, mix64, slices, word_hashes, words
 
-#: Bounds of the labelled sample, and of what shares of the unlabelled documents are counted from.
-MAX_LABELLED, MAX_UNLABELLED = 4000, 4000
+#: Bounds of the labelled sample, and of the pseudo-labels that a view gives in a round.
+MAX_LABELLED, A_ROUND = 4000, 200
 ROUNDS, SURE, SHARE_A_ROUND = 5, 0.95, 0.05
 WORD_BINS, NAME_BINS = 512, 32
 THRESHOLD = 0.5
@@ -84,6 +86,27 @@ def _named(column: pa.Array) -> np.ndarray:
     return np.eye(NAME_BINS, dtype=np.float32)[at]
 
 
+def _layout(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Of each row's lines that are not empty: what they begin and end with, and their lengths."""
+    n = len(offsets) - 1
+    start = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+    start = start[start < len(data)]
+    end = np.concatenate([start[1:], [len(data)]]) if len(start) else start
+    row = np.searchsorted(offsets, start, side="right") - 1
+    end = end - (data[np.maximum(end, 1) - 1] == 10) if len(start) else end
+    full = end > start
+    start, end, row = start[full], end[full], row[full]
+    size, count = end - start, np.bincount(row, minlength=n)
+    first, last = data[start], data[end - 1]
+    share = lambda flag: _per(np.bincount(row[flag], minlength=n), count)
+    mean = _per(np.bincount(row, weights=size, minlength=n), count)
+    spread = np.sqrt(np.maximum(_per(np.bincount(row, weights=size.astype(np.float64) ** 2, minlength=n), count) - mean**2, 0))
+    ends = [share(np.isin(last, np.frombuffer(marks, dtype=np.uint8))) for marks in (b".", b"!?", b",;:", b"|*#$%&-")]
+    begins = [share((first >= 65) & (first <= 90)), share(np.isin(first, np.frombuffer(b"-*#|>", dtype=np.uint8)))]
+    cells = _per(quality_rules._sums(data == 124, offsets), count) / 4
+    return [*ends, *begins, share(size < 40), share(size > 400), np.log1p(mean) / 8, np.log1p(spread) / 8, np.log1p(cells)]
+
+
 def page_view(data: np.ndarray, offsets: np.ndarray, source: pa.Array, lang: pa.Array, stated: np.ndarray) -> np.ndarray:
     """Metadata features of each row: names, lengths and layout; no word is read."""
     breaks = quality_rules._sums(data == 10, offsets)
@@ -93,11 +116,14 @@ def page_view(data: np.ndarray, offsets: np.ndarray, source: pa.Array, lang: pa.
     bits = [np.log1p(size) / 8, np.log1p(np.maximum(stated, 0)) / 8, np.log1p(breaks) / 4, np.log1p(size / (breaks + 1)) / 8, _per(quality_rules._sums(blank, offsets), breaks), size < 64, size > 16384, np.abs(stated - size) > 0.5 * size]
     lengths = np.log1p(size)[:, None]
     hat = np.maximum(0, 1 - np.abs(lengths - np.arange(0, 14)[None, :]))
-    return np.hstack([_named(source), _named(lang), np.column_stack([np.asarray(b, dtype=np.float64) for b in bits]), hat]).astype(np.float32)
+    columns = [np.asarray(b, dtype=np.float64) for b in (*bits, *(4 * x for x in _layout(data, offsets)))]
+    return np.hstack([_named(source), _named(lang), np.column_stack(columns), hat]).astype(np.float32)
+
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 200, start: np.ndarray | None = None, signed: bool = True) -> np.ndarray:
+    """Weights (the last is the bias) by accelerated gradient descent on the log loss, in single precision.
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 200, start: np.ndarray | None = None) -> np.ndarray:
-    """Weights (the last is the bias) by accelerated gradient descent on the log loss, in single precision."""
+    signed: if not, all weights but the bias stay at zero or more."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     y = y.astype(np.float32)
     penalty = np.full(x.shape[1], ridge, dtype=np.float32)
@@ -107,6 +133,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
         new = ahead - step * ((p - y) @ x / np.float32(len(x)) + penalty * ahead)
+        if not signed:
+            new[:-1] = np.maximum(new[:-1], 0)
         ahead, w = new + np.float32(k / (k + 3)) * (new - w), new
     return w
 
@@ -179,7 +207,7 @@ def _arrays(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.stack([np.frombuffer(r, dtype=np.float32) for r in rows.column(n).to_pylist()]) for n in ("_text", "_page"))
 
 
-def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool: Pool, max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS) -> Model:
+def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool: Pool, a_round: int = A_ROUND, rounds: int = ROUNDS) -> Model:
     """y: 1 good, 0 bad. Every fourth labelled row is held out for calibration."""
     labelled = np.arange(len(y))
     prior = float(np.mean(y))
@@ -199,7 +227,7 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool: Pool, max_
         return max(float(w[0]) / spread, 0.0), float(w[1])
 
     models = [fit(0), fit(1)]
-    most = {good: int(np.ceil(SHARE_A_ROUND * min(pool.size, max_unlabelled) * share)) for good, share in ((1.0, prior), (0.0, 1 - prior))}
+    most = {good: int(np.ceil(min(SHARE_A_ROUND * pool.size, a_round) * share)) for good, share in ((1.0, prior), (0.0, 1 - prior))}
     for _ in range(rounds if pool.size else 0):
         scales = [scale(logit_of(views[v][held], models[v])) for v in (0, 1)]
         chosen = pool.surest(models, scales, told, most)
@@ -211,7 +239,7 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool: Pool, max_
         models = [fit(0, models[0]), fit(1, models[1])]
     scales = [scale(logit_of(views[v][held], models[v])) for v in (0, 1)]
     odds = np.column_stack([s[0] * logit_of(views[v][held], models[v]) + s[1] for v, s in enumerate(scales)])
-    layer = fit_logistic(np.clip(odds, -10, 10), hard[held], ridge=1e-3, steps=600)
+    layer = fit_logistic(np.clip(odds, -10, 10), hard[held], ridge=1e-3, steps=600, signed=False)
     return Model(models[0], models[1], scales[0], scales[1], tuple(float(x) for x in layer), prior)
 
 
@@ -234,7 +262,7 @@ def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text_view(data, offsets), page_view(data, offsets, part.column("_source"), part.column("_lang"), part.column("_stated").to_numpy())
 
 
-def train(docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), target: str = "quality", max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), target: str = "quality", max_labelled: int = MAX_LABELLED, a_round: int = A_ROUND, rounds: int = ROUNDS) -> Model:
     """Co-train on a bounded sample of the labelled and on all other `docs`, with labels (id, target 0 or 1)."""
     known = labels.where(F.col(columns.id).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(columns.id).alias("_id")).agg(F.avg(target).cast("double").alias("_y"))
     plain = _plain(docs.where(F.col(f"`{columns.id}`").isNotNull()), columns, [columns.id]).withColumnRenamed(columns.id, "_id").withColumn("_hash", F.xxhash64("_text", "_source", "_lang", "_stated"))
@@ -252,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, columns: Columns = Columns(), targ
         return Model(None, None)
     y = np.array(sample.column("_y").to_pylist(), dtype=np.float64)
     pool = Pool(features, ids.join(known, "_id", "left_anti").select("_uid", F.xxhash64("_id", F.lit(2)).alias("_draw")))
-    return co_train(*_arrays(sample), y, pool, max_unlabelled)
+    return co_train(*_arrays(sample), y, pool, a_round, rounds)
 
 
 def score(docs: DataFrame, model: Model, columns: Columns = Columns(), carry: list[str] | None = None) -> DataFrame:

@@ -392,7 +392,7 @@ def test_pool_of_the_classifier(spark, monkeypatch):
     seen = []
     original = quality_classifier.Pool.surest
     monkeypatch.setattr(quality_classifier.Pool, "surest", lambda self, *a: seen.append((self.size, original(self, *a))) or seen[-1][1])
-    model = quality_classifier.train(docs, told, max_labelled=150, max_unlabelled=40)
+    model = quality_classifier.train(docs, told, max_labelled=150, a_round=4)
     assert model.text is not None and model.prior > 0.3
     assert {n for n, _ in seen} == {40}
     first = seen[0][1]
@@ -542,3 +542,50 @@ def test_field_against_enumeration():
         weights = {str(t): tuple(unary[i, t]) for t in range(n)}
         assert html_extract.Field(weights, moves, start).decode([[str(t)] for t in range(n)]) == [bool(v) for v in max(paths, key=score)]
     assert np.allclose(single, want_single) and np.allclose(pair, want_pair) and np.allclose(first, want_first)
+
+
+class ListedPool:
+    """The pool of a small table in memory."""
+
+    def __init__(self, text: np.ndarray, page: np.ndarray):
+        self.views, self.size = (text, page), len(text)
+
+    def surest(self, models, scales, told, most):
+        bound, out = np.log(quality_classifier.SURE / (1 - quality_classifier.SURE)), []
+        for v in (0, 1):
+            odds = scales[v][0] * quality_classifier.logit_of(self.views[v], models[v]) + scales[v][1]
+            for good, sign in ((1.0, 1), (0.0, -1)):
+                best = [int(i) for i in np.argsort(-sign * odds, kind="stable") if sign * odds[i] >= bound and int(i) not in told[1 - v]]
+                out += [(v, good, i) for i in best[: most[good]]]
+        return out
+
+    def fetch(self, rows):
+        return {r: (self.views[0][r], self.views[1][r]) for r in rows}
+
+
+def test_rounds_help_where_views_are_independent():
+    draw, gains = np.random.default_rng(12), []
+    for _ in range(8):
+        y = draw.integers(0, 2, 4000).astype(float)
+        views = [(np.outer(2 * y - 1, draw.normal(size=30) * 0.35) + draw.normal(size=(4000, 30))).astype(np.float32) for _ in range(2)]
+        known, pool, held = slice(0, 48), slice(48, 2000), slice(2000, 4000)
+        right = []
+        for rounds in (0, 5):
+            model = quality_classifier.co_train(views[0][known], views[1][known], y[known], ListedPool(views[0][pool], views[1][pool]), rounds=rounds)
+            assert min(model.layer[:2]) >= 0
+            right.append(np.mean((model.score(views[0][held], views[1][held]) >= 0.5) == y[held]))
+        gains.append(right[1] - right[0])
+    assert np.mean(gains) > 0.005, gains
+
+
+def test_page_view_alone(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    half = F.xxhash64("doc_id", F.lit(77)) % 2 == 0
+    model = quality_classifier.train(docs, labels.where(half))
+    out = quality_classifier.score(docs, model).join(labels.where(~half), "doc_id").select("quality", "score", "text_odds", "page_odds").toPandas()
+    good, bad = out[out["quality"] == 1], out[out["quality"] == 0]
+    for name, least in (("score", 0.99), ("text_odds", 0.99), ("page_odds", 0.95)):
+        area = np.searchsorted(np.sort(bad[name].to_numpy()), good[name].to_numpy()).sum() / (len(good) * len(bad))
+        assert area > least, (name, area)
+    assert min(model.layer[:2]) >= 0
