@@ -16,7 +16,8 @@ rounds of one row per member; so groups of thousands of copies cost one comparis
 is still in different components of one bucket then meets member by member, so that no link which
 could join two classes is lost: first in the join itself by sketches (four bits of each coordinate),
 where a pair goes on unless it disagrees more often than a pair at the threshold ever would (SURE
-standard deviations, 1e-5), then exactly.
+standard deviations, 1e-5), then exactly. There a large bucket is dealt into blocks of about BLOCK
+members, and each task meets two blocks, so one bucket is many tasks of bounded size.
 
 Defined results: null, empty and blank texts have no shingles, are never linked and are classes of
 their own; texts of fewer words than a shingle are one shingle; ties go to the least id; repeated rows
@@ -42,6 +43,8 @@ SHINGLE, ROWS, BANDS = 5, 6, 40
 COORDINATES = ROWS * BANDS
 #: Coordinates of the sketches of the last round, and how many standard deviations they may be off.
 SKETCH, SURE = 1024, 4.4
+#: Members of one bucket that meet as many others in one task of the last round, about.
+BLOCK = 2048
 #: Darts that one numpy pass throws where strips have many.
 DARTS_AT_ONCE = 1 << 19
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -257,7 +260,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     at = F.array_position("_bands", F.col("_band")).cast("int")
     open_ = settle(open_.join(facts, "_set").join(distinct.select("_set", "_bands"), "_set").withColumn("_lone", F.coalesce("_lone", F.lit(0))).withColumn("_before", F.slice("_bands", 1, at - 1)).drop("_bands"), "open")
     sides = ("_set", "_set_group", "_n", "_lone", "_sketch", "_before")
-    x, y = (open_.select("_band", *(F.col(c).alias(f"{c}_{side}") for c in sides)) for side in "xy")
+    crowd = settle(open_.groupBy("_band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")), "crowd")
+    open_ = open_.join(crowd, "_band")
+    own, every = F.pmod(F.xxhash64("_set"), "_blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    x, y = (open_.select("_band", *(F.col(c).alias(f"{c}_{side}") for c in sides), (own if side == "x" else every).alias("_row"), "_blocks") for side in "xy")
+    x, y = x.withColumn("_column", every).drop("_blocks"), y.withColumn("_column", F.pmod(F.xxhash64("_set_y"), "_blocks").cast("int")).drop("_blocks")
     # What only one open set holds is never shared: that bounds the similarity from above.
     most_shared = F.least(F.col("_n_x") - F.col("_lone_x"), F.col("_n_y") - F.col("_lone_y"))
     least_union = F.greatest(F.col("_n_x") + F.col("_lone_y"), F.col("_n_y") + F.col("_lone_x"))
@@ -266,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     could = (most_shared >= similarity * least_union - 1e-9) & (_differing(F.col("_sketch_x"), F.col("_sketch_y")) <= most)
     # A pair comes out of the first of the bands that it shares.
     could = could & ~F.exists(F.zip_with("_before_x", "_before_y", lambda a, b: a == b), lambda same: same)
-    meeting = x.join(y, (x["_band"] == y["_band"]) & (F.col("_set_x") < F.col("_set_y")) & (F.col("_set_group_x") != F.col("_set_group_y")) & could)
+    meeting = x.join(y, (x["_band"] == y["_band"]) & (x["_row"] == y["_row"]) & (x["_column"] == y["_column"]) & (F.col("_set_x") < F.col("_set_y")) & (F.col("_set_group_x") != F.col("_set_group_y")) & could)
     third = settle(meeting.select(F.col("_set_x").alias("a"), F.col("_set_y").alias("b")).join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     groups = grouped(links.unionByName(_linked(third, sets, similarity)))
 

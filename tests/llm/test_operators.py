@@ -589,3 +589,64 @@ def test_page_view_alone(spark):
         area = np.searchsorted(np.sort(bad[name].to_numpy()), good[name].to_numpy()).sum() / (len(good) * len(bad))
         assert area > least, (name, area)
     assert min(model.layer[:2]) >= 0
+
+
+@pytest.mark.parametrize("rows, cells, block", [(64, 1024, 8), (64, 3, 4096), (4096, 1024, 4)])
+def test_nearest_over_cells_shards_and_blocks(spark, monkeypatch, rows, cells, block):
+    for name, value in (("SHARD_ROWS", rows), ("MAX_CELLS", cells), ("BLOCK_QUERIES", block), ("LEAF", 8)):
+        monkeypatch.setattr(vptree, name, value)
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(6, 6)) * 3
+    vectors = [list(map(float, (centres[i % 6] + draw.normal(size=6)).astype(np.float32))) for i in range(900)] + [[1.0, 2.0], [3.0, 1.0]]
+    vectors[40] = vectors[43]
+    table = spark.createDataFrame([*enumerate(vectors)], "vec_id long, embedding array<float>").repartition(5)
+    out = defaultdict(list)
+    for r in vptree.nearest(table, F.col("vec_id") % 20 == 0, k=5, factor=1.0).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    loose = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(table, F.col("vec_id") % 20 == 0, k=5, factor=1.1).collect()}
+    hits = total = 0
+    for q in range(0, 902, 20):
+        scores = sorted((-float(np.dot(vectors[q], v)), i) for i, v in enumerate(vectors) if i != q and len(v) == len(vectors[q]))[:5]
+        assert [i for i, _ in out[q]] == [i for _, i in scores] and [s for _, s in out[q]] == pytest.approx([-s for s, _ in scores], abs=1e-6)
+        hits, total = hits + sum((q, i) in loose for _, i in scores), total + len(scores)
+    assert hits >= 0.9 * total
+
+
+def test_near_duplicates_by_similarity(spark, monkeypatch):
+    """Every pair of similarity 0.8 or more is caught, none below; with buckets in blocks."""
+    monkeypatch.setattr(dart_minhash, "BLOCK", 2)
+    draw, texts, similar = random.Random(21), [], []
+    for k in range(160):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(draw.randint(60, 300))]
+        other = list(base)
+        for _ in range(k % 20):
+            other[draw.randrange(len(other))] = f"e{draw.randrange(10**6)}"
+        grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other)]
+        similar.append(len(grams[0] & grams[1]) / len(grams[0] | grams[1]))
+        texts += [" ".join(base), " ".join(other)]
+    out = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, s in enumerate(similar):
+        assert (out[2 * k] == out[2 * k + 1]) == (s >= 0.8), s
+    assert sum(s >= 0.8 for s in similar) > 30 and sum(s < 0.8 for s in similar) > 30
+
+
+def test_two_groups_just_apart(spark, monkeypatch):
+    """Many members of two groups in common buckets, apart by less than the threshold; one bridge joins two others."""
+    monkeypatch.setattr(dart_minhash, "BLOCK", 16)
+    draw = random.Random(5)
+    core = [f"c{i}" for i in range(400)]
+
+    def group(cut: int, n: int) -> list[str]:
+        own = core[:cut] + [f"g{cut}_{i}" for i in range(400 - cut)]
+        out = []
+        for _ in range(n):
+            words = list(own)
+            words[draw.randrange(20, 60)] = f"e{draw.randrange(10**6)}"
+            out.append(" ".join(words))
+        return out
+
+    texts = group(352, 40) + group(400, 40)
+    out = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    linked = any(len(a & b) >= 0.8 * len(a | b) for a in sets[:40] for b in sets[40:])
+    assert {out[i] for i in range(40)} == {0} and {out[i] for i in range(40, 80)} == ({0} if linked else {40})
