@@ -108,3 +108,46 @@ def r19(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("start", S.references_start(F.col("t")))
     tail = F.substr(F.col("t"), (F.col("start") + 1).cast("int"))
     return rows.select("doc_id", "start", F.when(F.col("start") >= 0, S.references_end(tail)).alias("length"))
+
+
+def cited(spark, d):
+    """Documents that end in a reference section: each with its own text and the references of its manuscript, laid out in four ways."""
+    from .bridge import references
+
+    raws = references(spark, d).select((F.col("ref_id") / 20).cast("long").alias("doc_id"), "ref_id", "raw")
+    listed = raws.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ref_id", "raw"))).alias("r")).withColumn("r", F.transform("r", lambda x: x["raw"]))
+    k = F.col("doc_id") % 4
+    number = lambda left, right: F.transform("r", lambda x, i: F.concat(F.lit(left), (i + 1).cast("string"), F.lit(right), x))
+    block = F.when(k == 0, F.array_join(number("[", "] "), "\n")).when(k == 1, F.array_join("r", "\n")).when(k == 2, F.array_join(number("[", "] "), " ")).otherwise(F.array_join("r", "\n\n"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nReferences\n"), block, F.lit("\n"))
+    return table(spark, d, "documents").join(listed, "doc_id").select("doc_id", text.alias("text"))
+
+
+@query("t01_located_references")
+def t01(spark, d):
+    """Every document: where its references begin, how many there are, and whether they are too few to be trusted."""
+    found = S.located_references(table(spark, d, "documents").select("doc_id", "text").unionByName(cited(spark, d).withColumn("doc_id", -F.col("doc_id") - 1)))
+    return found.select("doc_id", "start", F.size("refs").cast("long").alias("n_refs"), "needs_fallback")
+
+
+@query("t02_split_references")
+def t02(spark, d):
+    """The references of documents that have a section of them, in order."""
+    return S.located_references(cited(spark, d)).select("doc_id", F.posexplode("refs").alias("at", "raw"))
+
+
+@query("t03_split_overlong")
+def t03(spark, d):
+    """All references of a manuscript in one line, cut where another one begins."""
+    from .bridge import references
+
+    one = references(spark, d).groupBy((F.col("ref_id") / 20).cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("ref_id", F.trim("raw").alias("raw")))).alias("r"))
+    return one.select("doc_id", F.posexplode(S.split_overlong(F.array_join(F.transform("r", lambda x: x["raw"]), " "))).alias("at", "raw"))
+
+
+@query("t09_candidates")
+def t09(spark, d):
+    """The fields of every reference that a section holds, with their source, tier and provenance."""
+    refs = S.located_references(cited(spark, d)).select("doc_id", F.posexplode("refs").alias("at", "raw"))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("provenance"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"]))), "|")
+    return S.candidates(refs).select("doc_id", "at", "doi", "pmid", "title", F.array_join("authors", "|").alias("author_list"), "year", "journal", "source", "tier", shown.alias("told"))

@@ -116,7 +116,7 @@ def test_bibtex_and_archives():
 def test_overlong_entries(spark):
     one = "Smith, J., & Doe, A. (2019). " + "A long title about many things in the world of study, " * 3 + "Journal of Stuff, 3"
     two = "Nesher Cement Enterprises Ltd. (2014). " + "Another report with words and words and more words, " * 3 + "Series 4"
-    assert value(spark, structuring.split_overlong, f"{one}. {two}.") == [one, two + "."]
+    assert value(spark, structuring.split_overlong, f"{one}. {two}.") == [one + ".", two + "."]
     assert value(spark, structuring.split_overlong, "short. Smith, J. (2019). x") == ["short. Smith, J. (2019). x"]
 
 
