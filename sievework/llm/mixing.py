@@ -118,14 +118,12 @@ def _draw(level: int, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(level), "_k1", "_k2", "_no")
 
 
-def _numbered(rows: DataFrame, times: str, number: str, key: list[str]) -> DataFrame:
-    """Every row as often as `times` says, numbered from 0; those with many copies are laid out by many tasks."""
+def _laid_out(rows: DataFrame, times: str, number: str, key: list[str]) -> DataFrame:
+    """Every row as often as `times` says, numbered from 0, COPIES_AT_ONCE of a row by one task."""
     count, part = F.col(times), F.lit(COPIES_AT_ONCE)
-    few = rows.where(count <= part).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    parts = rows.where(count > part).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / part)))).repartition(*key, "_part")
+    parts = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / part)))).repartition(*key, "_part")
     begin = F.col("_part") * part
-    many = parts.withColumn(number, F.explode(F.sequence(begin, F.least(begin + part, count) - 1))).drop("_part")
-    return few.unionByName(many)
+    return parts.withColumn(number, F.explode(F.sequence(begin, F.least(begin + part, count) - 1))).drop("_part")
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", carry: list[str] | None = None, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
@@ -138,7 +136,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", carry: list
     joined = each.join(targets, each["_source"].eqNullSafe(targets["_source"])).drop(targets["_source"])
     wanted = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(wanted + DUST)
-    numbered = _numbered(joined, "_rows", "_no", ["_k1", "_k2"])
+    numbered = joined.where("_rows = 1").withColumn("_no", F.lit(0).cast("long")).unionByName(_laid_out(joined.where("_rows > 1"), "_rows", "_no", ["_k1", "_k2"]))
     buckets = F.greatest(F.ceil(F.col("_source_rows") / BUCKET_ROWS), F.lit(1))
     start = numbered.withColumn("copies", whole.cast("long")).withColumn("_p", F.greatest(wanted - whole, F.lit(0.0))).withColumn("_bucket", F.pmod(F.xxhash64("_k1", "_no"), buckets).cast("long"))
     columns = [*carry, "_k1", "_k2", "_no", "size", "source_size", "target", "_rank", "_bucket", "copies", "_p"]
@@ -171,5 +169,6 @@ def repeat(docs: DataFrame, mixed: DataFrame, source: str = "source", text: str
     plan = mixed.groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
     found = keyed.join(plan, ["_k1", "_k2"])
     # Rows that are wholly the same share their copies; one of them stands for all.
-    once = found.where("_rows = 1").unionByName(found.where("_rows > 1").dropDuplicates(["_k1", "_k2"]))
-    return _numbered(once.select("_row", "_k1", "_k2", "_copies"), "_copies", "_copy", ["_k1", "_k2"]).select("_row.*")
+    single = found.where("_rows = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    same = _laid_out(found.where("_rows > 1").dropDuplicates(["_k1", "_k2"]), "_copies", "_copy", ["_k1", "_k2"])
+    return single.select("_row").unionByName(same.select("_row")).select("_row.*")
