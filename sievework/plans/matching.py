@@ -248,16 +248,20 @@ def reference_sql(body: str) -> str:
     return sql(
         f"""{AUTHORS},
 {REF_AUTHORS},
-q AS (SELECT *, {TITLE_TOKENS.format("title")} AS x, {N.format("journal")} AS jn FROM refs), r AS (SELECT *, {TITLE_TOKENS.format("title")} AS y, {N.format("journal")} AS rjn FROM records),
-met AS (
+q AS MATERIALIZED (SELECT *, {TITLE_TOKENS.format("title")} AS x, {N.format("journal")} AS jn FROM refs), r AS MATERIALIZED (SELECT *, {TITLE_TOKENS.format("title")} AS y, {N.format("journal")} AS rjn FROM records),
+shared AS (SELECT ref_id, record_id, count(*) AS c FROM (SELECT ref_id, unnest(x) AS t FROM q) JOIN (SELECT record_id, unnest(y) AS t FROM r) USING (t) GROUP BY ALL),
+near AS (SELECT ref_id, record_id FROM shared JOIN q USING (ref_id) JOIN r USING (record_id) WHERE c::DOUBLE / (len(x) + len(y) - c) >= 0.3::DOUBLE),
+hard AS (SELECT ref_id, record_id FROM refs JOIN (SELECT record_id, unnest([original_doi, retraction_doi]) AS doi FROM records) USING (doi) WHERE doi <> ''
+    UNION ALL SELECT ref_id, record_id FROM refs JOIN (SELECT record_id, unnest([original_pmid, retraction_pmid]) AS pmid FROM records) USING (pmid) WHERE pmid <> ''),
+pairs AS MATERIALIZED (
     SELECT ref_id, ms_id, record_id, q.doi <> '' AND q.doi IN (r.original_doi, r.retraction_doi) AS m_doi, q.pmid <> '' AND q.pmid IN (r.original_pmid, r.retraction_pmid) AS m_pmid,
-           CASE WHEN len(x) + len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END AS similarity, abs(q.year - r.year) AS gap, contains(rjn, jn) OR contains(jn, rjn) AS journal
-    FROM q, r
+           coalesce(c, 0)::DOUBLE / greatest(len(x) + len(y) - coalesce(c, 0), 1) AS similarity, abs(q.year - r.year) AS gap, contains(rjn, jn) OR contains(jn, rjn) AS journal
+    FROM (SELECT * FROM near UNION SELECT * FROM hard) JOIN q USING (ref_id) JOIN r USING (record_id) LEFT JOIN shared USING (ref_id, record_id)
 ),
-pairs AS (SELECT * FROM met WHERE m_doi OR m_pmid OR similarity >= 0.3::DOUBLE),
+named_refs AS MATERIALIZED (SELECT * FROM ra), named_records AS MATERIALIZED (SELECT * FROM authors),
 auth AS (
     SELECT ref_id, record_id, max(CASE WHEN a.n = q.n OR (NOT {CONFLICT} AND (len(list_intersect(a.variants, q.variants)) > 0 OR a.signature = q.signature)) THEN 0.25 WHEN NOT {CONFLICT} AND a.surname = q.surname AND a.initials[1:1] = q.initials[1:1] THEN 0.12 ELSE 0.0 END::DOUBLE) AS author_delta
-    FROM pairs JOIN ra q USING (ref_id) JOIN authors a USING (record_id) GROUP BY ALL
+    FROM pairs JOIN named_refs q USING (ref_id) JOIN named_records a USING (record_id) GROUP BY ALL
 ),
 deltas AS (
     SELECT *, CASE WHEN similarity >= 0.55::DOUBLE THEN 0.55 WHEN similarity >= 0.3::DOUBLE THEN 0.3 ELSE 0.0 END::DOUBLE AS title_delta, CASE WHEN gap <= 1 THEN 0.1 WHEN gap >= 4 THEN -0.15 ELSE 0.0 END::DOUBLE AS year_delta, CASE WHEN journal THEN 0.08 ELSE 0.0 END::DOUBLE AS journal_delta,

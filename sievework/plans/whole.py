@@ -151,3 +151,48 @@ def t09(spark, d):
     refs = S.located_references(cited(spark, d)).select("doc_id", F.posexplode("refs").alias("at", "raw"))
     shown = F.array_join(F.array_sort(F.transform(F.map_entries("provenance"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["value"]))), "|")
     return S.candidates(refs).select("doc_id", "at", "doi", "pmid", "title", F.array_join("authors", "|").alias("author_list"), "year", "journal", "source", "tier", shown.alias("told"))
+
+
+def headed(spark, d):
+    """Documents with a head of a title, authors with marks, affiliations and an address before their own text."""
+    word = lambda i: F.initcap(F.lower(F.coalesce(F.try_element_at("ws", F.lit(i)), F.lit("Name"))))
+    docs = table(spark, d, "documents").withColumn("ws", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]{4,}"), F.lit(0)))
+    title = F.concat(F.lit("A study of "), F.array_join(F.transform(F.slice("ws", 5, 6), lambda w: F.lower(w)), " "))
+    names = F.concat(word(1), F.lit(" "), word(2), F.lit("1, "), word(3), F.lit(" "), word(4), F.lit("2"))
+    places = F.concat(F.lit("1Department of "), word(5), F.lit(", University of "), word(6), F.lit("\n2Institute of "), word(7))
+    noted = F.when(F.col("doc_id") % 3 == 0, "All rights reserved\nPreprint\nin press\n").otherwise("")
+    mail = F.concat(F.lower(word(1)), F.lit("@"), F.lower(word(2)), F.lit(".org"))
+    return docs.select("doc_id", F.concat_ws("\n", F.concat(noted, title), names, places, mail, F.lit("Abstract"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query("t10_headers")
+def t10(spark, d):
+    """Title, identifier, authors and abstract of every document's head."""
+    from ..operators import header as H
+
+    found = headed(spark, d).select("doc_id", H.header(F.col("text")).alias("h"))
+    shown = F.array_join(F.transform("h.authors", lambda a: F.concat_ws("/", a["name"], a["email"], a["affiliation"])), "|")
+    return found.select("doc_id", "h.title", "h.doi", shown.alias("author_list"), F.length("h.abstract").cast("long").alias("abstract_chars"))
+
+
+@query("t12_title_ranges")
+def t12(spark, d):
+    """Where the title stands in the head of every document as it is, if a line there is like one; lines before it that are notes are gone (T11)."""
+    from ..operators import header as H
+
+    rows = table(spark, d, "documents").select("doc_id", H.header_lines(F.array().cast("array<string>"), F.coalesce("text", F.lit(""))).alias("raw"))
+    lines = rows.select("doc_id", F.size("raw").alias("n"), H.strip_preamble(F.col("raw")).alias("lines"))
+    found = lines.select("doc_id", (F.col("n") - F.size("lines")).alias("n_stripped"), H.title_range(F.col("lines")).alias("t"))
+    first = F.try_element_at("t", F.lit(1))
+    return found.select("doc_id", "n_stripped", first["title"].alias("title"), first["first"].alias("first"), first["last"].alias("last"))
+
+
+@query("t13_author_names")
+def t13(spark, d):
+    """The names of every author block, once each, with their marks (T13, T14, T16)."""
+    from ..operators import header as H
+
+    rows = headed(spark, d).select("doc_id", H.header_lines(F.array().cast("array<string>"), F.col("text")).alias("lines"))
+    blocks = rows.select("doc_id", H.author_block(F.col("lines"), H.title_range(F.col("lines"))).alias("block"))
+    names = blocks.select("doc_id", F.posexplode_outer(H.distinct_names(H.author_names(F.col("block")))).alias("at", "n"))
+    return names.select("doc_id", "at", "n.base", F.array_join("n.marks", "").alias("marks"))
