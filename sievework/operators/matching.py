@@ -61,6 +61,23 @@ def person_routes(people: DataFrame, records: DataFrame) -> DataFrame:
     return first.unionByName(by_institution_token(rest, records).withColumn("priority", F.lit(5)).select("query_id", "record_id", "priority"))
 
 
+def ranking_routes(people: DataFrame, records: DataFrame) -> DataFrame:
+    """The (query_id, record_id) of `person_routes` that `rank_people` can list.
+
+    A pair is listed for an identifier or a name, and a common surname only tells with a common first
+    initial, so that is the key: a frequent surname is dealt by initials, and pairs without weight are
+    never made. For the same reason institutions alone find nothing to list.
+    """
+    ids, authors = identifiers_of(records), authors_of(records)
+    named = people.withColumn("n", T.name_parts(F.coalesce("name", F.lit(""))))
+    first = lambda c: F.substring(c, 1, 1).alias("initial")
+    variant = named.select("query_id", F.explode("n.variants").alias("normalized_name")).join(authors.select("record_id", "normalized_name"), "normalized_name")
+    signature = named.select("query_id", F.col("n.signature").alias("signature")).where("signature != ''").join(authors.select("record_id", "signature"), "signature")
+    surname = named.select("query_id", F.col("n.surname").alias("surname"), first("n.initials")).where("surname != ''").join(authors.select("record_id", "surname", first("initials")), ["surname", "initial"])
+    routes = [by_identifier(people, ids, "doi", "doi"), by_identifier(people, ids, "pmid", "pmid"), variant, signature, surname]
+    return reduce(DataFrame.unionByName, (r.select("query_id", "record_id") for r in routes)).distinct()
+
+
 def by_institution_token(people: DataFrame, records: DataFrame) -> DataFrame:
     """People meet records whose institutions hold one of their first three tokens of more than three letters."""
     asked = F.slice(F.filter(T.tokens(T.normalize_text(F.coalesce("institution", F.lit("")))), lambda t: F.length(t) > 3), 1, 3)

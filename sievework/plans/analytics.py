@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import paging
+from ..operators.ordering import numbered
 from .bridge import logs, manuscripts, records, references, sql, table
 from .registry import query
 from .scalars import N, prefix_match, search_terms
@@ -236,8 +237,8 @@ def p05(spark, d):
 @query("p07_ordered_fetch", sql("SELECT record_id, pos::INT AS pos, title FROM records JOIN (SELECT unnest(ids) AS record_id, generate_subscripts(ids, 1) AS pos FROM (SELECT list('D' || lpad(item_id::VARCHAR, 8, '0') ORDER BY item_id DESC) AS ids FROM benchmark)) USING (record_id)", "records"))
 def p07(spark, d):
     """Records by id, in the caller's order."""
-    order = Window.orderBy(F.col("item_id").desc())
-    asked = table(spark, d, "benchmark").select(F.concat(F.lit("D"), F.lpad(F.col("item_id").cast("string"), 8, "0")).alias("record_id"), F.row_number().over(order).alias("pos"))
+    asked = numbered(table(spark, d, "benchmark").select("item_id"), [F.col("item_id").desc()], "pos")
+    asked = asked.select(F.concat(F.lit("D"), F.lpad(F.col("item_id").cast("string"), 8, "0")).alias("record_id"), F.col("pos").cast("int").alias("pos"))
     return records(spark, d).join(asked, "record_id").select("record_id", "pos", "title")
 
 
@@ -356,13 +357,13 @@ def r22(spark, d):
     return manuscripts(spark, d).withColumn("at", F.row_number().over(order)).where("at <= 80").where(F.col("at") <= F.when(F.col("archived"), 30).otherwise(80)).select("archived", "id")
 
 
-_KEYED = """keyed AS (SELECT ref_id, ms_id, ref_id % 4 AS source_rank, CASE WHEN doi <> '' THEN 'doi:' || doi WHEN pmid <> '' THEN 'pmid:' || pmid WHEN trim(title) <> '' THEN 't:' || regexp_replace(trim(lower(title[:40])), '\\s+', ' ', 'g') ELSE 'raw:' || raw[:200] END AS key FROM refs)"""
+_KEYED = """keyed AS (SELECT ref_id, ms_id, ref_id % 4 AS source_rank, CASE WHEN doi <> '' THEN 'doi:' || doi WHEN pmid <> '' THEN 'pmid:' || pmid WHEN trim(title) <> '' THEN 't:' || regexp_replace(trim(lower(title)), '[ \\t\\n\\r\\f]+', ' ', 'g') ELSE 'raw:' || raw[:200] END AS key FROM refs)"""
 
 
 @query("u05_reference_dedupe", sql(f"{_KEYED}\nSELECT ref_id, key FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY source_rank, ref_id) = 1", "refs"))
 def u05(spark, d):
     """One reference per identifier, title or raw text; the better source wins, then the earlier one."""
-    title = F.regexp_replace(F.trim(F.lower(F.substring("title", 1, 40))), r"\s+", " ")
+    title = F.regexp_replace(F.trim(F.lower("title")), r"[ \t\n\r\f]+", " ")
     key = F.when(F.col("doi") != "", F.concat(F.lit("doi:"), "doi")).when(F.col("pmid") != "", F.concat(F.lit("pmid:"), "pmid")).when(F.trim("title") != "", F.concat(F.lit("t:"), title)).otherwise(F.concat(F.lit("raw:"), F.substring("raw", 1, 200)))
     keyed = references(spark, d).select("ref_id", key.alias("key"), (F.col("ref_id") % 4).alias("source_rank"))
     return keyed.groupBy("key").agg(F.min_by("ref_id", F.struct("source_rank", "ref_id")).alias("ref_id"))
@@ -407,14 +408,9 @@ def p16(spark, d):
 
 @query("r11_export_pages", sql("SELECT (k - 1) // 500 AS page, count(*) AS n, min(id) AS low, max(id) AS high FROM (SELECT id, row_number() OVER (PARTITION BY status ORDER BY id) AS k FROM manuscripts WHERE status = 'parsing') GROUP BY 1", "manuscripts"))
 def r11(spark, d):
-    """Pages of 500 rows for an export: rows are numbered inside stretches of 4096 ids and shifted by
-    the counts of the stretches before, so no task sorts them all."""
-    dealt = manuscripts(spark, d).where("status = 'parsing'").select("id", F.floor(F.col("id") / 4096).alias("part"))
-    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifted = dealt.join(counts.select("part", before.alias("before")), "part")
-    k = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("id"))
-    return shifted.select("id", k.alias("k")).groupBy(F.floor((F.col("k") - 1) / 500).alias("page")).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    """Pages of 500 rows for an export."""
+    rows = numbered(manuscripts(spark, d).where("status = 'parsing'").select("id"), ["id"], "k")
+    return rows.groupBy(F.floor((F.col("k") - 1) / 500).alias("page")).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
 
 
 @query("u08_set_difference", sql(f"{_TRUTH}\nSELECT ref_id, coalesce(array_to_string(list_sort(list_filter(want, lambda x: NOT list_contains(got, x))), '|'), '') AS missing, coalesce(array_to_string(list_sort(list_filter(got, lambda x: NOT list_contains(want, x))), '|'), '') AS extra FROM truth", "records", "refs"))

@@ -1,5 +1,8 @@
 """Bibliographic views over the given tables, written twice: as DataFrames and as SQL.
 
+A title is by definition the first 120 characters of a document, a log's title the first 60, and names are the
+first words of its first 400; twenty documents in a row are a manuscript's. Operators see these columns whole.
+
 Even documents are notice records, odd ones cited references; screening logs, manuscripts, projects,
 uploads and audit rows come from documents, orders, customers and events.
 """
@@ -83,11 +86,11 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi, F.lit("."))).otherwise(""),
         F.when(pmid != "", F.concat(F.lit(" PMID: "), pmid)).otherwise(""),
     )
-    return docs.select(F.col("doc_id").alias("ref_id"), (F.col("doc_id") % 50).alias("ms_id"), "title", "author", "journal", "year", doi.alias("doi"), pmid.alias("pmid"), raw.alias("raw"))
+    return docs.select(F.col("doc_id").alias("ref_id"), F.floor(F.col("doc_id") / 20).cast("long").alias("ms_id"), "title", "author", "journal", "year", doi.alias("doi"), pmid.alias("pmid"), raw.alias("raw"))
 
 
 REFERENCES_SQL = """refs AS (
-    SELECT doc_id AS ref_id, doc_id % 50 AS ms_id, title, author, journal, year, doi, pmid,
+    SELECT doc_id AS ref_id, doc_id // 20 AS ms_id, title, author, journal, year, doi, pmid,
            upper(w1[1:1]) || lower(w1[2:]) || ', ' || upper(w2[1:1]) || '., ' || upper(w3[1:1]) || lower(w3[2:]) || ', ' || upper(w4[1:1]) || '. (' || year || '). '
            || coalesce(array_to_string(list_transform(ws[5:12], lambda w: upper(w[1:1]) || lower(w[2:])), ' '), '')
            || '. Journal of ' || upper(w6[1:1]) || lower(w6[2:]) || ', ' || (doc_id % 40) || '. '

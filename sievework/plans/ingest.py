@@ -77,9 +77,28 @@ def k04(spark, d):
     return logs(spark, d).select("id", writers.csv_line([F.col(c) for c in ("id", "verdict", "title", "workspace_id")]).alias("line"))
 
 
-@query("k06_history_lines", sql("""SELECT id, '{"id":' || id || ',"verdict":"' || verdict || '","n_refs":' || n_refs || '}' AS line FROM logs""", "logs"))
+@query("k06_history_lines", sql("""SELECT id, '{"id":' || id || ',"verdict":"' || verdict || '","n_refs":' || n_refs || '}' AS line FROM logs UNION ALL SELECT NULL, '{"manifest":{"version":1,"count":' || count(*) || '}}' FROM logs""", "logs"))
 def k06(spark, d):
-    return logs(spark, d).select("id", F.to_json(F.struct("id", "verdict", "n_refs")).alias("line"))
+    """A line per manuscript, and the manifest with their number."""
+    rows = logs(spark, d)
+    count = rows.agg(F.count("*").alias("count")).select(F.lit(None).cast("long").alias("id"), F.to_json(F.struct(F.struct(F.lit(1).alias("version"), "count").alias("manifest"))).alias("line"))
+    return rows.select("id", F.to_json(F.struct("id", "verdict", "n_refs")).alias("line")).unionByName(count)
+
+
+@query("s03_snapshot_digests", """SELECT doc_id, sha256(coalesce(text, '')) AS csv_sha256, octet_length(encode(coalesce(text, '')))::BIGINT AS csv_bytes, '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS generated_on FROM documents""")
+def s03_digests(spark, d):
+    """Every document as a raw snapshot: digest, length in bytes, and the day that its note tells."""
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    note = F.concat(F.lit("The data were generated on 2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit(" by the source."))
+    return table(spark, d, "documents").select("doc_id", F.sha2(body, 256).alias("csv_sha256"), F.octet_length(body).cast("long").alias("csv_bytes"), F.regexp_extract(note, r"generated on (\d{4}-\d{2}-\d{2})", 1).alias("generated_on"))
+
+
+@query("k03_log_fields", """SELECT doc_id, array_to_string(list_sort(list_distinct([coalesce(source, '') || ' lab', coalesce(lang, '') || ' hall'])), '|') AS affiliations, coalesce(CASE WHEN doc_id % 3 > 0 THEN nullif(trim(string_split(text, chr(10))[1]), '') END, substring(text, 1, 200)) AS shown FROM documents""")
+def k03_fields(spark, d):
+    """A log row: distinct trimmed affiliations, and the title, or the first 200 characters of a text without one."""
+    places = F.array(*(F.concat(left, F.coalesce(c, F.lit("")), right) for c, left, right in (("source", F.lit(" "), F.lit(" lab ")), ("lang", F.lit(""), F.lit(" hall")), ("source", F.lit(""), F.lit(" lab")))))
+    title = F.when(F.col("doc_id") % 3 > 0, F.trim(F.split("text", "\n")[0]))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda x: F.trim(x)))), "|").alias("affiliations"), F.coalesce(F.nullif(title, F.lit("")), F.substring("text", 1, 200)).alias("shown"))
 
 
 @query("k08_public_records", sql("SELECT record_id, title, array_to_string(list_filter(list_transform(string_split(author, ';'), lambda x: trim(x)), lambda x: x <> ''), '|') AS authors, array_to_string(string_split(institution, ';'), '|') AS institutions FROM records", "records"))

@@ -119,6 +119,12 @@ ranked AS (
     )
 
 
+def _listed(spark, d):
+    """Scores of the pairs that a ranking can list."""
+    who, notices = people(spark, d), records(spark, d)
+    return M.score_people(M.ranking_routes(who, notices), who, notices)
+
+
 def _scored(spark, d, policy=M.BALANCED):
     who, notices = people(spark, d), records(spark, d)
     return M.score_people(M.person_routes(who, notices), who, notices, policy)
@@ -159,7 +165,7 @@ def j05(spark, d):
 
 @query("j05_passage_containment", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def j05_passages(spark, d):
-    """Passages found whole inside documents: an equi-join on the passage's rarest word, then the exact test."""
+    """Passages found whole inside documents: an equi-join on the rarest word inside the passage, then the exact test."""
     word = r"[^\x20\x09-\x0D]+"
     docs, passages = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     inner = F.array_distinct(F.slice(F.regexp_extract_all("passage", F.lit(word), F.lit(0)), 2, F.greatest(F.size(F.regexp_extract_all("passage", F.lit(word), F.lit(0))) - 2, F.lit(0))))
@@ -169,7 +175,10 @@ def j05_passages(spark, d):
     df = held.groupBy("word").agg(F.count("*").alias("df"))
     rarest = asked.join(df, "word").groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.first("passage").alias("passage"))
     met = held.join(rarest.select("item_id", "word"), "word").select("item_id", "doc_id")
-    return met.join(docs, "doc_id").join(passages, "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
+    long = met.join(docs, "doc_id").join(passages, "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
+    # Passages of one or two words have no whole word inside: the few of them are held against all documents.
+    short = passages.where(F.size(inner) == 0).join(docs, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    return long.unionByName(short)
 
 
 @query("j06_institution_fallback", sql(f"{PEOPLE_SQL},\n{AUTHORS},\n{ASKED},\n{IDS_SQL},\n{ROUTES_SQL}\nSELECT query_id, record_id FROM pool WHERE priority = 5", "records"))
@@ -199,12 +208,12 @@ def c06_strict(spark, d):
 
 @query("r01_person_ranking", person_sql("SELECT query_id, record_id, rank, score, verdict FROM ranked WHERE kind = 'match' AND rank <= 10"))
 def r01(spark, d):
-    return M.rank_people(_scored(spark, d)).where("kind = 'match'").select("query_id", "record_id", "rank", "score", "verdict")
+    return M.rank_people(_listed(spark, d)).where("kind = 'match'").select("query_id", "record_id", "rank", "score", "verdict")
 
 
 @query("r02_near_misses", person_sql("SELECT query_id, record_id, rank, score, matched_fields FROM ranked WHERE kind = 'near_miss' AND rank <= 10"))
 def r02(spark, d):
-    return M.rank_people(_scored(spark, d)).where("kind = 'near_miss'").select("query_id", "record_id", "rank", "score", "matched_fields")
+    return M.rank_people(_listed(spark, d)).where("kind = 'near_miss'").select("query_id", "record_id", "rank", "score", "matched_fields")
 
 
 _WEAK = "(length(trim(name)) < 3 OR regexp_matches(trim(name), '^[A-Za-z]{1,3}$') OR lower(trim(name)) IN ('china', 'usa', 'uk', 'japan', 'korea', 'singapore', 'beijing', 'shanghai', 'tokyo', 'ltd', 'inc', 'corp', 'co', 'et al'))"
@@ -220,7 +229,7 @@ def c13(spark, d):
     """The best match of each author, no_match for names that are no use."""
     who, notices = people(spark, d), records(spark, d)
     strong = who.where(~M.is_weak_name(F.col("name")))
-    best = M.rank_people(M.score_people(M.person_routes(strong, notices), strong, notices), limit=5).where("kind = 'match' AND rank = 1")
+    best = M.rank_people(M.score_people(M.ranking_routes(strong, notices), strong, notices), limit=5).where("kind = 'match' AND rank = 1")
     return who.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("record_id", F.lit("")).alias("record_id"), F.coalesce("verdict", F.lit("no_match")).alias("verdict"))
 
 
@@ -230,7 +239,7 @@ FROM people q LEFT JOIN ranked b ON b.query_id = q.query_id AND b.kind = 'match'
 def a18(spark, d):
     """Ordered reason codes for manual review."""
     who = people(spark, d)
-    ranked = M.rank_people(_scored(spark, d)).where("rank = 1")
+    ranked = M.rank_people(_listed(spark, d)).where("rank = 1")
     seen = ranked.groupBy("query_id").agg(F.max(F.when(F.col("kind") == "match", F.col("verdict"))).alias("best"), F.max(F.col("kind") == "near_miss").alias("near"))
     rows = who.select("query_id", "email").join(seen, "query_id", "left")
     best = F.col("best")
@@ -387,7 +396,7 @@ def j20(spark, d):
 @query("r04_best_candidate", person_sql("SELECT query_id, record_id, verdict, score FROM ranked WHERE kind = 'match' AND rank = 1"))
 def r04(spark, d):
     """The best match of each person, by one aggregation with no sort."""
-    formal = _scored(spark, d).where("verdict != 'no_match' AND score > 0")
+    formal = _listed(spark, d).where("verdict != 'no_match' AND score > 0")
     best = F.min_by(F.struct("record_id", "verdict", "score"), F.struct(-F.col("score"), F.col("record_id"))).alias("b")
     return formal.groupBy("query_id").agg(best).select("query_id", "b.record_id", "b.verdict", "b.score")
 
@@ -425,7 +434,7 @@ def u04(spark, d):
 @query("p20_input_diagnostics", person_sql("""SELECT q.query_id, email IS NOT NULL AS email_provided, CASE WHEN email IS NOT NULL THEN string_split(lower(email), '@')[-1] END AS email_domain, coalesce(m.hit, false) AS email_contributed
 FROM people q LEFT JOIN (SELECT query_id, bool_or(contains(matched_fields, 'email_domain')) AS hit FROM ranked WHERE rank <= 10 GROUP BY query_id) m USING (query_id)"""))
 def p20(spark, d):
-    ranked = M.rank_people(_scored(spark, d)).groupBy("query_id").agg(F.bool_or(F.col("matched_fields").contains("email_domain")).alias("hit"))
+    ranked = M.rank_people(_listed(spark, d)).groupBy("query_id").agg(F.bool_or(F.col("matched_fields").contains("email_domain")).alias("hit"))
     rows = people(spark, d).select("query_id", "email").join(ranked, "query_id", "left")
     return rows.select("query_id", (F.trim(F.coalesce("email", F.lit(""))) != "").alias("email_provided"), F.nullif(T.email_domain(F.col("email")), F.lit("")).alias("email_domain"), F.coalesce("hit", F.lit(False)).alias("email_contributed"))
 
@@ -437,3 +446,12 @@ def c14(spark, d):
     pairs = notices.select("record_id", F.expr("cast(substring(record_id, 2) as bigint) div 2").alias("query_id"))
     scored = M.score_people(pairs, who, notices).select("query_id", "record_id", "score", "verdict", "matched_fields")
     return scored.join(M.person_routes(who, notices).select("query_id", "record_id"), ["query_id", "record_id"], "left_semi")
+
+
+@query("k05_report_lines", reference_sql("SELECT q.ms_id, q.ref_id, q.ref_id || ',' || CASE WHEN regexp_matches(q.title, '[\",\\r\\n]') THEN '\"' || replace(q.title, '\"', '\"\"') || '\"' ELSE q.title END || ',' || q.doi || ',' || coalesce(r.record_id, '') || ',' || coalesce(r.verdict, '') || ',' || coalesce(r.score::VARCHAR, '') AS line FROM refs q LEFT JOIN ranked r ON q.ref_id = r.ref_id AND r.kind = 'match' AND r.rank = 1"))
+def k05(spark, d):
+    """The report of every manuscript: a line per reference with its best candidate."""
+    from ..sources.writers import report_lines
+
+    best = M.rank_references(_ref_scored(spark, d)).where("kind = 'match' AND rank = 1")
+    return report_lines(references(spark, d), best)

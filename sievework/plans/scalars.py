@@ -110,14 +110,22 @@ def f08(spark, d):
 
 @query("f09_given_name_conflict", sql(f"""
 , names AS (SELECT *, t[-1] AS surname, array_to_string(list_filter(t[:len(t) - 1], lambda w: length(w) > 1), '') AS given FROM {_NAMES} WHERE n <> '')
-SELECT a.record_id, b.record_id AS other_id, a.pos::INT AS pos, b.pos::INT AS other_pos, a.given <> '' AND b.given <> '' AND a.given <> b.given AS conflict
-FROM names a JOIN names b ON a.surname = b.surname AND a.record_id < b.record_id WHERE length(a.surname) > 6
+SELECT record_id, pos::INT AS pos, surname, given, CASE WHEN given = '' THEN 0 ELSE kinds - 1 END AS n_conflicts, CASE WHEN given = '' OR kinds < 2 THEN NULL WHEN given = low THEN high ELSE low END AS other_given
+FROM names JOIN (SELECT surname, count(DISTINCT nullif(given, '')) AS kinds, min(nullif(given, '')) AS low, max(nullif(given, '')) AS high FROM names GROUP BY surname) USING (surname)
 """.lstrip("\n, "), "records"))
 def f09(spark, d):
-    rows = records(spark, d).select("record_id", F.posexplode(F.split("author", ";")).alias("pos", "name")).withColumn("n", T.name_parts(F.col("name"))).where("n.normalized != '' AND length(n.surname) > 6").withColumn("surname", F.col("n.surname"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.surname") == F.col("b.surname")) & (F.col("a.record_id") < F.col("b.record_id")))
-    return pairs.select("a.record_id", F.col("b.record_id").alias("other_id"), (F.col("a.pos") + 1).alias("pos"), (F.col("b.pos") + 1).alias("other_pos"), T.given_names_conflict(F.col("a.n"), F.col("b.n")).alias("conflict"))
+    """Every name, with how many full given names of its surname conflict with its own, and one of them.
+
+    Two names conflict if their surname is one and their given names, both full, differ; so names with the
+    given names of each surname tell all conflicts, and no pair of names is made.
+    """
+    rows = records(spark, d).select("record_id", F.posexplode(F.split("author", ";")).alias("at", "name")).withColumn("n", T.name_parts(F.col("name"))).where("n.normalized != ''")
+    names = rows.select("record_id", (F.col("at") + 1).alias("pos"), F.col("n.surname").alias("surname"), T._given(F.col("n")).alias("given"))
+    full = names.where("given != ''").groupBy("surname", "given").agg(F.lit(1).alias("one")).groupBy("surname").agg(F.count("*").alias("n"), F.min("given").alias("low"), F.max("given").alias("high"))
+    both = names.join(full, "surname", "left")
+    named = F.col("given") != ""
+    other = F.when(named & (F.col("n") > 1), F.when(F.col("given") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+    return both.select("record_id", "pos", "surname", "given", F.when(named, F.col("n") - 1).otherwise(0).cast("long").alias("n_conflicts"), other.alias("other_given"))
 
 
 @query("f11_institution_tokens", sql(f"SELECT record_id, coalesce(array_to_string(list_sort({PLACE_TOKENS.format('institution')}), '|'), '') AS tokens FROM records", "records"))

@@ -12,10 +12,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import numbered
+
 NOTICE_COLUMNS = "record_id title subject institution journal publisher country author urls article_type retraction_date retraction_doi retraction_pmid original_date original_doi original_pmid nature reason paywalled notes".split()
 NOTICE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in NOTICE_COLUMNS])
 # Limits of zipped projects.
@@ -30,12 +33,21 @@ def read_notices(spark: SparkSession, path: str) -> DataFrame:
 
 def row_ids(notices: DataFrame, order: list[str]) -> DataFrame:
     """A missing record id becomes row-<n>, n counting from 1 among all rows in the given order."""
-    at = F.row_number().over(Window.orderBy(*order))
-    missing = notices.where("record_id = ''")
-    if missing.isEmpty():
-        return notices
-    numbered = notices.withColumn("_n", at)
-    return numbered.withColumn("record_id", F.when(F.col("record_id") == "", F.concat(F.lit("row-"), F.col("_n").cast("string"))).otherwise(F.col("record_id"))).drop("_n")
+    return numbered(notices, order, "_n").withColumn("record_id", F.when(F.col("record_id") == "", F.concat(F.lit("row-"), F.col("_n").cast("string"))).otherwise(F.col("record_id"))).drop("_n")
+
+
+def open_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of a snapshot; a missing one is an error that says what to do."""
+    try:
+        return spark.read.parquet(f"{path}/{name}")
+    except AnalysisException as error:
+        raise FileNotFoundError(f"there is no table {name} in the snapshot at {path}: import the notices first (sources.writers.write_snapshot)") from error
+
+
+def newest_files(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
+    """(path, modified, length) of the newest files of a folder, newest first; ties by path. Contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("modified"), "length")
+    return files.orderBy(F.col("modified").desc(), "path").limit(limit)
 
 
 def snapshot(spark: SparkSession, csv_path: str, readme: str = "") -> DataFrame:
