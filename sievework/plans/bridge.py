@@ -1,7 +1,7 @@
 """Bibliographic views over the given tables, written twice: as DataFrames and as SQL.
 
-A title is by definition the first 120 characters of a document, a log's title the first 60, and names are the
-first words of its first 400; twenty documents in a row are a manuscript's. Operators see these columns whole.
+A title is by definition the first 120 characters of a document, a log's title the first 60, and names are its
+first words; twenty documents in a row are a manuscript's. Operators see these columns whole.
 
 Even documents are notice records, odd ones cited references; screening logs, manuscripts, projects,
 uploads and audit rows come from documents, orders, customers and events.
@@ -24,8 +24,7 @@ def _word(i: int) -> Column:
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
-    head = F.substring(F.coalesce("text", F.lit("")), 1, 400)
-    return docs.withColumn("ws", F.regexp_extract_all(head, F.lit(r"[A-Za-z]{3,}"), F.lit(0)))
+    return docs.withColumn("ws", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]{3,}"), F.lit(0)))
 
 
 def _identifiers(docs: DataFrame, kind: str) -> DataFrame:
@@ -66,7 +65,7 @@ RECORDS_SQL = """records AS (
            (doc_id + 1000000)::VARCHAR AS original_pmid, CASE WHEN doc_id % 6 = 0 THEN (doc_id + 2000000)::VARCHAR ELSE '' END AS retraction_pmid,
            ['Retraction', 'Correction', 'Expression of concern', 'Reinstatement'][(doc_id % 8) // 2 + 1] AS nature,
            '1/15/' || (2000 + doc_id % 20) || ' 0:00' AS original_date
-    FROM (SELECT *, regexp_extract_all(substring(coalesce(text, ''), 1, 400), '[A-Za-z]{3,}') AS ws FROM documents) WHERE doc_id % 2 = 0
+    FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{3,}') AS ws FROM documents) WHERE doc_id % 2 = 0
 )"""
 
 
@@ -103,7 +102,7 @@ REFERENCES_SQL = """refs AS (
                CASE WHEN (doc_id // 2) % 75 = 1 THEN (doc_id - 1 + 1000000)::VARCHAR ELSE '' END AS pmid
         FROM (
             SELECT *, coalesce(ws[1], '') AS w1, coalesce(ws[2], '') AS w2, coalesce(ws[3], '') AS w3, coalesce(ws[4], '') AS w4, coalesce(ws[6], '') AS w6
-            FROM (SELECT *, regexp_extract_all(substring(coalesce(text, ''), 1, 400), '[A-Za-z]{3,}') AS ws FROM documents) WHERE doc_id % 2 = 1
+            FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{3,}') AS ws FROM documents) WHERE doc_id % 2 = 1
         )
     )
 )"""

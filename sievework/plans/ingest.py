@@ -33,13 +33,6 @@ def s06(spark, d):
     return spark.sql("SELECT doc_id, source FROM {docs} WHERE source = :s AND n_chars >= :n", args={"s": "src1", "n": 1000}, docs=docs)
 
 
-@query("s09_strip_latex", r"SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(substring(text, 1, 300), chr(10), ' '), '%', ''), chr(92), ''), '[{}$&~ \t]+', ' ', 'g'))) AS body FROM documents")
-def s09(spark, d):
-    plain = F.regexp_replace(F.replace(F.replace(F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")), F.lit("%"), F.lit("")), F.lit("\\"), F.lit("")), r"[{}$&~]", " ")
-    dressed = F.concat(F.lit("% a comment\n\\documentclass[a4paper]{article}\\begin{document}\\section{Gone} "), plain, F.lit(" \\emph{gone} % more\n\\end{document}"))
-    return table(spark, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(readers.strip_latex(dressed), r"\s+", " "))).alias("body"))
-
-
 @query("s14_bib_items", sql("SELECT ms_id, ref_id AS at, year, CASE WHEN doi <> '' THEN doi END AS doi FROM refs", "refs"))
 def s14(spark, d):
     """Items of generated bibliographies, a block per manuscript, in order."""
@@ -50,16 +43,6 @@ def s14(spark, d):
     return found.select("ms_id", "z.at", "z.b.year", "z.b.doi")
 
 
-@query("s15_upload_status", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'truncated' WHEN 2 THEN 'encrypted' WHEN 3 THEN 'ok' ELSE 'unsupported' END AS status FROM documents WHERE text NOT LIKE '%/Encrypt%'")
-def s15(spark, d):
-    k = F.col("doc_id") % 5
-    body = F.substring("text", 1, 50)
-    head = F.when(k == 3, F.concat(F.lit("\\documentclass{x} "), body)).when(k == 4, F.concat(F.lit("?"), F.regexp_replace(body, r"\\", ""))).otherwise(F.concat(F.lit("%PDF-1.7 "), body))
-    tail = F.when(k == 1, body).when(k == 2, F.lit("/Encrypt %%EOF")).otherwise("%%EOF")
-    rows = table(spark, d, "documents").where("text NOT LIKE '%/Encrypt%'")
-    return rows.select("doc_id", readers.upload_status(F.encode(head, "UTF-8"), F.encode(tail, "UTF-8"), F.lit(1000)).alias("status"))
-
-
 @query("k03_log_rows", "SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,24}'), lambda x: lower(x)))), '|'), '') AS emails, substring(text, 1, 200) AS shown FROM documents")
 def k03(spark, d):
     """A log row: distinct lower-cased addresses, and a title that falls back to the first 200 characters."""
@@ -149,12 +132,12 @@ def s12_text(spark, d):
     return render_pages(items, detect_columns(items, 600.0)).select("page", F.md5("text").alias("text"))
 
 
-@query("s13_bibtex", sql("SELECT ref_id, title_ AS title, year::VARCHAR AS year FROM (SELECT ref_id, year, trim(regexp_replace(regexp_replace(title[:60], '[^A-Za-z ]', ' ', 'g'), '\\s+', ' ', 'g')) AS title_ FROM refs)", "refs"))
+@query("s13_bibtex", sql("SELECT ref_id, title_ AS title, year::VARCHAR AS year FROM (SELECT ref_id, year, trim(regexp_replace(regexp_replace(title, '[^A-Za-z ]', ' ', 'g'), '\\s+', ' ', 'g')) AS title_ FROM refs)", "refs"))
 def s13(spark, d):
     """Entries written as BibTeX and parsed again, file by file."""
     import pandas as pd
 
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.substring("title", 1, 60), "[^A-Za-z ]", " "), r"\s+", " "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace("title", "[^A-Za-z ]", " "), r"\s+", " "))
     entry = F.concat(F.lit("@article{k, title = {{"), clean, F.lit('}}, author = "A and B", year = '), F.col("year").cast("string"), F.lit("\n}"))
 
     def parse(batches):

@@ -160,16 +160,6 @@ def f13(spark, d):
     return _neighbours(spark, d).select("ref_id", F.round(T.jaccard(x, y), 6).alias("engine"), F.round(T.jaccard(x, y, 1.0), 6).alias("benchmark"))
 
 
-@query("f14_normalize_title", "SELECT doc_id, " + N.format("substring(text, 1, 120)") + " AS title FROM documents")
-def f14(spark, d):
-    return _docs(spark, d).select("doc_id", T.normalize_title(F.substring("text", 1, 120)).alias("title"))
-
-
-@query("f15_title_tokens", f"SELECT doc_id, coalesce(array_to_string(list_sort({TITLE_TOKENS.format('substring(text, 1, 120)')}), '|'), '') AS tokens FROM documents")
-def f15(spark, d):
-    return _docs(spark, d).select("doc_id", joined(T.title_tokens(F.substring("text", 1, 120))).alias("tokens"))
-
-
 @query("f17_extract_doi", sql("SELECT ref_id, CASE WHEN doi <> '' THEN doi END AS doi FROM refs", "refs"))
 def f17(spark, d):
     return references(spark, d).select("ref_id", T.extract_doi(F.col("raw")).alias("doi"))
@@ -201,14 +191,14 @@ def f21(spark, d):
 
 
 @query("f22_title_noise", r"""
-SELECT doc_id, k::INT AS k, length(trim(t)) < 8 OR NOT regexp_matches(t, '[A-Za-z]') OR regexp_matches(trim(t), '^[A-Z][a-z]{2}\.?\s*\d+\s*[;:]')
+SELECT doc_id, k::INT AS k, length(trim(t)) < 8 OR NOT regexp_matches(t, '[A-Za-z\x{4e00}-\x{9fff}]') OR regexp_matches(trim(t), '^[A-Z][a-z]{2}\.?\s*\d+\s*[;:]')
        OR regexp_matches(trim(t), '^\d+\s*\(\d+\)\s*[:;]') OR regexp_matches(trim(t), '^(19|20)\d{2}\s*[;:]\s*\d+') OR regexp_matches(trim(t), '^\d+\s*:\s*\d+[\s\-–]?\d*\.?$') OR regexp_matches(trim(t), '^pp?\.?\s*\d+') AS noise
-FROM (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS k, unnest([substring(text, 1, 1 + (doc_id % 40)::INT), doc_id || '(' || doc_id % 9 || '): p. 3-4 in it', 'Aug ' || doc_id % 28 || ';57(6):365 and on', 'pp. ' || doc_id || ' and more words', (2000 + doc_id % 20) || ';57:365-88']) AS t FROM documents)""")
+FROM (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS k, unnest([text, doc_id || '(' || doc_id % 9 || '): p. 3-4 in it', 'Aug ' || doc_id % 28 || ';57(6):365 and on', 'pp. ' || doc_id || ' and more words', (2000 + doc_id % 20) || ';57:365-88']) AS t FROM documents)""")
 def f22(spark, d):
     k = F.col("doc_id")
     number = k.cast("string")
     shapes = F.array(
-        F.expr("substring(text, 1, 1 + cast(doc_id % 40 as int))"), F.concat(number, F.lit("("), (k % 9).cast("string"), F.lit("): p. 3-4 in it")),
+        F.col("text"), F.concat(number, F.lit("("), (k % 9).cast("string"), F.lit("): p. 3-4 in it")),
         F.concat(F.lit("Aug "), (k % 28).cast("string"), F.lit(";57(6):365 and on")), F.concat(F.lit("pp. "), number, F.lit(" and more words")), F.concat((k % 20 + 2000).cast("string"), F.lit(";57:365-88")),
     )
     return _docs(spark, d).select("doc_id", F.posexplode(shapes).alias("k", "t")).select("doc_id", "k", T.is_title_noise(F.col("t")).alias("noise"))
@@ -228,23 +218,6 @@ def f24(spark, d):
     return references(spark, d).select("ref_id", F.when(F.col("doi") != "", F.concat(T.fix_split_doi(once), F.lit(" end"))).otherwise(broken).alias("fixed"))
 
 
-@query("f25_unwrap_blob", r"""
-SELECT doc_id, md5(CASE WHEN length(b) >= 3000 AND len(regexp_extract_all(b, ' (?:\d{1,3}\.\s+|\[\d+\]\s+)[A-Z]')) >= 5 THEN regexp_replace(b, ' ((?:\d{1,3}\.\s+|\[\d+\]\s+)[A-Z])', chr(10) || '\1', 'g') ELSE b END) AS block
-FROM (SELECT doc_id, replace(replace(substring(text, 1, 6000), chr(10), ' '), '. ', '. ' || doc_id % 90 || '. ') AS b FROM documents)""")
-def f25(spark, d):
-    flat = F.replace(F.substring("text", 1, 6000), F.lit("\n"), F.lit(" "))
-    numbered = F.replace(flat, F.lit(". "), F.concat(F.lit(". "), (F.col("doc_id") % 90).cast("string"), F.lit(". ")))
-    return _docs(spark, d).select("doc_id", F.md5(T.unwrap_blob(numbered)).alias("block"))
-
-
-@query("f26_safe_file_name", r"""
-SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace('..' || substring(text, 1, 40) || '..tex', '^\.+', '_'), '[^A-Za-z0-9._\-]+', '_', 'g'), '\.{2,}', '.', 'g'), '_{2,}', '_', 'g'), 1, 200) AS name
-FROM documents WHERE substring(text, 1, 40) NOT LIKE '%/%'""")
-def f26(spark, d):
-    raw = F.concat(F.lit("C:\\dir/"), F.lit(".."), F.substring("text", 1, 40), F.lit("..tex"))
-    return _docs(spark, d).where(~F.substring("text", 1, 40).contains("/")).select("doc_id", T.safe_file_name(raw).alias("name"))
-
-
 @query("f27_ip_pseudonym", "SELECT event_id, substring(sha256('salt:10.0.' || user_id % 256 || '.' || event_id % 256), 1, 16) AS ip_hash FROM events")
 def f27(spark, d):
     ip = F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"))
@@ -258,14 +231,6 @@ def f28(spark, d):
     return rows.select("event_id", F.substring("coded", 1, 6).alias("frame"), T.decrypt_field(F.col("coded"), key).alias("back"))
 
 
-@query("f29_levenshtein_gate", sql(_PAIRS.format(r"regexp_replace(" + N.format("a.title[:60]") + r", '[^\x00-\x7F]', '', 'g')", r"regexp_replace(" + N.format("b.title[:60]") + r", '[^\x00-\x7F]', '', 'g')") + """
-SELECT ref_id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 1 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END::DOUBLE, 6) AS ratio FROM pairs
-""", "records", "refs"))
-def f29(spark, d):
-    x, y = (F.regexp_replace(T.normalize_text(F.substring(c, 1, 60)), r"[^\x00-\x7F]", "") for c in ("title", "r_title"))
-    return _neighbours(spark, d).select("ref_id", F.round(T.levenshtein_ratio(x, y), 6).alias("ratio"))
-
-
 @query("f30_found_in_source", sql(r"SELECT ref_id, doi <> '' AS doi_found, regexp_matches(raw, '\b' || year || '\b') AS year_found FROM refs", "refs"))
 def f30(spark, d):
     spaced = F.regexp_replace("doi", "/", " / ")

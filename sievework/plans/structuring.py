@@ -59,39 +59,40 @@ def r17(spark, d):
 
 
 def marker_texts(spark, d) -> DataFrame:
+    """Every document, whole, with marks after it that rise from a number of one to eight, or from three, or not at all."""
     mark = F.concat(F.lit(" ["), (F.col("doc_id") % 9).cast("string"), F.lit("] A "))
-    text = F.concat(F.substring("text", 1, 600), mark, F.lit("b [7] C d [8] E f [9] G h"), F.when(F.col("doc_id") % 3 == 0, " [3] X y [5] Y z [6] Z z").otherwise(""))
+    text = F.concat("text", mark, F.lit("b [7] C d [8] E f [9] G h"), F.when(F.col("doc_id") % 3 == 0, " [3] X y [5] Y z [6] Z z").otherwise(""))
     return table(spark, d, "documents").select("doc_id", text.alias("text"))
 
 
-@query("r18_marker_run", r"""
-WITH m AS (SELECT doc_id, unnest([doc_id % 9, 7, 8, 9]) AS n, unnest([1, 2, 3, 4]) AS k FROM documents WHERE doc_id % 9 >= 1
-           UNION ALL SELECT doc_id, unnest([7, 8, 9]), unnest([2, 3, 4]) FROM documents WHERE doc_id % 9 = 0
-           UNION ALL SELECT doc_id, unnest([3, 5, 6]), unnest([5, 6, 7]) FROM documents WHERE doc_id % 3 = 0),
-l AS (SELECT *, lead(n) OVER w AS n2, lead(n, 2) OVER w AS n3 FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY k))
-SELECT doc_id, arg_min(n, k) FILTER (n <= 5 AND n < n2 AND n2 < n3)::INT AS first_marker FROM l GROUP BY doc_id""")
+_MARK = r"(?:^|[\s)\].])(?:\[(\d{1,3})\]|(\d{1,3})\.)\s+[A-Z\x{4e00}-\x{9fff}]"
+
+
+@query("r18_marker_run", rf"""
+WITH t AS (SELECT doc_id, text || ' [' || doc_id % 9 || '] A b [7] C d [8] E f [9] G h' || CASE WHEN doc_id % 3 = 0 THEN ' [3] X y [5] Y z [6] Z z' ELSE '' END AS t FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_MARK}')) AS m, unnest(string_split_regex(t, '{_MARK}')) AS b, unnest(range(len(string_split_regex(t, '{_MARK}')))) AS k FROM t),
+p AS (SELECT doc_id, k, regexp_extract(m, '\d{{1,3}}')::INT AS n, sum(length(b) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM m WHERE m IS NOT NULL),
+l AS (SELECT *, lead(n) OVER w AS n2, lead(n, 2) OVER w AS n3, lead(stop, 2) OVER w - stop AS far FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, first_marker FROM documents LEFT JOIN (SELECT doc_id, arg_min(n, k) AS first_marker FROM l WHERE n BETWEEN 1 AND 5 AND n < n2 AND n2 < n3 AND far <= 4000 GROUP BY doc_id) USING (doc_id)""")
 def r18(spark, d):
-    """The number that begins the first rising run of three markers."""
+    """The number that begins the first rising run of three markers in the whole text."""
     rows = marker_texts(spark, d)
-    tails = rows.withColumn("text", F.regexp_extract("text", r"( \[\d\] A b \[7\].*)$", 1))
-    return rows.select("doc_id").join(S.marker_runs(tails, "doc_id", "text"), "doc_id", "left").select("doc_id", "first_marker")
+    return rows.select("doc_id").join(S.marker_runs(rows, "doc_id", "text"), "doc_id", "left").select("doc_id", "first_marker")
 
 
-@query("r19_section_start", "SELECT doc_id, len(string_split(t, chr(10) || 'References' || chr(10)))::BIGINT - 1 AS n, length(t) - position(reverse(chr(10) || 'References' || chr(10)) IN reverse(t)) - 11 AS start FROM (SELECT doc_id, substring(text, 1, 50 + (doc_id % 100)::INT) || chr(10) || 'References' || chr(10) || substring(text, 1, (doc_id % 40)::INT) || chr(10) || 'References' || chr(10) || 'tail' AS t FROM documents)")
+@query("r19_section_start", "SELECT doc_id, len(string_split(t, chr(10) || 'References' || chr(10)))::BIGINT - 1 AS n, length(t) - position(reverse(chr(10) || 'References' || chr(10)) IN reverse(t)) - 11 AS start FROM (SELECT doc_id, coalesce(text, '') || chr(10) || 'References' || chr(10) || coalesce(text, '') || chr(10) || 'References' || chr(10) || 'tail' AS t FROM documents)")
 def r19(spark, d):
-    """How many section headers there are and where the last begins (0-based)."""
-    head = F.lit("\nReferences\n")
-    text = F.concat(F.expr("substring(text, 1, 50 + cast(doc_id % 100 as int))"), head, F.expr("substring(text, 1, cast(doc_id % 40 as int))"), head, F.lit("tail"))
-    rows = table(spark, d, "documents").select("doc_id", text.alias("t"))
-    return rows.select("doc_id", F.regexp_count("t", F.lit(r"\n(?=References\n)")).cast("long").alias("n"), (F.length("t") - F.length(F.substring_index("t", "\nReferences\n", -1)) - 12).cast("long").alias("start"))
+    """How many section headers there are and where the last begins (0-based), in twice the whole text with headers after each."""
+    body, head = F.coalesce("text", F.lit("")), F.lit("\nReferences\n")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(body, head, body, head, F.lit("tail")).alias("t"))
+    return rows.select("doc_id", F.regexp_count("t", F.lit(r"\n(?=References\n)")).cast("long").alias("n"), S.references_start(F.col("t")).alias("start"))
 
 
-@query("r20_section_end", "SELECT doc_id, CASE WHEN p > 0 THEN p + 199 ELSE length(t) END AS stop FROM (SELECT doc_id, t, position(chr(10) || 'Appendix' IN substring(t, 201)) AS p FROM (SELECT doc_id, coalesce(substring(text, 1, 150 + (doc_id % 300)::INT), '') || chr(10) || 'Appendix A' || coalesce(substring(text, 1, 100), '') AS t FROM documents))")
+@query("r20_section_end", r"SELECT doc_id, CASE WHEN p > 200 THEN p ELSE length(t) END AS stop FROM (SELECT doc_id, t, length(string_split_regex(t, '\n\s*Appendix\s*\n')[1]) AS p FROM (SELECT doc_id, coalesce(text, '') || chr(10) || 'Appendix' || chr(10) || coalesce(text, '') AS t FROM documents))")
 def r20(spark, d):
-    """Where the section ends: the first stop header after 200 characters."""
-    text = F.concat(F.coalesce(F.expr("substring(text, 1, 150 + cast(doc_id % 300 as int))"), F.lit("")), F.lit("\nAppendix A"), F.coalesce(F.substring("text", 1, 100), F.lit("")))
-    at = F.instr(F.substr(F.col("t"), F.lit(201)), "\nAppendix")
-    return table(spark, d, "documents").select("doc_id", text.alias("t")).select("doc_id", F.when(at > 0, at + 199).otherwise(F.length("t")).cast("long").alias("stop"))
+    """Where the section that is the whole text ends: its first stop header, if that is past 200 characters."""
+    body = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", S.references_end(F.concat(body, F.lit("\nAppendix\n"), body)).alias("stop"))
 
 
 _TIER = "CASE WHEN doi <> '' OR pmid <> '' THEN 'resolved' WHEN source = 'bibtex' AND author <> ' ; ' AND title <> '' THEN 'bibtex' WHEN title <> '' THEN 'title_year' ELSE 'raw_only' END"
@@ -147,9 +148,9 @@ def e05(spark, d):
     return rows.groupBy("ms_id").agg(F.count_if("called").alias("n_called"), F.count_if(~F.col("called")).alias("n_skipped"))
 
 
-@query("e06_decision_trace", sql("""SELECT ref_id, field, accepted, after FROM (SELECT ref_id, unnest(['doi', 'title']) AS field, unnest([doi <> '', title <> '']) AS accepted, unnest([CASE WHEN doi <> '' THEN doi END, substring(title, 1, 20)]) AS after FROM refs)""", "refs"))
+@query("e06_decision_trace", sql("""SELECT ref_id, field, accepted, after FROM (SELECT ref_id, unnest(['doi', 'title']) AS field, unnest([doi <> '', title <> '']) AS accepted, unnest([CASE WHEN doi <> '' THEN doi END, title]) AS after FROM refs)""", "refs"))
 def e06(spark, d):
-    trace = F.array(*(F.struct(F.lit(n).alias("field"), ok.alias("accepted"), after.alias("after")) for n, ok, after in (("doi", F.col("doi") != "", F.when(F.col("doi") != "", F.col("doi"))), ("title", F.col("title") != "", F.substring("title", 1, 20)))))
+    trace = F.array(*(F.struct(F.lit(n).alias("field"), ok.alias("accepted"), after.alias("after")) for n, ok, after in (("doi", F.col("doi") != "", F.when(F.col("doi") != "", F.col("doi"))), ("title", F.col("title") != "", F.col("title")))))
     return references(spark, d).select("ref_id", F.explode(trace).alias("t")).select("ref_id", "t.*")
 
 

@@ -1,4 +1,4 @@
-"""Queries that apply operators to whole texts, beside those of the same number on prefixes."""
+"""Queries that apply operators of scalars, sources and structuring to the whole texts of documents."""
 
 from __future__ import annotations
 
@@ -39,17 +39,17 @@ def f09_conflicts(spark, d):
     return a.join(b, (F.col("a.surname") == F.col("b.surname")) & (F.col("a.given") < F.col("b.given"))).select("a.surname", "a.given", F.col("b.given").alias("other_given"))
 
 
-@query("f14_normalize_title_whole", "SELECT doc_id, md5(" + N.format("text") + ") AS title FROM documents")
+@query("f14_normalize_title", "SELECT doc_id, md5(" + N.format("text") + ") AS title FROM documents")
 def f14(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.normalize_title(F.col("text"))).alias("title"))
 
 
-@query("f15_title_tokens_whole", f"SELECT doc_id, md5(coalesce(array_to_string(list_sort({TITLE_TOKENS.format('text')}), '|'), '')) AS tokens FROM documents")
+@query("f15_title_tokens", f"SELECT doc_id, md5(coalesce(array_to_string(list_sort({TITLE_TOKENS.format('text')}), '|'), '')) AS tokens FROM documents")
 def f15(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(joined(T.title_tokens(F.col("text")))).alias("tokens"))
 
 
-@query("f25_unwrap_blob_whole", r"""
+@query("f25_unwrap_blob", r"""
 SELECT doc_id, md5(CASE WHEN length(b) >= 3000 AND len(regexp_extract_all(b, ' (?:\d{1,3}\.\s+|\[\d+\]\s+)[A-Z\x{4e00}-\x{9fff}]')) >= 5 THEN regexp_replace(b, ' ((?:\d{1,3}\.\s+|\[\d+\]\s+)[A-Z\x{4e00}-\x{9fff}])', chr(10) || '\1', 'g') ELSE b END) AS block
 FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), '. ', '. ' || doc_id % 90 || '. ') AS b FROM documents)""")
 def f25(spark, d):
@@ -58,7 +58,7 @@ def f25(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.unwrap_blob(numbered)).alias("block"))
 
 
-@query("f26_safe_file_name_whole", r"""
+@query("f26_safe_file_name", r"""
 SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(string_split(replace('C:\dir/..' || text || '..tex', chr(92), '/'), '/')[-1], '^\.+', '_'), '[^A-Za-z0-9._\x{4e00}-\x{9fff}\-]+', '_', 'g'), '\.{2,}', '.', 'g'), '_{2,}', '_', 'g'), 1, 200) AS name
 FROM documents""")
 def f26(spark, d):
@@ -66,7 +66,7 @@ def f26(spark, d):
     return table(spark, d, "documents").select("doc_id", T.safe_file_name(F.concat(F.lit("C:\\dir/.."), "text", F.lit("..tex"))).alias("name"))
 
 
-@query("f29_levenshtein_gate_whole", sql(_PAIRS.format(r"regexp_replace(" + N.format("a.title") + r", '[^\x00-\x7F]', '', 'g')", r"regexp_replace(" + N.format("b.title") + r", '[^\x00-\x7F]', '', 'g')") + """
+@query("f29_levenshtein_gate", sql(_PAIRS.format(r"regexp_replace(" + N.format("a.title") + r", '[^\x00-\x7F]', '', 'g')", r"regexp_replace(" + N.format("b.title") + r", '[^\x00-\x7F]', '', 'g')") + """
 SELECT ref_id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 1 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END::DOUBLE, 6) AS ratio FROM pairs
 """, "records", "refs"))
 def f29(spark, d):
@@ -75,14 +75,14 @@ def f29(spark, d):
     return _neighbours(spark, d).select("ref_id", F.round(T.levenshtein_ratio(x, y), 6).alias("ratio"))
 
 
-@query("s09_strip_latex_whole", r"SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(text, chr(10), ' '), '%', ''), chr(92), ''), '[{}$&~ \t\n\r\f]+', ' ', 'g'))) AS body FROM documents")
+@query("s09_strip_latex", r"SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(text, chr(10), ' '), '%', ''), chr(92), ''), '[{}$&~ \t\n\r\f]+', ' ', 'g'))) AS body FROM documents")
 def s09(spark, d):
     plain = F.regexp_replace(F.replace(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("%"), F.lit("")), F.lit("\\"), F.lit("")), r"[{}$&~]", " ")
     dressed = F.concat(F.lit("% a comment\n\\documentclass[a4paper]{article}\\begin{document}\\section{Gone} "), plain, F.lit(" \\emph{gone} % more\n\\end{document}"))
     return table(spark, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(readers.strip_latex(dressed), r"[ \t\n\r\f]+", " "))).alias("body"))
 
 
-@query("s15_upload_status_whole", r"""
+@query("s15_upload_status", r"""
 SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'ok' WHEN 4 THEN 'unsupported' WHEN 2 THEN 'encrypted'
        ELSE CASE WHEN doc_id % 5 = 1 AND NOT contains(t, '%%EOF') THEN 'truncated' WHEN contains(t, '/Encrypt') THEN 'encrypted' ELSE 'ok' END END AS status
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
