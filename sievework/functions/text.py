@@ -183,6 +183,12 @@ def semicolon_list(text: Column) -> Column:
 NOISE_SHAPES = (r"^[A-Z][a-z]{2}\.?\s*\d+\s*[;:]", r"^\d+\s*\(\d+\)\s*[:;]", r"^(19|20)\d{2}\s*[;:]\s*\d+", r"^\d+\s*:\s*\d+[\s\-–]?\d*\.?$", r"^pp?\.?\s*\d+")
 
 
+def distinct_values(values: Column) -> Column:
+    """A list of values as asked for: trimmed, without blanks, each once, in order; a missing list is empty."""
+    bare = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(bare, lambda v: v != ""))
+
+
 def is_title_noise(title: Column) -> Column:
     bare = F.trim(title)
     shapes = reduce(lambda a, b: a | b, (bare.rlike(p) for p in NOISE_SHAPES))

@@ -229,11 +229,32 @@ def p03(spark, d):
     return rows.where(F.col("nature").isin(asked)) if asked else rows
 
 
+@query("p04_type_inputs", sql(r"SELECT record_id, nature || CASE WHEN nature <> 'Correction' THEN '|Correction' ELSE '' END || CASE WHEN trim(title) <> '' THEN '|' || regexp_replace(title, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') ELSE '' END AS types FROM records", "records"))
+def p04(spark, d):
+    """Types as asked for, with blanks, white space around them and repeats, in order."""
+    nature = F.col("nature")
+    asked = F.array(F.lit(" "), F.concat(F.lit("\t"), nature, F.lit(" \n")), F.lit("Correction"), F.lit(None).cast("string"), nature, F.lit(""), F.concat(F.lit(" "), F.col("title"), F.lit(" ")))
+    return records(spark, d).select("record_id", F.array_join(T.distinct_values(asked), "|").alias("types"))
+
+
 @query("p05_clamped_limit", "SELECT event_id, greatest(1, least(50, trunc(value)))::INT AS n FROM events")
 def p05(spark, d):
     return table(spark, d, "events").select("event_id", F.greatest(F.lit(1), F.least(F.lit(50), F.coalesce(F.col("value"), F.lit(10.0)).cast("int"))).alias("n"))
 
 
+@query("p23_request_filters", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PASS|FAIL' WHEN 1 THEN 'REVIEW' END AS verdicts,
+       CASE event_id % 5 WHEN 4 THEN 50 ELSE greatest(1, least(200, trunc(value - 20))) END::INT AS n, CASE WHEN event_id % 3 > 0 THEN greatest(0, user_id - 7) END AS skipped, CASE WHEN event_id % 3 = 0 THEN 'c' || event_id END AS cursor FROM events""")
+def p23(spark, d):
+    """Requests made of events: what of their raw verdicts, limits, offsets and cursors counts."""
+    k = F.col("event_id")
+    words = lambda *w: F.array(*(F.lit(x) for x in w))
+    verdicts = F.when(k % 4 == 0, words("PASS", "pass", "FAIL")).when(k % 4 == 1, words("", "REVIEW")).when(k % 4 == 2, words("OTHER"))
+    limit = F.when(k % 5 == 4, "many").otherwise((F.col("value") - 20).cast("string"))
+    cursor = F.when(k % 3 == 0, F.concat(F.lit("c"), k.cast("string"))).when(k % 3 == 1, "")
+    asked = table(spark, d, "events").select("event_id", paging.request_filters(verdicts, limit, (F.col("user_id") - 7).cast("string"), cursor).alias("f"))
+    return asked.select("event_id", F.array_join("f.verdicts", "|").alias("verdicts"), F.col("f.limit").alias("n"), F.col("f.offset").alias("skipped"), "f.cursor")
+
+
 @query("p07_ordered_fetch", sql("SELECT record_id, pos::INT AS pos, title FROM records JOIN (SELECT unnest(ids) AS record_id, generate_subscripts(ids, 1) AS pos FROM (SELECT list('D' || lpad(item_id::VARCHAR, 8, '0') ORDER BY item_id DESC) AS ids FROM benchmark)) USING (record_id)", "records"))
 def p07(spark, d):
     """Records by id, in the caller's order."""

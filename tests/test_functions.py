@@ -128,3 +128,14 @@ def test_romanisation(spark):
     assert {r["id"]: r["pinyin"] for r in han.romanize(rows, "id", "name", dictionary).collect()} == {1: "zhang wei", 2: "", 3: "xue xi ai龘"}
     got = spark.range(1).select(han.title_similarity(F.lit("xue deep zhang"), F.lit("学习"), F.lit("xue xi"), F.lit("")).alias("x"), han.title_similarity(F.lit("deep nets"), F.lit("deep nets"), F.lit(""), F.lit("")).alias("y")).first()
     assert round(got["x"], 4) == round(1 / 3, 4) and got["y"] == 1.0
+
+
+def test_request_values(spark):
+    rows = spark.createDataFrame(
+        [(0, ["PASS", "pass", "FAIL"], "500", "-3", None), (1, [], None, None, ""), (2, None, "x", "y", "c"), (3, ["no"], "-1", "12", "")],
+        "k int, verdicts array<string>, size string, skip string, cursor string",
+    )
+    asked = rows.select("k", paging.request_filters(F.col("verdicts"), F.col("size"), F.col("skip"), F.col("cursor")).alias("f"))
+    assert {r["k"]: tuple(r["f"]) for r in asked.collect()} == {0: (["PASS", "FAIL"], 200, 0, None), 1: (None, 50, 0, None), 2: (None, 50, None, "c"), 3: (None, 1, 12, None)}
+    lists = spark.createDataFrame([(0, [" a ", "", None, "a", "\tb\n"]), (1, None), (2, [])], "k int, v array<string>")
+    assert {r["k"]: r["v"] for r in lists.select("k", T.distinct_values(F.col("v")).alias("v")).collect()} == {0: ["a", "b"], 1: [], 2: []}
