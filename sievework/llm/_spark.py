@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._text import use_key
+
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -73,8 +76,25 @@ def schema_of(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
     return out
 
 
+HASH_KEY = "spark.sievework.hash.key"
+
+
+def hash_key(spark: SparkSession) -> int:
+    """The key of this application's hashes: the setting, or a number drawn once an application."""
+    held = spark.conf.get(HASH_KEY, None)
+    if held is None:
+        held = str(secrets.randbits(63))
+        spark.conf.set(HASH_KEY, held)
+    use_key(int(held))
+    return int(held)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """`f` over Arrow batches, in workers that hash by the application's key."""
+    key = hash_key(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_key(key)
         for batch in batches:
             yield from f(batch)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import map_batches, schema_of, text_or_empty
+from ._spark import hash_key, map_batches, schema_of, text_or_empty
 from ._text import BYTE_VALUES, U64, Spans, buffers, mix64, shingles, slices, words
 from .license_texts import LICENSE_TEXTS
 
@@ -143,6 +143,7 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, te
     n_shared, n_shingles (distinct shingles of the template: in the text, in all) and spans
     (array<struct<start, end>>: byte ranges of the text that its shingles cover, merged)."""
     carry = ["doc_id"] if carry is None else carry
+    hash_key(docs.sparkSession)
     index = Index(TEMPLATES if templates is None else templates)
     plain = docs.select(*(F.col(f"`{c}`") for c in carry), text_or_empty(text).alias("_text"))
 

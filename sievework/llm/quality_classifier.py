@@ -38,6 +38,8 @@ from ._text import U64, buffers, mix64, slices, word_hashes, words
 #: Bounds of the labelled sample, and of the pseudo-labels that a view gives in a round.
 MAX_LABELLED, A_ROUND = 4000, 200
 ROUNDS, SURE, SHARE_A_ROUND = 5, 0.95, 0.05
+#: Features are binned by hashes of a fixed key, so that a model means the same in every run.
+FIXED = 1
 WORD_BINS, NAME_BINS = 512, 32
 THRESHOLD = 0.5
 
@@ -62,7 +64,7 @@ def text_view(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, first = words(data, offsets)
     n, n_words = len(offsets) - 1, np.diff(first)
     row = np.repeat(np.arange(n), n_words)
-    hashes = word_hashes(data, starts, ends)
+    hashes = word_hashes(data, starts, ends, FIXED)
     bins = np.bincount(row * WORD_BINS + (hashes % U64(WORD_BINS)).astype(np.int64), minlength=n * WORD_BINS).reshape(n, WORD_BINS)
     found = quality_rules.measure(data, offsets)
     pair = mix64(hashes ^ mix64(row.astype(U64) + U64(1)))
@@ -82,7 +84,7 @@ def _named(column: pa.Array) -> np.ndarray:
     full = np.flatnonzero(np.diff(offsets))
     at = np.zeros(len(offsets) - 1, dtype=np.int64)
     if len(full):
-        at[full] = 1 + (word_hashes(data, offsets[:-1][full], offsets[1:][full]) % U64(NAME_BINS - 1)).astype(np.int64)
+        at[full] = 1 + (word_hashes(data, offsets[:-1][full], offsets[1:][full], FIXED) % U64(NAME_BINS - 1)).astype(np.int64)
     return np.eye(NAME_BINS, dtype=np.float32)[at]
 
 
