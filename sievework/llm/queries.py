@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, license_scan, mixing, packing, quality_classifier, quality_rules
+from . import chat_format, html_extract, lexical_rank, license_scan, mixing, packing, quality_classifier, quality_rules
 from .dart_minhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .vptree import nearest
@@ -172,6 +172,33 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", "score", "kept")
 
 
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring of all `documents` for every `benchmark` item."""
+    return lexical_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def _terms_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{lexical_rank.UPPER}', '{lexical_rank.LOWER}'), '{lexical_rank.TERM}')"
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql("text")} AS ts FROM documents),
+total AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, sum(len(ts))::BIGINT AS terms FROM d),
+m AS (SELECT r, doc_id, 10 + (90 * len(ts) * docs) // terms AS m FROM d, total WHERE len(ts) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_terms_sql("text")}) AS x FROM benchmark),
+tf AS (
+    SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(ts) AS x FROM d) WHERE x IN (SELECT x FROM i) GROUP BY r, x
+),
+w AS (SELECT x, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT x, count(*) AS df FROM tf GROUP BY x), total),
+s AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM i JOIN tf USING (x) JOIN w USING (x) JOIN m USING (r) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -183,10 +210,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dart_minhash": op8_dart_minhash,
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_lexical_rank": op13_lexical_rank,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op2_chat_format": OP2_SQL,
     "op9_license_scan": OP9_SQL,
+    "op13_lexical_rank": OP13_SQL,
 }
