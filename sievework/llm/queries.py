@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, lexical_rank, license_scan, mixing, packing, quality_classifier, quality_rules
+from . import chat_format, conversation_repair, html_extract, lexical_rank, license_scan, mixing, packing, quality_classifier, quality_rules
 from .dart_minhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .vptree import nearest
@@ -172,6 +172,101 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", "score", "kept")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation, after the planned damage."""
+    broken = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    found = conversation_repair.repair(broken, F.col("present"))
+    digests = conversation_repair.digests(found.rows).withColumnRenamed("conv_id", "_id")
+    said = found.summary.join(digests, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    return said.select(*found.summary.columns, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# States: e (nothing yet), s (after a system row), u (after a user row), a (after an assistant row), each
+# {c: cost, a: audit, t: text so far}; a state that can't be has a cost of a million.
+_ADD = "{{'c': {0}.c + {1}, 'a': {0}.a || '{2}', 't': {0}.t || {3}}}"
+_NEVER = "{'c': 1000000, 'a': '', 't': ''}"
+
+
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _say(state: str, cost: str, letter: str, line: str) -> str:
+    return _ADD.format(state, cost, letter, f"chr(10) || {line}")
+
+
+_USER, _ASSISTANT = "'user:'", "'assistant:'"
+_INSERTED_USER = _least("u", *(_say(x, "2", "I", _USER) for x in "esa"))
+
+
+def _after(state: str) -> str:
+    """The best way into a state by row x: its row kept or reroled onto what fits before, or deleted."""
+    ways = [_ADD.format(state, "3", "D", "''")]
+    if state == "s":
+        ways.append(f"CASE WHEN fault IN (1, 2) OR i <> 's' THEN {_NEVER} ELSE {_say('e', 'cut', 'K', 'line')} END")
+    if state == "u":
+        for x in "esa":
+            ways.append(f"CASE WHEN fault IN (1, 2) OR i <> 'u' THEN {_NEVER} ELSE {_say(x, 'cut', 'K', 'line')} END")
+            said = _say(x, "2 + cut", "R", "'user:' || text")
+            ways.append(f"CASE WHEN fault IN (1, 2) THEN {_NEVER} ELSE {said} END")
+    if state == "a":
+        ways.append(f"CASE WHEN fault IN (1, 2) OR i <> 'a' THEN {_NEVER} ELSE {_say('u', 'cut', 'K', 'line')} END")
+        said = _say("u", "2 + cut", "R", "'assistant:' || text")
+        ways.append(f"CASE WHEN fault IN (1, 2) THEN {_NEVER} ELSE {said} END")
+    return _least(*ways)
+
+
+_PLAIN_WHITE = r"[\x20\x09-\x0D]"
+OP12_SQL = rf"""
+WITH RECURSIVE k AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), 4294967295::BIGINT), 4294967295) % 20 AS k
+    FROM conversations
+),
+d AS (
+    SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+           CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM k, range(CASE WHEN k = 3 THEN 2 ELSE 1 END) WHERE k <> 0
+),
+o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+           role || ':' || text AS line, substr(role, 1, 1) AS i
+    FROM d
+),
+f AS (
+    SELECT *, lag(i) OVER c AS before,
+           CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+                WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault
+    FROM o WINDOW c AS (PARTITION BY conv_id ORDER BY n)
+),
+r AS (SELECT *, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS cut FROM f),
+p AS (
+    SELECT conv_id, 0::BIGINT AS n, {{'c': 0, 'a': '', 't': ''}} AS e, {_NEVER} AS s, {_NEVER} AS u, {_NEVER} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT q.conv_id, r.n, {_ADD.format("e", "3", "D", "''")}, {_after("s")}, {_after("u")}, {_after("a")}
+    FROM (
+        SELECT conv_id, n, e, s, {_INSERTED_USER} AS u, a
+        FROM (SELECT conv_id, n, e, s, u, {_least("a", _say("v", "2", "I", _ASSISTANT))} AS a FROM (SELECT *, {_INSERTED_USER} AS v FROM p))
+    ) q JOIN r ON q.conv_id IS NOT DISTINCT FROM r.conv_id AND r.n = q.n + 1
+),
+z AS (
+    SELECT conv_id, {_least("e", "a", _say("v", "2", "I", _ASSISTANT))} AS best
+    FROM (SELECT *, {_INSERTED_USER} AS v FROM p) QUALIFY n = max(n) OVER (PARTITION BY conv_id)
+),
+g AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM r GROUP BY conv_id
+)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM z LEFT JOIN g ON z.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
 def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest-scoring of all `documents` for every `benchmark` item."""
     return lexical_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
@@ -210,6 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dart_minhash": op8_dart_minhash,
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_lexical_rank": op13_lexical_rank,
 }
 
@@ -217,5 +313,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op2_chat_format": OP2_SQL,
     "op9_license_scan": OP9_SQL,
+    "op12_conversation_repair": OP12_SQL,
     "op13_lexical_rank": OP13_SQL,
 }
