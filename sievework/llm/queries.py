@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_repair, html_extract, lexical_rank, license_scan, mixing, packing, quality_classifier, quality_rules
+from . import chat_format, conversation_repair, html_extract, lexical_rank, license_scan, mixing, packing, quality_classifier, quality_rules, recompression
 from .dart_minhash import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .vptree import nearest
@@ -172,6 +172,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", "score", "kept")
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of `documents` in windows of 20 words that start earlier too."""
+    found = recompression.dedup(table(spark, sf_dir, "documents"), threshold=20)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").alias("text"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every conversation, after the planned damage."""
     broken = conversation_repair.damage(table(spark, sf_dir, "conversations"))
@@ -236,9 +243,11 @@ o AS (
 ),
 f AS (
     SELECT *, lag(i) OVER c AS before,
-           CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+           CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1
                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
-                WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS fault
+                WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS fault
     FROM o WINDOW c AS (PARTITION BY conv_id ORDER BY n)
 ),
 r AS (SELECT *, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS cut FROM f),
@@ -305,6 +314,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dart_minhash": op8_dart_minhash,
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_recompression": op11_recompression,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_lexical_rank": op13_lexical_rank,
 }
