@@ -163,24 +163,6 @@ def j05(spark, d):
     return M.title_pairs(references(spark, d), records(spark, d), 0.3).withColumn("title_similarity", F.round("title_similarity", 6))
 
 
-@query("j05_passage_containment", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def j05_passages(spark, d):
-    """Passages found whole inside documents: an equi-join on the rarest word inside the passage, then the exact test."""
-    word = r"[^\x20\x09-\x0D]+"
-    docs, passages = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    inner = F.array_distinct(F.slice(F.regexp_extract_all("passage", F.lit(word), F.lit(0)), 2, F.greatest(F.size(F.regexp_extract_all("passage", F.lit(word), F.lit(0))) - 2, F.lit(0))))
-    asked = passages.select("item_id", "passage", F.explode(inner).alias("word"))
-    terms = asked.select("word").distinct()
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("word")).join(terms, "word")
-    df = held.groupBy("word").agg(F.count("*").alias("df"))
-    rarest = asked.join(df, "word").groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.first("passage").alias("passage"))
-    met = held.join(rarest.select("item_id", "word"), "word").select("item_id", "doc_id")
-    long = met.join(docs, "doc_id").join(passages, "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
-    # Passages of one or two words have no whole word inside: the few of them are held against all documents.
-    short = passages.where(F.size(inner) == 0).join(docs, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    return long.unionByName(short)
-
-
 @query("j06_institution_fallback", sql(f"{PEOPLE_SQL},\n{AUTHORS},\n{ASKED},\n{IDS_SQL},\n{ROUTES_SQL}\nSELECT query_id, record_id FROM pool WHERE priority = 5", "records"))
 def j06(spark, d):
     return M.person_routes(people(spark, d), records(spark, d)).where("priority = 5").select("query_id", "record_id")
