@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import readers, writers
+from ..sources import readers, refresh, writers
+from ..sources.bibtex import bibtex_fields
+from ..sources.shared import new_path
 from .bridge import logs, records, references, sql, table
 from .registry import query
 
@@ -17,6 +19,49 @@ def s01(spark, d):
     return lines.select(F.from_csv("line", F.lit("record_id string, title string, author string"), options).alias("r")).select("r.record_id", F.coalesce("r.title", F.lit("")).alias("title"), "r.author")
 
 
+@query("s01_notice_files", sql(r"""
+SELECT record_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || t || chr(10) || 'second "line", ' || source ELSE t END AS title, CASE WHEN doc_id % 7 = 0 THEN '' ELSE journal END AS journal, CASE WHEN doc_id % 7 = 0 THEN '' ELSE author END AS author
+FROM (SELECT *, regexp_replace(coalesce(title, ''), '[\r\n]', ' ', 'g') AS t FROM records JOIN (SELECT doc_id, source FROM documents) ON record_id = 'D' || lpad(doc_id::VARCHAR, 8, '0'))""", "records"))
+def s01_files(spark, d):
+    """Notice files as they come: a mark of byte order, a header, blank and ragged lines, quotes and line breaks inside fields.
+
+    Records are written as 64 such files and read by the reader of notices.
+    """
+    path = new_path(spark, "notices")
+    source = table(spark, d, "documents").select(F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("record_id"), "source", "doc_id")
+    rows = records(spark, d).join(source, "record_id").withColumn("title", F.regexp_replace("title", "[\r\n]", " "))
+    title = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" "), "title", F.lit('\nsecond "line", '), "source")).otherwise(F.col("title"))
+    whole = [F.col("record_id"), title, F.lit(""), F.lit(""), F.col("journal"), F.lit(""), F.lit(""), F.col("author")]
+    # Some rows end after the title, some are followed by a blank line.
+    line = F.when(F.col("doc_id") % 7 == 0, writers.csv_line([F.col("record_id"), title])).otherwise(writers.csv_line(whole))
+    lines = rows.select(F.concat(line, F.when(F.col("doc_id") % 3 == 0, "\r\n\r\n").otherwise("\r\n")).alias("line"))
+    head = "\ufeff" + ",".join(readers.NOTICE_COLUMNS) + "\r\n"
+    files = lines.groupBy(F.pmod(F.xxhash64("line"), F.lit(64)).alias("file")).agg(F.concat(F.lit(head), F.array_join(F.collect_list("line"), "")).alias("value"))
+    files.write.partitionBy("file").text(path)  # a folder and a file for each
+    return readers.read_notices(spark, path).select("record_id", "title", "journal", "author")
+
+
+@query("k01_snapshot_versions", sql(f"""a AS (SELECT record_id, n FROM (SELECT record_id, unnest(string_split(author, ';')) AS n FROM records) WHERE trim(n) <> ''),
+i AS (SELECT record_id, unnest([original_doi, retraction_doi, original_pmid, retraction_pmid]) AS doi FROM records),
+c AS (SELECT record_id, 'records' AS name FROM records UNION ALL SELECT record_id, 'authors' FROM a UNION ALL SELECT record_id, 'identifiers' FROM i WHERE doi <> ''
+      UNION ALL SELECT record_id, 'institutions' FROM (SELECT record_id, unnest(string_split(institution, ';')) AS p FROM records) WHERE trim(p) <> ''),
+v AS (SELECT '2024-01' AS version, name FROM c JOIN records USING (record_id) WHERE year < 2012 UNION ALL SELECT '2024-02', name FROM c)
+SELECT version, name, count(*) AS n, version = '2024-02' AS newest FROM v GROUP BY version, name""", "records"))
+def k01(spark, d):
+    """Two refreshes of the notice tables, one of them repeated, and a third that stopped between tables: the rows that readers see."""
+    path, notices = new_path(spark, "notice-snapshots"), records(spark, d)
+    for _ in range(2):
+        refresh.refresh(refresh.star(notices.where("year < 2012")), path, "2024-01")
+    refresh.refresh(refresh.star(notices), path, "2024-02")
+    notices.limit(1).write.parquet(f"{path}/versions/2024-03/records")
+    last = refresh.newest(spark, path)
+    seen = [refresh.read(spark, path, t, v).select(F.lit(v).alias("version"), F.lit(t).alias("name")) for v in ("2024-01", "2024-02") for t in refresh.TABLES]
+    every = seen[0]
+    for more in seen[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("version", "name").agg(F.count("*").alias("n")).withColumn("newest", F.col("version") == last)
+
+
 @query("s03_snapshot_row", sql("SELECT count(*) AS row_count, max(length(title)) AS longest, sum(length(author))::BIGINT AS n_chars FROM records", "records"))
 def s03(spark, d):
     return records(spark, d).agg(F.count("*").alias("row_count"), F.max(F.length("title")).cast("long").alias("longest"), F.sum(F.length("author")).alias("n_chars"))
@@ -132,17 +177,19 @@ def s12_text(spark, d):
     return render_pages(items, detect_columns(items, 600.0)).select("page", F.md5("text").alias("text"))
 
 
-@query("s13_bibtex", sql("SELECT ref_id, title_ AS title, year::VARCHAR AS year FROM (SELECT ref_id, year, trim(regexp_replace(regexp_replace(title, '[^A-Za-z ]', ' ', 'g'), '\\s+', ' ', 'g')) AS title_ FROM refs)", "refs"))
+@query("s13_bibtex", sql(r"""
+SELECT ref_id, 'article' AS type, title_ AS title, CASE WHEN ref_id % 3 = 0 THEN 'Annals of Nested Braces' ELSE 'Journal ' || (ref_id % 7) END AS journal, year::VARCHAR AS year,
+       'Anna Öst and Bo' AS author
+FROM (SELECT ref_id, year, trim(regexp_replace(regexp_replace(title, '[^A-Za-z, ]', ' ', 'g'), '\s+', ' ', 'g')) AS title_ FROM refs)""", "refs"))
 def s13(spark, d):
-    """Entries written as BibTeX and parsed again, file by file."""
-    import pandas as pd
-
-    clean = F.trim(F.regexp_replace(F.regexp_replace("title", "[^A-Za-z ]", " "), r"\s+", " "))
-    entry = F.concat(F.lit("@article{k, title = {{"), clean, F.lit('}}, author = "A and B", year = '), F.col("year").cast("string"), F.lit("\n}"))
-
-    def parse(batches):
-        for batch in batches:
-            found = [readers.parse_bibtex(text)[0] for text in batch["entry"]]
-            yield pd.DataFrame({"ref_id": batch["ref_id"], "title": [f.get("title", "") for f in found], "year": [f.get("year") for f in found]})
-
-    return references(spark, d).select("ref_id", entry.alias("entry")).mapInPandas(parse, "ref_id long, title string, year string")
+    """A file for each manuscript, with nested braces, quoted and bare values, commas, strings and many entries."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace("title", "[^A-Za-z, ]", " "), r"\s+", " "))
+    title = F.when(F.col("ref_id") % 2 == 0, F.concat(F.lit("{{"), clean, F.lit("}}"))).otherwise(F.concat(F.lit('"{'), clean, F.lit('}"')))
+    journal = F.when(F.col("ref_id") % 3 == 0, "anb").otherwise(F.concat(F.lit('"Journal {'), (F.col("ref_id") % 7).cast("string"), F.lit('}"')))
+    entry = F.concat(F.lit("@Article{r"), F.col("ref_id").cast("string"), F.lit(",\n  title = "), title, F.lit(',\n author = {Anna {{Ö}{st}} and Bo},journal='), journal, F.lit(", year = "), F.col("year").cast("string"), F.lit("\n}\n"))
+    files = references(spark, d).groupBy("ms_id").agg(F.array_join(F.array_sort(F.collect_list(entry)), "a@b.c, }").alias("text"))
+    text = F.concat(F.lit('% notes {of} @ all\n@comment{no, x = {y}}@string{anb = "Annals of {N}ested Braces"}'), "text", F.lit("@book{open, title = {never"))
+    fields = bibtex_fields(files.select("ms_id", text.alias("text")), "ms_id", "text")
+    of = lambda n: F.max(F.when(F.col("name") == n, F.col("value"))).alias(n)
+    ref = F.substr("cite_key", F.lit(2)).cast("long").alias("ref_id")
+    return fields.groupBy(ref, "type").agg(of("title"), of("journal"), of("year"), of("author"))

@@ -1,4 +1,4 @@
-"""Readers: notice tables as CSV, folders of JSON, TeX and BibTeX, zipped projects, word-processor files.
+"""Readers: notice tables as CSV, folders of JSON, TeX, zipped projects, word-processor files.
 
 Files are read by Spark's own sources, so any store that the cluster knows will do; what has to be
 parsed in Python runs file by file inside the partitions that hold them.
@@ -41,7 +41,7 @@ def open_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
     try:
         return spark.read.parquet(f"{path}/{name}")
     except AnalysisException as error:
-        raise FileNotFoundError(f"there is no table {name} in the snapshot at {path}: import the notices first (sources.writers.write_snapshot)") from error
+        raise FileNotFoundError(f"there is no table {name} in the snapshot at {path}: import the notices first (sources.refresh.refresh)") from error
 
 
 def newest_files(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
@@ -78,38 +78,6 @@ def bib_items(text: Column) -> Column:
     return F.transform(raw, lambda x: F.struct(x.alias("raw"), extract_year(x).alias("year"), extract_doi(x).alias("doi")))
 
 
-def parse_bibtex(text: str) -> list[dict[str, str]]:
-    """Entries of a BibTeX file: type, key, and its fields in braces, quotes or bare."""
-    entries = []
-    for head in re.finditer(r"@(\w+)\s*\{\s*([^,\s]+)\s*,", text):
-        if head[1].lower() in ("comment", "string", "preamble"):
-            continue
-        at, depth = head.end(), 1
-        while at < len(text) and depth:
-            depth += {"{": 1, "}": -1}.get(text[at], 0)
-            at += 1
-        entry = {"type": head[1].lower(), "key": head[2]}
-        body, place = text[head.end() : at - 1], 0
-        while m := re.compile(r"\s*,?\s*(\w+)\s*=\s*").match(body, place):
-            place = m.end()
-            if body[place : place + 1] == "{":
-                end, depth = place + 1, 1
-                while end < len(body) and depth:
-                    depth += {"{": 1, "}": -1}.get(body[end], 0)
-                    end += 1
-                value = body[place + 1 : end - 1]
-            elif body[place : place + 1] == '"':
-                end = (body.find('"', place + 1) + 1) or len(body)
-                value = body[place + 1 : end - 1]
-            else:
-                end = (body.find(",", place) + 1) or len(body)
-                value = body[place:end].rstrip(", ")
-            entry[m[1].lower()] = re.sub(r"\s+", " ", value.replace("{", "").replace("}", "")).strip()
-            place = end
-        entries.append(entry)
-    return entries
-
-
 def unzip_guarded(content: bytes) -> dict[str, bytes]:
     """Entries of an archive within the limits; parent or absolute paths and nested archives are refused."""
     out, total = {}, 0

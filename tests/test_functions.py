@@ -92,14 +92,10 @@ def test_cursor():
     assert paging.decode_cursor("???") is None and paging.decode_cursor(None) is None
 
 
-def test_bibtex_and_archives():
+def test_archives():
     import io
     import zipfile
 
-    text = '@article{k1, title = {A {Nested} Title}, author="One, A and Two, B", year=2019}\n@comment{x, y}\n@book{k2, title = "B", }'
-    entries = readers.parse_bibtex(text)
-    assert [(e["key"], e["title"], e.get("year")) for e in entries] == [("k1", "A Nested Title", "2019"), ("k2", "B", None)]
-
     def archive(**files):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
