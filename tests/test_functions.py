@@ -135,3 +135,29 @@ def test_request_values(spark):
     assert {r["k"]: tuple(r["f"]) for r in asked.collect()} == {0: (["PASS", "FAIL"], 200, 0, None), 1: (None, 50, 0, None), 2: (None, 50, None, "c"), 3: (None, 1, 12, None)}
     lists = spark.createDataFrame([(0, [" a ", "", None, "a", "\tb\n"]), (1, None), (2, [])], "k int, v array<string>")
     assert {r["k"]: r["v"] for r in lists.select("k", T.distinct_values(F.col("v")).alias("v")).collect()} == {0: ["a", "b"], 1: [], 2: []}
+
+
+def test_longest_entries_and_cross_script_pairs(spark):
+    from sievework.functions import han
+
+    words = han.dictionary(spark)
+    entries = {r["char"]: r["pinyin"] for r in words.collect()}
+    texts = {1: "重庆大学", 2: "重大成都银行业", 3: "no Han", 4: None, 5: "龘校长 A音乐"}
+    longest = max(map(len, entries))
+
+    def brute(text):
+        if not text or not any("一" <= c <= "鿿" for c in text):
+            return ""
+        out, at = "", 0
+        while at < len(text):
+            size = next((k for k in range(longest, 0, -1) if text[at : at + k] in entries), 0)
+            out += f" {entries[text[at : at + size]]} " if size else text[at].lower()
+            at += size or 1
+        return " ".join(out.split())
+
+    rows = spark.createDataFrame(list(texts.items()), "id long, title string")
+    assert {r["id"]: r["pinyin"] for r in han.romanize(rows, "id", "title", words).collect()} == {k: brute(t) for k, t in texts.items()}
+    refs = spark.createDataFrame([(1, "Chong Qing Da Xue"), (2, "网络模型"), (3, "Deep nets")], "ref_id long, title string")
+    records = spark.createDataFrame([("a", "重庆大学"), ("b", "Wang Luo Mo Xing"), ("c", "Deep nets"), ("d", "网络模型")], "record_id string, title string")
+    found = {(r["ref_id"], r["record_id"]) for r in han.cross_script_pairs(refs, records, words, 0.5).collect()}
+    assert found == {(1, "a"), (2, "b"), (2, "d"), (3, "c")}
