@@ -170,7 +170,7 @@ def t10(spark, d):
     """Title, identifier, authors and abstract of every document's head."""
     from ..operators import header as H
 
-    found = headed(spark, d).select("doc_id", H.header(F.col("text")).alias("h"))
+    found = H.headers(headed(spark, d), name="h")
     shown = F.array_join(F.transform("h.authors", lambda a: F.concat_ws("/", a["name"], a["email"], a["affiliation"])), "|")
     return found.select("doc_id", "h.title", "h.doi", shown.alias("author_list"), F.length("h.abstract").cast("long").alias("abstract_chars"))
 

