@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import structuring as S
 from ..sources import readers
-from .bridge import records, sql, table
+from .bridge import records, references, sql, table
 from .registry import query
 from .scalars import _NAMES, _PAIRS, TITLE_TOKENS, N, _neighbours, joined
 
@@ -196,3 +196,22 @@ def t13(spark, d):
     blocks = rows.select("doc_id", H.author_block(F.col("lines"), H.title_range(F.col("lines"))).alias("block"))
     names = blocks.select("doc_id", F.posexplode_outer(H.distinct_names(H.author_names(F.col("block")))).alias("at", "n"))
     return names.select("doc_id", "at", "n.base", F.array_join("n.marks", "").alias("marks"))
+
+
+@query("t17_merged_headers", sql("""SELECT ref_id, coalesce(l_title, o_title) AS title, coalesce(l_doi, o_doi) AS doi, CASE WHEN len(o) >= len(l) THEN array_to_string(o, '|') ELSE array_to_string(l, '|') END AS author_list, coalesce(l_abstract, o_abstract) AS abstract
+FROM (SELECT ref_id, CASE WHEN ref_id % 3 <> 0 THEN a.title END AS l_title, nullif(a.doi, '') AS l_doi, list_filter(string_split(a.author, ';'), lambda x: x <> ' ') AS l, CASE WHEN ref_id % 5 = 0 THEN a.raw END AS l_abstract,
+             b.title AS o_title, b.original_doi AS o_doi, string_split(b.author, ';')[1:(ref_id % 4)::INT] AS o, b.journal AS o_abstract
+      FROM refs a JOIN records b ON b.record_id = 'D' || lpad((ref_id - 1)::VARCHAR, 8, '0'))""", "records", "refs"))
+def t17(spark, d):
+    """Every reference's own header, merged with that of the notice before it as the second opinion."""
+    from ..operators.structuring import merge_headers
+
+    key = F.concat(F.lit("D"), F.lpad((F.col("ref_id") - 1).cast("string"), 8, "0"))
+    other = F.struct("title", F.col("original_doi").alias("doi"), F.slice(F.split("author", ";"), 1, (F.substr("record_id", F.lit(2)).cast("long") + 1).cast("int") % 4).alias("authors"), F.col("journal").alias("abstract"))
+    local = F.struct(
+        F.when(F.col("ref_id") % 3 != 0, F.col("title")).alias("title"), F.nullif("doi", F.lit("")).alias("doi"),
+        F.filter(F.split("author", ";"), lambda x: x != " ").alias("authors"), F.when(F.col("ref_id") % 5 == 0, F.col("raw")).alias("abstract"),
+    )
+    both = references(spark, d).select("ref_id", key.alias("record_id"), local.alias("local")).join(records(spark, d).select("record_id", other.alias("other")), "record_id")
+    merged = both.select("ref_id", merge_headers(F.col("local"), F.col("other")).alias("m"))
+    return merged.select("ref_id", "m.title", "m.doi", F.array_join("m.authors", "|").alias("author_list"), "m.abstract")
