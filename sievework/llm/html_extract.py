@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from ._spark import map_batches, schema_of, text_or_empty
 from ._text import slices
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""", re.S)
+#: How a comment, a declaration or a tag begins, and what matters inside a tag.
+OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+SPECIAL = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -54,7 +56,7 @@ CLOSES = {
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
 LISTS = frozenset("ul ol dl table select".split())
-END_OF = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW | INERT}
+END_OF = {name: re.compile(rf"</{name}\b", re.I) for name in RAW | INERT}
 
 
 class Element:
@@ -87,6 +89,52 @@ class Block:
     linked: int
 
 
+class Tags:
+    """The tags of a page from front to back, (start, end, close, name, rest), in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes or, where all are in quotes, at the first one. A search that
+    meets the end of the page notes the quotes that it opened: whichever search opens one of them again meets it too.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.dead, self.endless = page, page.rfind(">"), set(), set()
+
+    def _end(self, at: int) -> int:
+        path: list[int] = []
+        while at <= self.last and (m := SPECIAL.search(self.page, at)) is not None and m.start() <= self.last:
+            if m[0] == ">":
+                return m.end()
+            quote = m.start()
+            if quote in self.dead or (close := self.page.find(m[0], quote + 1)) < 0:
+                path.append(quote)
+                break
+            path.append(quote)
+            at = close + 1
+        self.dead.update(path)
+        return self.page.find(">", at if not path else path[0]) + 1
+
+    def after(self, name: str, at: int) -> int | None:
+        """The place after the end tag of a raw element, or None if there is none."""
+        if name not in self.endless and at <= self.last and (m := END_OF[name].search(self.page, at)) and m.end() <= self.last:
+            return self.page.index(">", m.end()) + 1
+        self.endless.add(name)
+        return None
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        while at <= self.last and (m := OPENS.search(self.page, at)) is not None:
+            if m[1]:
+                end = self.page.find("-->", m.end()) + 3
+                return m.start(), end if end > 2 else len(self.page), "", "", ""
+            if m.end() > self.last:
+                at = m.start()
+                break
+            end = self._end(m.end()) if m[4] else self.page.index(">", m.end()) + 1
+            return m.start(), end, m[3] or "", m[4] or "", self.page[m.end() : end - 1] if m[4] else ""
+        # A comment that nothing closes swallows the rest.
+        start = self.page.find("<!--", at)
+        return None if start < 0 else (start, len(self.page), "", "", "")
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     found: list[str] = []
     for key, *values in ATTRIBUTE.findall(attributes):
@@ -121,11 +169,11 @@ def leaf_blocks(page: str) -> list[Block]:
             if stack and stack[-1].linked:
                 linked += len(text)
 
-    at = 0
-    while (m := TAG.search(page, at)) is not None:
-        say(page[at : m.start()])
-        at = m.end()
-        close, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    at, tags = 0, Tags(page)
+    while (found := tags.next(at)) is not None:
+        start, end, close, name, rest = found
+        say(page[at:start])
+        at = end
         if not name:
             continue
         name = name.lower()
@@ -143,8 +191,8 @@ def leaf_blocks(page: str) -> list[Block]:
             say(" ")
             continue
         if name in END_OF and not rest.endswith("/"):
-            if end := END_OF[name].search(page, at):
-                at = end.end()
+            if (end := tags.after(name, at)) is not None:
+                at = end
             elif name in RAW:  # what an unclosed one swallows, browsers do not show either
                 at = len(page)
             continue
