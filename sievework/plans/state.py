@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import state as S
+from ..sources.shared import new_path
+from ..streaming import sinks
 from .bridge import manuscripts, sql, table
 from .registry import query
 
@@ -85,3 +87,24 @@ def x13(spark, d):
     active = table(spark, d, "customer").where("c_custkey % 7 != 0").select(F.col("c_custkey").alias("share_id"))
     views = table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("share_id"), "ts")
     return views.join(active, "share_id").groupBy("share_id").agg(F.count("*").alias("view_count"), F.max("ts").alias("last_viewed_at"))
+
+
+@query("x10_audit_batches", "SELECT event_id, user_id, (event_id % 3)::INT AS batch FROM events")
+def x10(spark, d):
+    """Audit rows of three micro-batches, each of them tried twice."""
+    path, events = new_path(spark, "audit"), table(spark, d, "events").select("event_id", "user_id")
+    for batch in (0, 1, 1, 2, 0, 2):
+        sinks.append_batch(events.where(F.col("event_id") % 3 == batch), batch, path)
+    return sinks.audit_rows(spark, path).select("event_id", "user_id", "batch")
+
+
+@query("x07_retention_sweep", "SELECT event_id, (event_id % 3)::INT AS batch FROM events WHERE epoch_us(ts) // 1000 > epoch_us(TIMESTAMP '2024-01-31') // 1000 - 20 * 86400000")
+def x07(spark, d):
+    """What a table of three batches holds after a sweep of what is older than twenty days, made twice."""
+    path, events = new_path(spark, "audit"), table(spark, d, "events").select("event_id", "ts")
+    for batch in range(3):
+        sinks.append_batch(events.where(F.col("event_id") % 3 == batch), batch, path)
+    now = 1_706_659_200_000  # 2024-01-31 in UTC
+    for _ in range(2):
+        sinks.sweep(spark, path, "ts", now, 20 * 24)
+    return sinks.audit_rows(spark, path).select("event_id", "batch")
