@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import analytics, han, ingest, matching, scalars, search, state, structuring, whole  # noqa: F401
+    from . import analytics, han, ingest, matching, policies, scalars, search, state, structuring, whole  # noqa: F401
