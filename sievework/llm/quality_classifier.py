@@ -9,6 +9,10 @@ of as pseudo-labels, as many of each class as the classes' shares allow. Both ar
 labelled documents that neither was trained on, and a logistic layer over the two calibrated log odds,
 fitted there too with weights of zero or more, gives the score.
 
+The second view is for the most part one of layout, which is read off the text; what is metadata in the strict sense
+(source, language, stated length) tells little on its own. Rounds help where both views are weak and independent; where
+one is all but perfect from its labels on, as on the given tables, they change nothing or lose a little.
+
 Training takes a bounded sample of labelled documents only: MAX_LABELLED, those with the least hashes of
 their ids. The pool of pseudo-labels is every unlabelled document: features are written once, each round
 scores all of them on Spark, and the surest rows that a view tells the other, SHARE_A_ROUND of the pool but

@@ -3,11 +3,12 @@
 Two suffixes that agree on their first `threshold` tokens start a repeated window. A full suffix
 array would order every suffix of the corpus to its end; here suffixes are only told apart through
 `threshold` tokens, by most-significant-digit passes over the whole corpus. A digit is a stretch of
-threshold / DIGITS tokens, the first pass reads the front one, and each pass splits the groups of the
+threshold / digits tokens (DIGITS of them, unless told), the first pass reads the front one, and each pass splits the groups of the
 pass before it by the next digit; a suffix that is alone in its group starts no repeated window and
 drops out. What is left after the last pass are exactly the groups of equal windows. Groups are told
-apart, not ordered: nothing here asks for the order, so digits are compared by 64-bit hashes, and the
-last group is keyed by two of them.
+apart, not ordered: nothing here asks for the order. A pass groups by the hashes of what is known before and after
+it (`_text.Spans`: 61 bits at a point that the run draws), so windows that agree on all but the last digit are told apart by
+one such hash, and others by more.
 
 Two named speed-ups come first, since most suffixes of a corpus need no digit read at all:
 
@@ -126,9 +127,9 @@ def depths(threshold: int, digits: int = DIGITS) -> list[int]:
     return sorted({-(-threshold * k // digits) for k in range(1, digits + 1)})
 
 
-def _suffix_rows(unit: str, threshold: int):
+def _suffix_rows(unit: str, threshold: int, digits: int):
     """Of documents with the runs that the digit passes look at: a row for each suffix, its group after each pass."""
-    ends = depths(threshold)
+    ends = depths(threshold, digits)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "_text"):
@@ -187,16 +188,16 @@ def _cut(unit: str, threshold: int):
     return rows
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None = None, unit: str = "byte", threshold: int = 400) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None = None, unit: str = "byte", threshold: int = 400, digits: int = DIGITS) -> DataFrame:
     """Remove every token covered by a run of `threshold` tokens that also starts anywhere else.
 
     docs: any table with a text column. carry: columns to return besides (default doc_id).
-    unit: "byte", or "word" for runs of [^\\x20\\x09-\\x0D]+. Overlaps count, and runs are judged on
+    digits: how many passes a suffix is read in. unit: "byte", or "word" for runs of [^\\x20\\x09-\\x0D]+. Overlaps count, and runs are judged on
     the input. Returns the carried columns, kept (binary: the remaining bytes) and removed
     (array<struct<start, end>>: maximal removed byte ranges of the UTF-8 text).
     """
-    if unit not in ("byte", "word") or not 4 <= threshold < 1 << RUN_BITS:
-        raise ValueError("unit must be byte or word, threshold from 4 on")
+    if unit not in ("byte", "word") or not 4 <= threshold < 1 << RUN_BITS or not 1 <= digits <= threshold:
+        raise ValueError("unit must be byte or word, threshold from 4 on, digits from 1 to threshold")
     carry = ["doc_id"] if carry is None else carry
     keyed = docs.select(*(F.col(f"`{c}`") for c in carry), text_or_empty(text).alias("_text")).select("*", *row_keys(*(f"`{c}`" for c in carry if c != text), "_text"))
     plain = keyed.select("_k1", "_k2", "_text")
@@ -219,8 +220,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", carry: list[str] | None =
     # The digit passes: each splits the groups of the one before, and suffixes alone in their group drop out.
     listed = spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("_run", "_core", (F.col("_n") == 1).alias("_alone"))).alias("_runs"))
     look = settle(listed.withColumn("_uid", F.monotonically_increasing_id()), "look")
-    keys = [f"_group{d}" for d in depths(threshold)]
-    suffixes = map_batches(plain.join(look, ["_k1", "_k2"]).select("_uid", "_runs", "_text"), _suffix_rows(unit, threshold), f"_uid long, _at long, _alone boolean, {', '.join(f'{k} long' for k in keys)}")
+    keys = [f"_group{d}" for d in depths(threshold, digits)]
+    suffixes = map_batches(plain.join(look, ["_k1", "_k2"]).select("_uid", "_runs", "_text"), _suffix_rows(unit, threshold, digits), f"_uid long, _at long, _alone boolean, {', '.join(f'{k} long' for k in keys)}")
     for k, key in enumerate(keys):
         group = keys[max(k - 1, 0) : k + 1]
         several = settle(suffixes.groupBy(*group).agg(F.count("*").alias("_n")).where("_n >= 2").select(*group), "several")

@@ -233,6 +233,13 @@ def test_nearest(spark):
     assert vptree.nearest(table.limit(0), F.lit(True), k=3, factor=1.0).count() == 0
 
 
+@pytest.mark.parametrize("digits", [1, 3, 4, 8])
+def test_suffix_digits(docs, digits):
+    """However many passes a suffix is read in, the same bytes go."""
+    rows = lambda df: sorted((str(r["doc_id"]), bytes(r["kept"]), str(r["removed"])) for r in df.collect())
+    assert rows(suffix_dedup.suffix_dedup(docs, unit="word", threshold=8, digits=digits)) == rows(suffix_dedup.suffix_dedup(docs, unit="word", threshold=8))
+
+
 @pytest.mark.parametrize("unit, threshold", [("byte", 60), ("word", 20)])
 def test_suffixes(docs, rows, empty, unit, threshold):
     def cut(text):
