@@ -186,8 +186,11 @@ def _block(docs: DataFrame, pairs: DataFrame, id_type: T.DataType, k: int) -> Da
     best = settle(classes.mapInArrow(_best_rows(Items(ids, of_term, item, weight), k), "_item int, score long, _ids array<bigint>"), "best")
     release(bags)
     names = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], T.StructType([T.StructField("_item", T.IntegerType()), T.StructField("item_id", id_type)]))
+    # The k best classes hold the k best documents; only they are expanded.
+    place = Window.partitionBy("_item").orderBy(F.col("score").desc(), F.col("_ids")[0].asc_nulls_last())
     order = Window.partitionBy("_item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    ranked = best.select("_item", "score", F.explode("_ids").alias("doc_id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kept = best.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k)
+    ranked = kept.select("_item", "score", F.explode("_ids").alias("doc_id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(names, "_item").select("item_id", "rank", "doc_id", "score")
 
 
