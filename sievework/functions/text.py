@@ -13,11 +13,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Domains of public mail providers.
-PUBLIC_DOMAINS = "gmail.com googlemail.com outlook.com hotmail.com live.com msn.com icloud.com me.com yahoo.com aol.com proton.me protonmail.com qq.com 163.com 126.com sina.com".split()
+PUBLIC_DOMAINS = (
+    "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "icloud.com", "me.com", "yahoo.com",
+    "aol.com", "proton.me", "protonmail.com", "qq.com", "163.com", "126.com", "sina.com",
+)
 # Words that say nothing about an institution.
-INSTITUTION_STOP_WORDS = "the of and for department dept school college faculty institute center centre laboratory lab university hospital medical research science sciences".split()
+INSTITUTION_STOP_WORDS = (
+    "the", "of", "and", "for", "department", "dept", "school", "college", "faculty", "institute", "center", "centre",
+    "laboratory", "lab", "university", "hospital", "medical", "research", "science", "sciences",
+)
 # Words that say nothing about a title.
-TITLE_STOP_WORDS = "a an the of in on for and or to at by with from as is are be this that these those via using based".split()
+TITLE_STOP_WORDS = (
+    "a", "an", "the", "of", "in", "on", "for", "and", "or", "to", "at", "by", "with", "from", "as", "is", "are", "be", "this",
+    "that", "these", "those", "via", "using", "based",
+)
 # Patterns of identifiers.
 DOI_PATTERN = r"(?i)\b10\.\d{4,9}/[^\s)\]>\"<]+"
 PMID_PATTERN = r"(?i)(?:pmid[:\s]*|pubmed[:\s]+)(\d{5,9})"

@@ -23,18 +23,52 @@ RTL = r"[\x{0590}-\x{08ff}]"
 MARKS = "∗*†‡§¶○●"
 
 #: Vocabularies of a line's features, in lower case.
-GLUE = "a an and as at by for from in into of on or over the to under using via with without against across toward towards between among during than that which whose when where while because but nor so yet is are be".split()
-LIST_TYPES = "research original review short brief technical case news editorial perspective commentary letter rapid systematic invited survey method methods article articles report reports communication communications note notes paper papers correspondence".split()
-VENUES = "journal frontiers annals proceedings transactions letters reviews bulletin archives acta".split()
-MEETINGS = "conference congress symposium workshop forum summit seminar meeting".split()
-SCOPES = "international national annual world global regional ieee acm ifac ifip european asian american".split()
-ORGANISATIONS = "university universities institute college hospital laboratory laboratories department dept school center centre faculty academy division ministry".split()
-COMPANIES = "inc corp corporation co ltd llc gmbh pty pte technology technologies group holdings foundation research labs lab brain ai".split()
-HOUSES = "google deepmind microsoft facebook meta amazon apple nvidia ibm intel huawei tencent alibaba baidu samsung".split()
-PLACES = "china usa uk japan korea singapore thailand india taiwan germany france italy spain canada australia belgium netherlands switzerland beijing shanghai hong kong tokyo seoul bangkok london paris boston united states kingdom".split()
-STREETS = "road rd street avenue ave boulevard blvd lane campus".split()
-PARTICLES = "van von der den de del della di da dos du la le bin ibn al el y ter".split()
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+GLUE = (
+    "a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "of", "on", "or", "over", "the", "to", "under", "using",
+    "via", "with", "without", "against", "across", "toward", "towards", "between", "among", "during", "than", "that", "which",
+    "whose", "when", "where", "while", "because", "but", "nor", "so", "yet", "is", "are", "be",
+)
+LIST_TYPES = (
+    "research", "original", "review", "short", "brief", "technical", "case", "news", "editorial", "perspective", "commentary",
+    "letter", "rapid", "systematic", "invited", "survey", "method", "methods", "article", "articles", "report", "reports",
+    "communication", "communications", "note", "notes", "paper", "papers", "correspondence",
+)
+VENUES = (
+    "journal", "frontiers", "annals", "proceedings", "transactions", "letters", "reviews", "bulletin", "archives", "acta",
+)
+MEETINGS = (
+    "conference", "congress", "symposium", "workshop", "forum", "summit", "seminar", "meeting",
+)
+SCOPES = (
+    "international", "national", "annual", "world", "global", "regional", "ieee", "acm", "ifac", "ifip", "european", "asian",
+    "american",
+)
+ORGANISATIONS = (
+    "university", "universities", "institute", "college", "hospital", "laboratory", "laboratories", "department", "dept",
+    "school", "center", "centre", "faculty", "academy", "division", "ministry",
+)
+COMPANIES = (
+    "inc", "corp", "corporation", "co", "ltd", "llc", "gmbh", "pty", "pte", "technology", "technologies", "group", "holdings",
+    "foundation", "research", "labs", "lab", "brain", "ai",
+)
+HOUSES = (
+    "google", "deepmind", "microsoft", "facebook", "meta", "amazon", "apple", "nvidia", "ibm", "intel", "huawei", "tencent",
+    "alibaba", "baidu", "samsung",
+)
+PLACES = (
+    "china", "usa", "uk", "japan", "korea", "singapore", "thailand", "india", "taiwan", "germany", "france", "italy", "spain",
+    "canada", "australia", "belgium", "netherlands", "switzerland", "beijing", "shanghai", "hong", "kong", "tokyo", "seoul",
+    "bangkok", "london", "paris", "boston", "united", "states", "kingdom",
+)
+STREETS = (
+    "road", "rd", "street", "avenue", "ave", "boulevard", "blvd", "lane", "campus",
+)
+PARTICLES = (
+    "van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "bin", "ibn", "al", "el", "y", "ter",
+)
+MONTHS = (
+    "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec",
+)
 #: What publishers' notes speak of.
 NOTICES = (
     "copyright", "©", "all rights reserved", "permission", "hereby grants?", "licen[cs]ed? under", "creative commons", "open access", "reuse guidelines", "peer-?review", "under review", "in press", "preprint", "arxiv",

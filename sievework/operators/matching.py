@@ -219,6 +219,6 @@ def rank_references(scored: DataFrame, limit: int = 25, near_limit: int = 5) ->
 def is_weak_name(name: Column) -> Column:
     """Names that are no use for screening: too short, one short Latin token, or a stop word."""
     # Words that stand in author lists but are no names.
-    stop = "china,usa,uk,japan,korea,singapore,beijing,shanghai,tokyo,ltd,inc,corp,co,et al".split(",")
+    stop = ("china", "usa", "uk", "japan", "korea", "singapore", "beijing", "shanghai", "tokyo", "ltd", "inc", "corp", "co", "et al")
     bare = F.trim(name)
     return (F.length(bare) < 3) | bare.rlike(r"^[A-Za-z]{1,3}$") | F.lower(bare).isin(*stop)

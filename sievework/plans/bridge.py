@@ -23,8 +23,18 @@ def _word(i: int) -> Column:
     return F.coalesce(F.try_element_at(F.col("ws"), F.lit(i)), F.lit(""))
 
 
+#: Words that the views use, and characters that hold so many in most texts.
+WORDS_USED, FRONT = 12, 400
+
+
 def _with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("ws", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]{3,}"), F.lit(0)))
+    """Column ws: the words of a text, its first WORDS_USED at least. Only texts whose front holds fewer are read on to their end."""
+    found = lambda text: F.regexp_extract_all(text, F.lit(r"[A-Za-z]{3,}"), F.lit(0))
+    front = docs.withColumn("_front", found(F.left(F.coalesce("text", F.lit("")), F.lit(FRONT))))
+    # The last word of a front may be cut. The words come out of a generator, which no filter on them is pushed
+    # through: else they would be looked for again in every such filter.
+    words = F.when(F.size("_front") > WORDS_USED, F.col("_front")).otherwise(found(F.coalesce("text", F.lit(""))))
+    return front.select(*docs.columns, F.explode(F.array(words)).alias("ws"))
 
 
 def _identifiers(docs: DataFrame, kind: str) -> DataFrame:

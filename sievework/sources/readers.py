@@ -19,7 +19,11 @@ from pyspark.sql import types as T
 
 from ..operators.ordering import numbered
 
-NOTICE_COLUMNS = "record_id title subject institution journal publisher country author urls article_type retraction_date retraction_doi retraction_pmid original_date original_doi original_pmid nature reason paywalled notes".split()
+NOTICE_COLUMNS = (
+    "record_id", "title", "subject", "institution", "journal", "publisher", "country", "author", "urls", "article_type",
+    "retraction_date", "retraction_doi", "retraction_pmid", "original_date", "original_doi", "original_pmid", "nature", "reason",
+    "paywalled", "notes",
+)
 NOTICE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in NOTICE_COLUMNS])
 # Limits of zipped projects.
 ZIP_ENTRIES, ZIP_ENTRY_BYTES, ZIP_BYTES = 200, 10 << 20, 50 << 20
