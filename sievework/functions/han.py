@@ -75,23 +75,3 @@ def title_similarity(record_title: Column, ref_title: Column, ref_pinyin: Column
     left = F.when(han(ref_title), ref_pinyin).otherwise(ref_title)
     right = F.when(han(record_title), record_pinyin).otherwise(record_title)
     return F.when(han(ref_title) != han(record_title), jaccard(title_tokens(left), title_tokens(right))).otherwise(plain)
-
-
-def cross_script_pairs(refs: DataFrame, records: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """(ref_id, record_id, title_similarity) as `matching.title_pairs` has them, titles of two scripts by romanised tokens.
-
-    Han titles go into the prefix filter a second time, romanised, against the Latin ones of the other side, so
-    candidates cross scripts by the same equi-joins.
-    """
-    from ..operators.matching import title_pairs
-
-    def sides(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        plain = df.select(key, "title")
-        han = plain.where(F.col("title").rlike(HAN))
-        spelt = romanize(han, key, "title", words, "_pinyin").select(key, F.col("_pinyin").alias("title"))
-        return han, plain.where(~F.coalesce(F.col("title").rlike(HAN), F.lit(False))), spelt
-
-    q_han, q_latin, q_spelt = sides(refs, "ref_id")
-    r_han, r_latin, r_spelt = sides(records, "record_id")
-    met = [title_pairs(a, b, least) for a, b in ((q_han, r_han), (q_latin, r_latin), (q_spelt, r_latin), (q_latin, r_spelt))]
-    return met[0].unionByName(met[1]).unionByName(met[2]).unionByName(met[3])

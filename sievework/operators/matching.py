@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.han import romanize
+from ..sources.shared import written
 from .policy import BALANCED, Policy
 
 SALTS = 16
@@ -162,6 +164,23 @@ def title_pairs(refs: DataFrame, records: DataFrame, least: float) -> DataFrame:
     return full.where(F.col("title_similarity") >= least).select(F.col("q_id").cast("long").alias("ref_id"), F.col("r_id").alias("record_id"), "title_similarity")
 
 
+def cross_script_pairs(refs: DataFrame, records: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(ref_id, record_id, title_similarity) as `title_pairs` has them, titles of two scripts by romanised tokens (`words` as in functions.han).
+
+    Han titles go into the prefix filter a second time, romanised, against the Latin ones of the other side, so
+    candidates cross scripts by the same equi-joins. Titles are read once and written.
+    """
+
+    def sides(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        plain = written(df.select(key, "title", F.coalesce(F.col("title").rlike(T.HAN), F.lit(False)).alias("_han")), "titles")
+        han = plain.where("_han").drop("_han")
+        return han, plain.where("NOT _han").drop("_han"), written(romanize(han, key, "title", words, "_pinyin").select(key, F.col("_pinyin").alias("title")), "romanised")
+
+    (q_han, q_latin, q_spelt), (r_han, r_latin, r_spelt) = sides(refs, "ref_id"), sides(records, "record_id")
+    met = [title_pairs(a, b, least) for a, b in ((q_han, r_han), (q_latin, r_latin), (q_spelt, r_latin), (q_latin, r_spelt))]
+    return met[0].unionByName(met[1]).unionByName(met[2]).unionByName(met[3])
+
+
 def reference_pairs(refs: DataFrame, records: DataFrame, policy: Policy = BALANCED) -> DataFrame:
     """Every (ref_id, record_id) that can reach a verdict: equal identifiers, or titles similar enough."""
     ids = identifiers_of(records)

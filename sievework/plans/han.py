@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import han
+from ..operators import matching
 from .bridge import records, references, sql
 from .registry import query
 from .scalars import STOP_TITLE
@@ -50,4 +51,4 @@ def f16(spark, d):
     key = F.concat(F.lit("D"), F.lpad((F.col("ref_id") - 1).cast("string"), 8, "0"))
     cited = references(spark, d).select("ref_id", key.alias("record_id")).join(han.romanize(rows, "record_id", "title", words), "record_id")
     refs = cited.select("ref_id", F.concat(F.initcap("pinyin"), F.lit(" Study")).alias("title"))
-    return han.cross_script_pairs(refs, rows, words, 0.3).withColumn("title_similarity", F.round("title_similarity", 6))
+    return matching.cross_script_pairs(refs, rows, words, 0.3).withColumn("title_similarity", F.round("title_similarity", 6))

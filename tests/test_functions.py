@@ -139,6 +139,7 @@ def test_request_values(spark):
 
 def test_longest_entries_and_cross_script_pairs(spark):
     from sievework.functions import han
+    from sievework.operators import matching
 
     words = han.dictionary(spark)
     entries = {r["char"]: r["pinyin"] for r in words.collect()}
@@ -159,5 +160,5 @@ def test_longest_entries_and_cross_script_pairs(spark):
     assert {r["id"]: r["pinyin"] for r in han.romanize(rows, "id", "title", words).collect()} == {k: brute(t) for k, t in texts.items()}
     refs = spark.createDataFrame([(1, "Chong Qing Da Xue"), (2, "网络模型"), (3, "Deep nets")], "ref_id long, title string")
     records = spark.createDataFrame([("a", "重庆大学"), ("b", "Wang Luo Mo Xing"), ("c", "Deep nets"), ("d", "网络模型")], "record_id string, title string")
-    found = {(r["ref_id"], r["record_id"]) for r in han.cross_script_pairs(refs, records, words, 0.5).collect()}
+    found = {(r["ref_id"], r["record_id"]) for r in matching.cross_script_pairs(refs, records, words, 0.5).collect()}
     assert found == {(1, "a"), (2, "b"), (2, "d"), (3, "c")}
