@@ -23,6 +23,8 @@ Defined results: null, empty and blank texts have no shingles, are never linked
 their own; texts of fewer words than a shingle are one shingle; ties go to the least id; repeated rows
 fall into one class; null ids come last; an empty table gives no rows; only the id, the text and
 carried columns are read.
+
+Shingles are told apart by hashes of 61 bits at a point that the run draws (`_text.Spans`); sets of them are compared whole.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ some text window. A window that holds one indexed run of p shingles agrees with
 one row with probability p / WINDOW at least, so some of the BANDS bands retrieves it with
 probability 1 - (1 - p / WINDOW)^BANDS: above 1 - 1.1e-6 even for a template of a single shingle, and
 above 1 - 1e-28 for one of three. A retrieved template is then verified: at least `containment` of its
-distinct shingles must be in the text, counted exactly.
+distinct shingles must be in the text. All of them are counted; shingles are told apart by hashes of 61 bits at a point that
+the run draws (`_text.Spans`).
 
 Templates are a bounded list: the notices and full texts that go with the code, or the caller's own
 (a dict, or a folder of text files by `read_templates`). Texts never leave their partition, so there
