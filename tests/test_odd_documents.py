@@ -41,3 +41,13 @@ def agree(spark, folder: str, name: str) -> int:
 
 def test_weak_names_with_identifiers(spark, odd):
     assert agree(spark, odd, "c13_author_screen")
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_title_pairs_are_measured_where_they_meet(spark, odd):
+    assert agree(spark, odd, "j05_title_pairs")
+    told = plan(__spark_entry__.queries()["j05_title_pairs"](spark, odd))
+    assert "hashpartitioning(q_id" not in told and "keys=[q_id" not in told
