@@ -51,3 +51,8 @@ def test_title_pairs_are_measured_where_they_meet(spark, odd):
     assert agree(spark, odd, "j05_title_pairs")
     told = plan(__spark_entry__.queries()["j05_title_pairs"](spark, odd))
     assert "hashpartitioning(q_id" not in told and "keys=[q_id" not in told
+
+
+def test_references_are_judged_where_they_meet(spark, odd):
+    assert agree(spark, odd, "a07_manuscript_verdicts") and agree(spark, odd, "c11_reference_scores")
+    assert "Window" not in plan(__spark_entry__.queries()["a07_manuscript_verdicts"](spark, odd))
