@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import matching as M
+from sievework.operators.policy import STRICT
 
 PEOPLE = "query_id long, name string, institution string, email string, doi string, pmid string"
 RECORDS = "record_id string, author string, institution string, original_doi string, retraction_doi string, original_pmid string, retraction_pmid string"
@@ -38,3 +39,22 @@ def test_lists_of_copies_make_no_pairs(spark):
     records = spark.range(400).select(F.format_string("D%04d", "id").alias("record_id"), F.lit("John Smith;J Smith").alias("author"), *(F.lit("").alias(c) for c in ("institution", "original_doi", "retraction_doi", "original_pmid", "retraction_pmid")))
     found = M.listed_people(people, records)
     assert {r["count"] for r in found.groupBy("query_id").count().collect()} == {10} and found.agg(F.max("record_id")).first()[0] == "D0009"
+
+
+def test_given_pairs_and_counts_hold_against_the_routes(tables):
+    people, records = tables
+    pool = M.person_routes(people, records)
+    want = sorted(tuple(r) for r in pool.select("query_id", "record_id").collect())
+    every = people.select("query_id").crossJoin(records.select("record_id"))
+    assert len(set(want)) == len(want) and sorted(tuple(r) for r in M.routed(every, people, records).collect()) == want
+    strict = M.score_people(pool, people, records, STRICT).groupBy("verdict").count().collect()
+    assert {tuple(r) for r in M.hard_verdict_counts(people, records, STRICT).collect()} == {tuple(r) for r in strict}
+
+
+def test_frequent_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(M, "KEYS_A_PART", 10)
+    asked = spark.range(100).select(F.col("id").alias("query_id"), F.when(F.col("id") < 90, "a").otherwise("b").alias("key"))
+    held = spark.range(50).select(F.col("id").cast("string").alias("record_id"), F.when(F.col("id") < 40, "a").otherwise("b").alias("key"))
+    pairs = M.key_pairs(asked, held)
+    assert pairs.count() == pairs.distinct().count() == 90 * 40 + 10 * 10
+    assert pairs.where("key = 'a'").select(F.spark_partition_id()).distinct().count() > 1
