@@ -155,7 +155,8 @@ def near_pairs(left: DataFrame, left_key: str, left_text: str, right: DataFrame,
     segments, one segment of the right text stands unchanged in the left one, shifted by no more than the edits
     left to either side of it. Right texts are keyed by (length, number, segment); left texts by the
     substrings that could be that segment, for every length that a partner may have. Empty and null texts have no
-    pairs. Keys are joined by equality; every pair found is measured exactly.
+    pairs. Keys are joined by equality; every pair found is measured exactly. Texts meet once, however many rows
+    have them: rows come back to the pairs of different texts at the end.
     """
     if not 0.5 <= ratio < 1:
         raise ValueError("ratio from 0.5 to below 1")
@@ -167,19 +168,23 @@ def near_pairs(left: DataFrame, left_key: str, left_text: str, right: DataFrame,
     def keyed(df: DataFrame, key: str, text: str, names: tuple[str, str]) -> DataFrame:
         return df.select(F.col(key).alias(names[0]), F.col(text).alias(names[1])).where(f"{names[1]} != ''")
 
-    a, b = keyed(left, left_key, left_text, ("_a", "_x")), keyed(right, right_key, right_text, ("_b", "_y"))
+    rows_a, rows_b = keyed(left, left_key, left_text, ("_a", "_x")), keyed(right, right_key, right_text, ("_b", "_y"))
+    texts = lambda df, text, name: written(df.select(text).distinct().withColumn(name, F.monotonically_increasing_id()), "near-texts")
+    a, b = texts(rows_a, "_x", "_i"), texts(rows_b, "_y", "_j")
     n = F.length("_y")
     numbers = F.sequence(F.lit(0), F.least(edits(n), n - 1))
-    cut = b.select("_b", n.alias("n"), "_y", F.explode(numbers).alias("i"))
+    cut = b.select("_j", n.alias("n"), "_y", F.explode(numbers).alias("i"))
     parts = F.least(edits(F.col("n")), F.col("n") - 1) + 1
     segment = F.substr("_y", begin(F.col("n"), parts, F.col("i")) + 1, begin(F.col("n"), parts, F.col("i") + 1) - begin(F.col("n"), parts, F.col("i")))
-    keys = cut.select("_b", F.col("n"), F.col("i"), segment.alias("s"))
+    keys = cut.select("_j", F.col("n"), F.col("i"), segment.alias("s"))
 
     lengths = F.sequence(F.greatest(F.ceil(F.length("_x") * ratio - 1e-9).cast("int"), F.lit(1)), longest(F.length("_x")))
-    wide = a.select("_a", "_x", F.explode(lengths).alias("n"))
+    # Few bytes of text make very many substrings: as many tasks as there may be.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = a.repartition(tasks, "_i").select("_i", "_x", F.explode(lengths).alias("n"))
     wide = wide.join(b.select(n.alias("n")).distinct(), "n")  # lengths that there are
     t = F.least(edits(F.col("n")), F.col("n") - 1)
-    tried = wide.select("_a", "_x", "n", t.alias("t"), F.explode(F.sequence(F.lit(0), t)).alias("i"))
+    tried = wide.select("_i", "_x", "n", t.alias("t"), F.explode(F.sequence(F.lit(0), t)).alias("i"))
     at = begin(F.col("n"), F.col("t") + 1, F.col("i"))
     width, delta = begin(F.col("n"), F.col("t") + 1, F.col("i") + 1) - at, F.length("_x") - F.col("n")
     # Every edit may be needed to the left of the segment or to the right of it; texts shorter than t + 1 segments may spend all.
@@ -187,9 +192,9 @@ def near_pairs(left: DataFrame, left_key: str, left_text: str, right: DataFrame,
     low = F.greatest(at - F.col("i") - spare, at + delta - (F.col("t") - F.col("i")) - spare, F.lit(0))
     high = F.least(at + F.col("i") + spare, at + delta + (F.col("t") - F.col("i")) + spare, F.length("_x") - width)
     places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    asked = tried.select("_a", "n", "i", "_x", width.alias("w"), F.explode(places).alias("p")).select("_a", "n", "i", F.substr("_x", F.col("p") + 1, F.col("w")).alias("s"))
-    met = asked.join(keys, ["n", "i", "s"]).select("_a", "_b").distinct()
-    told = met.join(a, "_a").join(b, "_b")
+    asked = tried.select("_i", "n", "i", "_x", width.alias("w"), F.explode(places).alias("p")).select("_i", "n", "i", F.substr("_x", F.col("p") + 1, F.col("w")).alias("s"))
+    met = asked.join(keys, ["n", "i", "s"]).select("_i", "_j").distinct()
+    told = met.join(a, "_i").join(b, "_j")
     most = F.greatest(F.length("_x"), F.length("_y"))
     found = told.withColumn("ratio", 1 - F.levenshtein("_x", "_y") / most).where(F.col("ratio") >= ratio - 1e-12)
-    return found.select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), "ratio")
+    return found.drop("_i", "_j").join(rows_a, "_x").join(rows_b, "_y").select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), "ratio")

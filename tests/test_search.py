@@ -82,3 +82,10 @@ def test_near_pairs(spark, ratio):
     found = search.near_pairs(spark.createDataFrame(left, "l long, t string"), "l", "t", spark.createDataFrame(right, "r long, t string"), "r", "t", ratio)
     assert {(r["l"], r["r"]) for r in found.collect()} == want
     assert len(want) > 5
+
+
+def test_near_pairs_of_copies_meet_once(spark):
+    rows = spark.range(60).selectExpr("id", "'a title of many copies' AS t")
+    found = search.near_pairs(rows, "id", "t", rows.selectExpr("id AS other", "t"), "other", "t")
+    assert found.count() == 3600 and found.distinct().count() == 3600
+    assert any("near-texts" in f for f in found.inputFiles())
