@@ -162,3 +162,13 @@ def test_longest_entries_and_cross_script_pairs(spark):
     records = spark.createDataFrame([("a", "重庆大学"), ("b", "Wang Luo Mo Xing"), ("c", "Deep nets"), ("d", "网络模型")], "record_id string, title string")
     found = {(r["ref_id"], r["record_id"]) for r in matching.cross_script_pairs(refs, records, words, 0.5).collect()}
     assert found == {(1, "a"), (2, "b"), (2, "d"), (3, "c")}
+
+
+def test_long_file_names_are_told_from_their_front(spark):
+    names = ["a" * 5000, "!" * 3000 + "b" * 300, "x" + "." * 2500 + "y", "d/" + "é" * 1500 + "/", "dir\\" + "ab " * 400 + "//", "/" * 2000, None, "", "q" * 199 + "-" + "r" * 2000]
+    rows = spark.createDataFrame(list(enumerate(names)), "k int, n string").select("k", T.safe_file_name(F.col("n")).alias("n"))
+    got = [r["n"] for r in sorted(rows.collect(), key=lambda r: r["k"])]
+    assert got == ["a" * 200, "_" + "b" * 199, "x.y", "_", ("ab_" * 400)[:200], "upload.bin", None, "upload.bin", "q" * 199 + "-"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # The characters after the front are only gone through where the front gives fewer than 200.
+    assert f"> {T.NAME_FRONT}" in plan
