@@ -102,7 +102,7 @@ def folded(line: Column) -> Column:
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _count(tokens: Column, pattern: str) -> Column:
@@ -117,7 +117,7 @@ def first_where(flags: Column, start: Column | int = 0) -> Column:
 
 
 def _from(lines: Column, start: Column) -> Column:
-    return F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
+    return let(start, lambda at: F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0))))
 
 
 def header_lines(pages: Column, text: Column, most: int = 8000) -> Column:
@@ -131,37 +131,48 @@ def header_lines(pages: Column, text: Column, most: int = 8000) -> Column:
 
 def person_like(part: Column) -> Column:
     """Could this be a person's name? Two to six words, all capitalised or particles, of no organisation or place; or a Han name."""
-    bare = F.trim(F.regexp_replace(part, rf"(?: [a-e])?[\d{MARKS}, ]*$", ""))
-    tokens = words(F.regexp_replace(bare, r"[.,;:!?]+$", ""))
-    han = bare.rlike(r"^[\x{4e00}-\x{9fff}·]{3,8}$")
-    known = F.arrays_overlap(F.transform(tokens, lambda w: F.lower(F.regexp_replace(w, r"[.,]+$", ""))), F.array(*(F.lit(w) for w in [*HOUSES, *COMPANIES, *PLACES, *ORGANISATIONS])))
-    named = F.size(tokens).between(2, 6) & F.forall(tokens, lambda w: w.rlike(_NAME_PART)) & (_count(tokens, r"^\p{Lu}.*\p{L}") >= 1) & ~bare.rlike(r"\p{Ll}\. \p{Lu}")
-    return F.length(bare).between(3, 80) & (named | han) & ~known & ~bare.rlike("[?!:]")
+
+    def told(bare: Column) -> Column:
+        def named(tokens: Column) -> Column:
+            known = F.arrays_overlap(F.transform(tokens, lambda w: F.lower(F.regexp_replace(w, r"[.,]+$", ""))), F.array(*(F.lit(w) for w in [*HOUSES, *COMPANIES, *PLACES, *ORGANISATIONS])))
+            own = F.size(tokens).between(2, 6) & F.forall(tokens, lambda w: w.rlike(_NAME_PART)) & (_count(tokens, r"^\p{Lu}.*\p{L}") >= 1) & ~bare.rlike(r"\p{Ll}\. \p{Lu}")
+            return (own | bare.rlike(r"^[\x{4e00}-\x{9fff}·]{3,8}$")) & ~known & ~bare.rlike("[?!:]")
+
+        return F.length(bare).between(3, 80) & let(words(F.regexp_replace(bare, r"[.,;:!?]+$", "")), named)
+
+    return let(F.trim(F.regexp_replace(part, rf"(?: [a-e])?[\d{MARKS}, ]*$", "")), told)
 
 
 def segments(line: Column) -> Column:
     """The parts of a byline: between commas, semicolons, dots in the middle and conjunctions; four or more capitalised words in a row are names of two."""
 
     def pairs(part: Column) -> Column:
-        tokens = words(part)
-        bare = F.transform(tokens, lambda w: F.regexp_replace(w, rf"[\d{MARKS}]+$", ""))
-        row = (F.size(tokens) > 3) & (F.size(tokens) % 2 == 0) & F.forall(bare, lambda w: w.rlike(r"^\p{Lu}\p{Ll}"))
-        two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(2)), lambda i: F.array_join(F.slice(bare, i, 2), " "))
-        return F.when(row, two).otherwise(F.array(part))
+        def cut(tokens: Column) -> Column:
+            bare = F.transform(tokens, lambda w: F.regexp_replace(w, rf"[\d{MARKS}]+$", ""))
+            row = (F.size(tokens) > 3) & (F.size(tokens) % 2 == 0) & F.forall(bare, lambda w: w.rlike(r"^\p{Lu}\p{Ll}"))
+            two = let(bare, lambda own: F.transform(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(2)), lambda i: F.array_join(F.slice(own, i, 2), " ")))
+            return F.when(row, two).otherwise(F.array(part))
+
+        return let(words(part), cut)
 
     parts = F.split(line, r" ?[,;；·、] ?| (?i:and) (?=\p{Lu})| & ")
     return F.flatten(F.transform(F.filter(parts, lambda x: ~x.rlike(rf"^[\d{MARKS} ]*$")), pairs))
 
 
 def describe(lines: Column) -> Column:
-    """array<struct> of the lines' features: x (the line), n words, and flags; `kind` names what a line is, "text" if nothing else."""
+    """array<struct> of the lines' features: x (the line), n words, and flags; `kind` names what a line is, "text" if nothing else.
 
-    def told(x: Column) -> Column:
-        tokens = words(x)
+    A line is cut into words once. Its parts, and the persons among them, are only looked for where nothing cheaper settles the kind.
+    """
+
+    def told(s: Column) -> Column:
+        x, tokens = s["x"], s["tokens"]
+        squeezed = x
+        for mark in " :：.":
+            squeezed = F.replace(squeezed, F.lit(mark), F.lit(""))
         return F.struct(
-            x.alias("x"), F.size(tokens).alias("n"), F.length(x).alias("size"), _count(tokens, r"^\p{Lu}").alias("capitals"), _count(tokens, rf"(?i)^{_one_of(GLUE)}$").alias("glue"),
-            _count(tokens, r"^.$").alias("singles"), _count(tokens, rf"(?i)^{_one_of(LIST_TYPES)}$").alias("types"), F.lower(F.regexp_replace(x, r"[ :：.]", "")).alias("squeezed"),
-            F.regexp_count(x, F.lit(r"[\x{3400}-\x{9fff}]")).alias("han"), F.size(F.filter(segments(x), person_like)).alias("persons"), F.size(segments(x)).alias("parts"),
+            x.alias("x"), tokens.alias("tokens"), s["low"].alias("low"), F.size(tokens).alias("n"), F.length(x).alias("size"), F.regexp_count(x, F.lit(r"(?<![^ ])\p{Lu}")).alias("capitals"),
+            F.size(F.filter(s["low"], lambda w: w.isin(*GLUE))).alias("glue"), F.lower(squeezed).alias("squeezed"), F.regexp_count(x, F.lit(r"[\x{3400}-\x{9fff}]")).alias("han"),
         )
 
     def named(s: Column) -> Column:
@@ -170,18 +181,32 @@ def describe(lines: Column) -> Column:
         body = F.regexp_replace(x, _PREFIX, "")
         placed = body.rlike(_ORGANISATION) | x.rlike(_PREFIX) & (body.rlike(_COMPANY) | body.rlike(_ADDRESS) | (F.regexp_count(x, F.lit(",")) >= 2))
         marked = x.rlike(rf"[{MARKS}]|\p{{L}}\d") | x.rlike(r", | and \p{Lu}| & ")
+        singles = F.size(F.filter(s["tokens"], lambda w: F.length(w) == 1))
+
+        def counted(parts: Column) -> Column:
+            persons = F.when((s["glue"] <= F.size(parts)) | (n <= 4), F.size(F.filter(parts, person_like))).otherwise(0)
+            return F.struct(F.size(parts).alias("parts"), persons.alias("persons"))
+
+        def rest(c: Column) -> Column:
+            some = c["persons"] >= 1
+            return (
+                F.when(some & (2 * c["persons"] >= c["parts"]) & (s["glue"] <= c["parts"]) & (s["size"] <= 400) & marked, "names")
+                .when(((n < 8) | x.rlike(_PREFIX)) & placed, "place")
+                .when(some & (c["persons"] == c["parts"]) & (n <= 4), "name?").otherwise("text")
+            )
+
+        byline = F.when((n <= 4) | (s["size"] <= 400) & marked, let(segments(x), counted))
         kind = (
-            F.when((n >= 4) & (s["singles"] >= 0.6 * n) & ~s["squeezed"].isin(*SECTIONS), "spaced")
+            F.when((n >= 4) & (singles >= 0.6 * n) & ~s["squeezed"].isin(*SECTIONS), "spaced")
             .when(s["squeezed"].isin(*FRONT_HEADS), "front").when(s["squeezed"].isin(*SECTIONS) | x.rlike(_SECTION), "section")
-            .when((n <= 3) & (s["types"] == n), "type").when(x.rlike(_MEETING), "meeting").when(x.rlike(_DATE), "date")
-            .when(x.rlike(_VENUE) & (n <= 9) & capital_rest & ~x.contains(":"), "venue").when(x.rlike(_NOTICE), "notice").when(x.rlike(BULLET), "bullet").when(x.contains("@"), "mail")
-            .when((s["persons"] >= 1) & (2 * s["persons"] >= s["parts"]) & marked & (s["glue"] <= s["parts"]) & (s["size"] <= 400), "names")
-            .when(placed & (n < 8) | placed & x.rlike(_PREFIX), "place")
-            .when((s["persons"] >= 1) & (s["persons"] == s["parts"]) & (n <= 4), "name?").otherwise("text")
+            .when((n <= 3) & F.forall(s["low"], lambda w: w.isin(*LIST_TYPES)), "type").when(x.rlike(_MEETING), "meeting").when(x.rlike(_DATE), "date")
+            .when((n <= 9) & capital_rest & ~x.contains(":") & x.rlike(_VENUE), "venue").when(x.rlike(_NOTICE), "notice").when(x.rlike(BULLET), "bullet").when(x.contains("@"), "mail")
+            .otherwise(let(byline, rest))
         )
         return F.struct(*(s[c].alias(c) for c in ("x", "n", "size", "capitals", "glue", "han")), kind.alias("kind"))
 
-    return F.transform(F.transform(lines, told), named)
+    cut = F.transform(lines, lambda x: F.struct(x.alias("x"), words(x).alias("tokens"), words(F.lower(x)).alias("low")))
+    return F.transform(F.transform(cut, told), named)
 
 
 _GLUE_END = rf"(?i)(?:\b{_one_of(GLUE)}|[,/\-–:])$"
@@ -242,7 +267,12 @@ def preamble_size(lines: Column, most: int = 200) -> Column:
 
 def strip_preamble(lines: Column) -> Column:
     """Plain lines without the notes before the paper."""
-    return let(settle_kinds(describe(lines)), lambda own: _from(F.transform(own, lambda x: x["x"]), preamble_size(own)))
+    return F.transform(stripped(describe(lines)), lambda x: x["x"])
+
+
+def stripped(lines: Column) -> Column:
+    """Described lines without the notes before the paper; kinds that follow from the line before are not settled."""
+    return let(lines, lambda own: _from(own, preamble_size(settle_kinds(own))))
 
 
 # --- title --------------------------------------------------------------------------------------------------
@@ -280,8 +310,9 @@ def title_of(lines: Column, horizon: int = 25) -> Column:
         more = _bare(at(own, s["last"] + 1)["x"])
         hyphen = s["title"].rlike(r"\p{Ll}-$") & more.rlike(r"^\p{Ll}")
         text = F.when(hyphen, F.concat(F.regexp_replace(s["title"], "-$", ""), more)).otherwise(F.concat_ws(" ", s["title"], more))
-        fit = s["open"] & goes_on(own, s) & (F.length(text) <= 250)
-        return F.struct(F.when(fit, text).otherwise(s["title"]).alias("title"), s["first"].alias("first"), F.when(fit, s["last"] + 1).otherwise(s["last"]).alias("last"), fit.alias("open"))
+        longer = F.struct(text.alias("title"), s["first"].alias("first"), (s["last"] + 1).alias("last"), F.lit(True).alias("open"))
+        same = F.struct(s["title"].alias("title"), s["first"].alias("first"), s["last"].alias("last"), F.lit(False).alias("open"))
+        return F.when(s["open"] & goes_on(own, s) & (F.length(text) <= 250), longer).otherwise(same)
 
     def told(own: Column) -> Column:
         def begun(i: Column) -> Column:
@@ -306,6 +337,10 @@ def title_range(lines: Column, horizon: int = 25) -> Column:
 
 def author_block(lines: Column, title: Column, most: int = 15) -> Column:
     """The plain lines after the title (of `title_range`) up to a section; the first ones if there is no title."""
+    return let(title, lambda told: _block_after(lines, told, most))
+
+
+def _block_after(lines: Column, title: Column, most: int) -> Column:
     begin = F.when(F.size(title) > 0, F.coalesce(F.get(title, F.lit(0))["last"], F.lit(-1)) + 1).otherwise(0)
     after = F.slice(lines, begin + 1, most)
 

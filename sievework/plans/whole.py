@@ -181,8 +181,8 @@ def t12(spark, d):
     from ..operators import header as H
 
     rows = table(spark, d, "documents").select("doc_id", H.header_lines(F.array().cast("array<string>"), F.coalesce("text", F.lit(""))).alias("raw"))
-    lines = rows.select("doc_id", F.size("raw").alias("n"), H.strip_preamble(F.col("raw")).alias("lines"))
-    found = lines.select("doc_id", (F.col("n") - F.size("lines")).alias("n_stripped"), H.title_range(F.col("lines")).alias("t"))
+    lines = rows.select("doc_id", F.size("raw").alias("n"), H.stripped(H.describe(F.col("raw"))).alias("lines"))
+    found = lines.select("doc_id", (F.col("n") - F.size("lines")).alias("n_stripped"), H.title_of(H.settle_kinds(F.col("lines"))).alias("t"))
     first = F.try_element_at("t", F.lit(1))
     return found.select("doc_id", "n_stripped", first["title"].alias("title"), first["first"].alias("first"), first["last"].alias("last"))
 

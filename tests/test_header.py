@@ -124,3 +124,19 @@ def test_marks_and_organisations(spark):
     first, second = heads(spark, "\n".join(lettered), "\n".join(plain))
     assert [(a["name"], a["affiliation"]) for a in first["authors"]] == [("Mira Xu", "School of Canals, Northern University, Ghent."), ("Liz Zang", "Homa.AI Technology Co., Ltd, Ghent 1010, Belgium."), ("Pia Hou", "School of Rivers, Southern University.")]
     assert [a["name"] for a in second["authors"]] == ["Eva Maria", "Bob Doe"]
+
+
+def test_lines_are_described_once(spark, sf_dir):
+    from sievework.plans import registry
+
+    registry.load()
+    for name in ("t10_headers", "t12_title_ranges", "t13_author_names"):
+        plan = registry.QUERIES.get(name, registry.WITHOUT_SQL.get(name))(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("jan|feb|mar") == 1, name
+
+
+def test_kinds_of_lines(spark):
+    lines = ["Anna Smith1, Bob Doe2", "Anna Smith", "a b c d e", "Review Article", "All rights reserved", "1Department of Things", "", "x" * 401 + ", Anna Smith & Bob", "The K and its Ring of x"]
+    row = spark.createDataFrame([(lines,)], "l array<string>").select(H.describe(F.col("l")).alias("d")).first()["d"]
+    assert [x["kind"] for x in row] == ["names", "name?", "spaced", "type", "notice", "place", "type", "text", "text"]
+    assert [(x["n"], x["capitals"], x["glue"]) for x in row][-1] == (7, 3, 3)
