@@ -1,4 +1,4 @@
-"""Indexed search over texts: prefixes of words, substrings by trigrams, near strings by segments.
+"""Indexed search over texts: prefixes of words, substrings by runs of three bytes, near strings by segments.
 
 All three find candidates by equi-joins on short keys and end with the exact test, so their results are
 those of testing every pair, and no pair of texts that share nothing is ever made.
@@ -6,10 +6,14 @@ those of testing every pair, and no pair of texts that share nothing is ever mad
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.shared import written
 
@@ -76,39 +80,103 @@ class WordIndex:
         return met.join(sizes, F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("_met") == F.col("_terms"))).select("query_id", "id")
 
 
-# --- substrings: trigrams --------------------------------------------------------------------------------
+# --- substrings: runs of bytes ---------------------------------------------------------------------------
 
 GRAM = 3
-
-
-def grams(text: Column, size: int) -> Column:
-    """Distinct runs of `size` characters of a text; an array of characters is cut once, so that no run is looked for from the front."""
-    chars = F.split(text, "")
-    n = F.length(text) - size + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, size), ""))
-    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+#: Runs of one, two and GRAM bytes are numbered, the longer after the shorter; CODES is above them all.
+FIRST = {1: 1, 2: 1 + 256, 3: 1 + 256 + 256**2}
+CODES = 1 + 256 + 256**2 + 256**3
+#: Bytes of text that one numpy pass handles, bits of one of Spark's bitmaps, passages that one list of a text holds (about).
+SLICE_BYTES, BITMAP_BITS, PASSAGES_AT_ONCE = 1 << 19, 8 * 4096, 4096
+
+
+def _runs(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, run) of the wanted runs in the texts of a batch, each once a row."""
+    texts = batch.column("_text")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, side="right")) - 1)
+        if offsets[high] > offsets[low]:
+            data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[low] : offsets[high]]
+            places, code, found = offsets[low : high + 1] - offsets[low], np.zeros(len(data), dtype=np.int32), []
+            for size, first in FIRST.items():
+                n = len(data) - size + 1
+                if n < 1:
+                    break
+                code = (code[:n] << 8) | data[size - 1 :]
+                if not wanted[first : first + 256**size].any():
+                    continue
+                hit = wanted[code + first]
+                for k in range(1, size):  # runs that would end in the next row
+                    last = places[1:] - k
+                    hit[last[(last >= 0) & (last < n)]] = False
+                at = np.flatnonzero(hit)
+                found.append((np.searchsorted(places, at, side="right") - 1) * CODES + code[at] + first)
+            both = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+            yield low + both // CODES, (both % CODES).astype(np.int32)
+        low = high
+
+
+def _with_runs(texts: DataFrame, key: str, wanted: DataFrame | None = None, counted: bool = False) -> DataFrame:
+    """(key, gram): the runs in each text (_text, not null), of those in `wanted`; or (gram, n): numbers of texts, to be summed."""
+    maps = None
+    if wanted is not None:  # 2 MB at most: a bit for each run that there can be
+        maps = [tuple(r) for r in wanted.groupBy(F.bitmap_bucket_number("gram").alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("gram")).alias("bits")).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.full(-(-CODES // BITMAP_BITS) * BITMAP_BITS + 1, maps is None)
+        for i, bits in maps or ():
+            held[1 + (i - 1) * BITMAP_BITS : 1 + i * BITMAP_BITS] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little")
+        for batch in batches:
+            for row, gram in _runs(batch, held):
+                if counted:
+                    gram, n = np.unique(gram, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], names=["gram", "n"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array(gram)], names=[key, "gram"])
+
+    if counted:
+        return texts.select("_text").mapInArrow(run, "gram int, n long")
+    return texts.select(key, "_text").mapInArrow(run, StructType([texts.schema[key], StructField("gram", IntegerType())]))
+
+
+def _met_by_runs(plain: DataFrame, asked: DataFrame) -> DataFrame:
+    """(_asked, _key) of the texts that hold a passage's rarest run of GRAM bytes (of a shorter passage: the whole)."""
+    size = F.least(F.octet_length("_text"), F.lit(GRAM))
+    least = F.coalesce(*(F.when(size == k, F.lit(first)) for k, first in FIRST.items()))
+    texts = asked.select("_asked", F.col("_passage").alias("_text"))
+    own = written(_with_runs(texts, "_asked").join(texts.select("_asked", least.alias("least")), "_asked").where("gram >= least").select("_asked", "gram"), "passage-runs")
+    n = _with_runs(plain, "_key", own, counted=True).groupBy("gram").agg(F.sum("n").alias("n"))
+    rarest = own.join(n, "gram", "left").groupBy("_asked").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    rarest = written(rarest, "rarest-runs")
+    return _with_runs(plain, "_key", rarest).join(rarest, "gram").select("_asked", "_key")
+
+
+def _containing(plain: DataFrame, asked: DataFrame, met: DataFrame) -> DataFrame:
+    """(_key, _asked) of the pairs met where the text contains the passage. A text meets all its passages at once and is dealt once, not once a pair."""
+    lists = max(1, -(-asked.count() // PASSAGES_AT_ONCE))
+    passages = F.collect_set(F.struct("_asked", "_passage")).alias("_passages")
+    listed = met.join(asked, "_asked").groupBy(F.col("_key").alias("_of"), F.pmod(F.xxhash64("_asked"), F.lit(lists)).alias("_list")).agg(passages)
+    told = plain.join(listed, F.col("_key").eqNullSafe(F.col("_of")))
+    held = F.filter("_passages", lambda p: F.col("_text").contains(p["_passage"]))
+    return told.select("_key", F.explode(F.transform(held, lambda p: p["_asked"])).alias("_asked"))
+
+
+def _texts_and_passages(rows: DataFrame, key: str, text: str, passages: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(_key, _text) of the rows that have a text; (_asked, _passage) of the distinct passages."""
+    plain = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text IS NOT NULL")
+    return plain, written(passages.select("_passage").distinct().withColumn("_asked", F.monotonically_increasing_id()), name)
 
 
 def substring_pairs(rows: DataFrame, key: str, text: str, tokens: DataFrame, token: str = "token") -> DataFrame:
     """Distinct (key, token) where the row's text contains the token: `LIKE '%token%'` for a batch of tokens.
 
-    A token meets the texts that hold its rarest trigram (of shorter tokens: the token itself as a run of that
-    length), then the exact test. Null and empty tokens, and null texts, have no pairs. Keys must be unique.
+    A token meets the texts that hold its rarest run of three bytes (of shorter tokens: the token itself), then
+    the exact test. Null and empty tokens, and null texts, have no pairs. Keys must be unique.
     """
-    asked = tokens.select(F.col(token).alias("token")).where("token != ''").distinct()
-    plain = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
-    size = F.least(F.length("token"), F.lit(GRAM))
-    own = F.coalesce(*(F.when(size == k, grams(F.col("token"), k)) for k in range(1, GRAM + 1)))
-    wanted = written(asked.select("token", F.explode(own).alias("gram")), "token-grams")
-    sizes = [r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]
-    if not sizes:
-        return plain.select("key", F.lit("").alias("token")).limit(0)
-    every = F.array_distinct(F.flatten(F.array(*(grams(F.col("text"), k) for k in sorted(sizes)))))
-    held = written(plain.select("key", F.explode(every).alias("gram")).join(wanted.select("gram").distinct(), "gram"), "text-grams")
-    df = held.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(df, "gram", "left").groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
-    met = held.join(rarest, "gram").select("key", "token")
-    return met.join(plain, "key").where(F.col("text").contains(F.col("token"))).select("key", "token")
+    plain, asked = _texts_and_passages(rows, key, text, tokens.select(F.col(token).alias("_passage")).where("_passage != ''"), "tokens")
+    return _containing(plain, asked, _met_by_runs(plain, asked)).join(asked, "_asked").select(F.col("_key").alias("key"), F.col("_passage").alias("token"))
 
 
 #: A word, or a run of white space.
@@ -118,31 +186,28 @@ PIECE = r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 def passage_pairs(docs: DataFrame, key: str, text: str, passages: DataFrame, passage_key: str, passage: str) -> DataFrame:
     """(passage key, key) where a document contains a passage whole.
 
-    A passage meets the documents that hold its rarest inner word. Passages without one (two words at most)
-    meet, by `substring_pairs` over the distinct words and white runs of the corpus, those that hold a piece with
-    their longest own piece in it; then the exact test. Null and empty passages have no pairs.
+    A passage meets the documents that hold its rarest inner word; passages without one (two words at most)
+    meet those that hold their rarest run of three bytes; then the exact test. Rows of one passage are looked for
+    once. Null and empty passages have no pairs.
     """
-    plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text IS NOT NULL")
-    asked = passages.select(F.col(passage_key).alias("_item"), F.col(passage).alias("_passage")).where("_passage != ''")
+    rows = passages.select(F.col(passage_key).alias("_item"), F.col(passage).alias("_passage")).where("_passage != ''")
+    plain, asked = _texts_and_passages(docs, key, text, rows, "passages")
     pieces = lambda c: F.regexp_extract_all(c, F.lit(PIECE), F.lit(0))
-    asked = asked.withColumn("_pieces", pieces("_passage"))
+    cut = asked.withColumn("_pieces", pieces("_passage"))
     inner = F.array_distinct(F.filter(F.slice("_pieces", 2, F.greatest(F.size("_pieces") - 2, F.lit(0))), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    asked = written(asked.select("_item", "_passage", "_pieces", inner.alias("_inner")), "passages")
-    held = plain.select("_key", F.explode(F.array_distinct(pieces("_text"))).alias("piece"))
-    words = asked.select("_item", F.explode("_inner").alias("piece"))
-    longest = F.array_max(F.transform("_pieces", lambda x: F.struct(F.length(x).alias("n"), x.alias("piece"))))["piece"]
-    short = written(asked.where("size(_inner) = 0").select("_item", longest.alias("token")), "short-passages")
-    if short.isEmpty():
-        wider = words.limit(0)
-    else:
-        vocabulary = written(held.select("piece").distinct().withColumn("word", F.col("piece")), "pieces")
-        wider = substring_pairs(vocabulary, "word", "piece", short).withColumnRenamed("key", "piece").join(short, "token").select("_item", "piece")
-    found = written(held.join(words.unionByName(wider).select("piece").distinct(), "piece"), "held")
-    df = found.groupBy("piece").agg(F.count("*").alias("n"))
-    rarest = words.join(df, "piece", "left").groupBy("_item").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("piece"))
-    met = found.join(rarest.unionByName(wider), "piece").select("_item", "_key").distinct()
-    exact = met.join(plain, "_key").join(asked.select("_item", "_passage"), "_item").where(F.col("_text").contains(F.col("_passage")))
-    return exact.select(F.col("_item").alias(passage_key), F.col("_key").alias(key))
+    cut = written(cut.select("_asked", "_passage", inner.alias("_inner")), "cut-passages")
+    words, short = cut.select("_asked", F.explode("_inner").alias("piece")), cut.where("size(_inner) = 0")
+    met = []
+    if not words.isEmpty():
+        held = plain.select("_key", F.explode(F.array_distinct(pieces("_text"))).alias("piece"))
+        found = written(held.join(words.select("piece").distinct(), "piece"), "held")
+        df = found.groupBy("piece").agg(F.count("*").alias("n"))
+        rarest = words.join(df, "piece", "left").groupBy("_asked").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("piece"))
+        met.append(found.join(rarest, "piece").select("_asked", "_key"))
+    if not met or not short.isEmpty():
+        met.append(_met_by_runs(plain, short))
+    exact = _containing(plain, asked, met[0] if len(met) == 1 else met[0].unionByName(met[1]))
+    return exact.join(rows.join(asked, "_passage").select("_item", "_asked"), "_asked").select(F.col("_item").alias(passage_key), F.col("_key").alias(key))
 
 
 # --- near strings: segments ------------------------------------------------------------------------------

@@ -56,6 +56,37 @@ def test_passages(spark, texts):
     assert sorted(found) == sorted((i, k) for i, p in asked if p and i is not None for k, t in texts if t and p in t)
 
 
+def test_short_passages_do_not_deal_the_words(spark):
+    def shuffled(above: int = -1) -> tuple[int, int]:
+        """The last stage's number, and the records that stages above one have shuffled."""
+        context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+        context.listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+        stages = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+        told = [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteRecords()) for i in range(stages.size())]
+        return max((i for i, _ in told), default=-1), sum(n for i, n in told if i > above)
+
+    texts = [(i, " ".join(f"w{i}x{k}y{k * i % 7}" for k in range(300))) for i in range(60)]
+    asked = [(i, p) for i, p in enumerate(["w1", "x2", "y3 w", "0 ", "w5x10y", "zz"] * 5)]
+    rows, passages = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "item long, passage string")
+    last, _ = shuffled()
+    found = sorted(tuple(r) for r in search.passage_pairs(rows, "id", "text", passages, "item", "passage").collect())
+    _, records = shuffled(last)
+    assert found == sorted((i, k) for i, p in asked for k, t in texts if p in t)
+    assert records < 3000  # the texts hold 18000 words
+
+
+def test_passages_repeated(spark, texts, monkeypatch):
+    monkeypatch.setattr(search, "PASSAGES_AT_ONCE", 3)
+    texts = [*texts, (0, "other \U0001f600 b"), (300, "\u6f22"), (301, "\ub22b\xe9"), (302, "\x7f\x00\u0800"), (303, ""), (304, "a")]
+    asked = [(i, p) for i, p in enumerate(["a", "\xe9", "\u6f22", "\x00", " b", "c a", "\U0001f600", "\U0001f600 b", "\u6f22\xe9", "ab", "-\u6f22", "q", "a\n\nb\tc", "other \U0001f600 b"] * 2)] + [(None, "a"), (1, "a"), (1, "a")]
+    rows, passages = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "item long, passage string")
+    found = [tuple(r) for r in search.passage_pairs(rows, "id", "text", passages, "item", "passage").collect()]
+    want = [(i, k) for i, p in asked for k, t in texts if t and p in t]
+    order = lambda pair: (pair[0] is None, pair[0] or 0, pair[1])
+    assert sorted(found, key=order) == sorted(want, key=order)
+
+
 @pytest.mark.parametrize("ratio", [0.92, 0.8, 0.6])
 def test_near_pairs(spark, ratio):
     draw = random.Random(4)
