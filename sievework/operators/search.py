@@ -6,14 +6,16 @@ those of testing every pair, and no pair of texts that share nothing is ever mad
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..sources.shared import written
 
@@ -213,53 +215,111 @@ def passage_pairs(docs: DataFrame, key: str, text: str, passages: DataFrame, pas
 # --- near strings: segments ------------------------------------------------------------------------------
 
 
+#: Bits of the map of hashes that substrings are held against, and hashes that one numpy pass makes (about).
+MAP_BITS, HASHES_AT_ONCE = 26, 1 << 20
+_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _edits(n: int, ratio: float) -> tuple[int, int]:
+    """The longest partner of a text of n characters, and the edits between two that long."""
+    longest = int(n / ratio + 1e-9)
+    return longest, int((1 - ratio) * longest + 1e-9)
+
+
+@lru_cache(maxsize=4096)
+def _places(size: int, n: int, ratio: float, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and number of the segments of a text of n characters (own), or of all substrings of one of `size` that could be them."""
+    edits = _edits(n, ratio)[1]
+    t = min(edits, n - 1)
+    i = np.arange(t + 1)
+    at = n * i // (t + 1)
+    width = n * (i + 1) // (t + 1) - at
+    if own:
+        return at, at + width, i
+    # Every edit may be needed to the left of the segment or to the right of it; texts shorter than t + 1 segments may spend all.
+    spare, delta = edits - t, size - n
+    low = np.maximum(np.maximum(at - i - spare, at + delta - (t - i) - spare), 0)
+    high = np.minimum(np.minimum(at + i + spare, at + delta + (t - i) + spare), size - width)
+    many = np.maximum(high - low + 1, 0)
+    begin = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return begin, begin + np.repeat(width, many), np.repeat(i, many)
+
+
+def _segment_keys(texts: DataFrame, key: str, text: str, ratio: float, known: DataFrame | None = None) -> DataFrame:
+    """(key, h): hashes of (length, number, segment) of each text; with known hashes, of the substrings that could be a partner's segments, as far as a map of
+    the known ones (8 MB) has them."""
+    maps = None
+    if known is not None:
+        slots = known.select((F.shiftrightunsigned("h", 64 - MAP_BITS) + 1).alias("slot"))
+        maps = [tuple(r) for r in slots.groupBy(F.bitmap_bucket_number("slot").alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        if maps is not None:
+            held = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
+            for i, bits in maps:
+                held[(i - 1) * BITMAP_BITS // 8 : i * BITMAP_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
+        odd = [np.uint64(x) for x in _ODD]
+        back = np.uint64(pow(_ODD[0], -1, 1 << 64))
+        for batch in batches:
+            codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in batch.column(text).to_pylist()]
+            sizes = np.array([len(c) for c in codes])
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                up, down = (np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, x, dtype=np.uint64)]), dtype=np.uint64) for x in (odd[0], back))
+                lengths = [size] if held is None else range(max(math.ceil(size * ratio - 1e-9), 1), _edits(size, ratio)[0] + 1)
+                step = max(1, HASHES_AT_ONCE // (size + 1))
+                for first in range(0, len(rows), step):
+                    some = rows[first : first + step]
+                    sums = np.zeros((len(some), size + 1), dtype=np.uint64)
+                    np.cumsum((np.stack([codes[r] for r in some]).astype(np.uint64) + np.uint64(1)) * odd[1] * up[:size], axis=1, out=sums[:, 1:])
+                    for n in lengths:
+                        begin, end, number = _places(size, n, ratio, held is None)
+                        salt = (number.astype(np.uint64) * odd[1] + np.uint64(n)) * odd[2]
+                        wide = max(1, HASHES_AT_ONCE // max(len(begin), 1))
+                        for low in range(0, len(some), wide):
+                            h = (sums[low : low + wide][:, end] - sums[low : low + wide][:, begin]) * down[begin] + salt
+                            h = (h ^ (h >> np.uint64(29))) * odd[2]
+                            h ^= h >> np.uint64(32)
+                            h *= odd[1]
+                            row, at = np.nonzero(np.ones(h.shape, dtype=bool) if held is None else _known(h, held))
+                            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(some[low + row])), pa.array(h[row, at].view(np.int64))], names=[key, "h"])
+
+    return texts.select(key, text).mapInArrow(run, StructType([texts.schema[key], StructField("h", LongType())]))
+
+
+def _known(h: np.ndarray, held: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - MAP_BITS)
+    return (held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def near_pairs(left: DataFrame, left_key: str, left_text: str, right: DataFrame, right_key: str, right_text: str, ratio: float = 0.92) -> DataFrame:
     """(left key, right key, ratio) of the texts whose Levenshtein ratio is at least `ratio` (0.5 at least).
 
     A pair of that ratio is at most t edits apart, t being (1 - ratio) of the longer length. So cut into t + 1
     segments, one segment of the right text stands unchanged in the left one, shifted by no more than the edits
-    left to either side of it. Right texts are keyed by (length, number, segment); left texts by the
-    substrings that could be that segment, for every length that a partner may have. Empty and null texts have no
-    pairs. Keys are joined by equality; every pair found is measured exactly. Texts meet once, however many rows
+    left to either side of it. Right texts are keyed by a hash of (length, number, segment); left texts by those of the
+    substrings that could be that segment, for every length that a partner may have, as far as a bitmap of the right texts' hashes knows them. Empty and null texts have no
+    pairs. Keys are joined by equality; every pair found is measured exactly, so hashes only save work. Texts meet once, however many rows
     have them: rows come back to the pairs of different texts at the end.
     """
     if not 0.5 <= ratio < 1:
         raise ValueError("ratio from 0.5 to below 1")
-    whole = lambda x: F.floor(x + 1e-9).cast("int")
-    longest = lambda n: whole(n / ratio)  # noqa: E731  the longest partner of a text of n characters
-    edits = lambda n: whole((1 - ratio) * longest(n))
-    begin = lambda n, parts, i: F.floor(n * i / parts).cast("int")
-
     def keyed(df: DataFrame, key: str, text: str, names: tuple[str, str]) -> DataFrame:
         return df.select(F.col(key).alias(names[0]), F.col(text).alias(names[1])).where(f"{names[1]} != ''")
 
     rows_a, rows_b = keyed(left, left_key, left_text, ("_a", "_x")), keyed(right, right_key, right_text, ("_b", "_y"))
     texts = lambda df, text, name: written(df.select(text).distinct().withColumn(name, F.monotonically_increasing_id()), "near-texts")
     a, b = texts(rows_a, "_x", "_i"), texts(rows_b, "_y", "_j")
-    n = F.length("_y")
-    numbers = F.sequence(F.lit(0), F.least(edits(n), n - 1))
-    cut = b.select("_j", n.alias("n"), "_y", F.explode(numbers).alias("i"))
-    parts = F.least(edits(F.col("n")), F.col("n") - 1) + 1
-    segment = F.substr("_y", begin(F.col("n"), parts, F.col("i")) + 1, begin(F.col("n"), parts, F.col("i") + 1) - begin(F.col("n"), parts, F.col("i")))
-    keys = cut.select("_j", F.col("n"), F.col("i"), segment.alias("s"))
-
-    lengths = F.sequence(F.greatest(F.ceil(F.length("_x") * ratio - 1e-9).cast("int"), F.lit(1)), longest(F.length("_x")))
     # Few bytes of text make very many substrings: as many tasks as there may be.
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide = a.repartition(tasks, "_i").select("_i", "_x", F.explode(lengths).alias("n"))
-    wide = wide.join(b.select(n.alias("n")).distinct(), "n")  # lengths that there are
-    t = F.least(edits(F.col("n")), F.col("n") - 1)
-    tried = wide.select("_i", "_x", "n", t.alias("t"), F.explode(F.sequence(F.lit(0), t)).alias("i"))
-    at = begin(F.col("n"), F.col("t") + 1, F.col("i"))
-    width, delta = begin(F.col("n"), F.col("t") + 1, F.col("i") + 1) - at, F.length("_x") - F.col("n")
-    # Every edit may be needed to the left of the segment or to the right of it; texts shorter than t + 1 segments may spend all.
-    spare = edits(F.col("n")) - F.col("t")
-    low = F.greatest(at - F.col("i") - spare, at + delta - (F.col("t") - F.col("i")) - spare, F.lit(0))
-    high = F.least(at + F.col("i") + spare, at + delta + (F.col("t") - F.col("i")) + spare, F.length("_x") - width)
-    places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    asked = tried.select("_i", "n", "i", "_x", width.alias("w"), F.explode(places).alias("p")).select("_i", "n", "i", F.substr("_x", F.col("p") + 1, F.col("w")).alias("s"))
-    met = asked.join(keys, ["n", "i", "s"]).select("_i", "_j").distinct()
+    spread = lambda df, *key: df.repartition(tasks, *key)
+    keys = written(_segment_keys(spread(b, "_j"), "_j", "_y", ratio), "near-keys")
+    asked = _segment_keys(spread(a, "_i"), "_i", "_x", ratio, keys)
+    met = spread(spread(asked, "h").join(spread(keys, "h"), "h").select("_i", "_j"), "_i", "_j").distinct()
     told = met.join(a, "_i").join(b, "_j")
     most = F.greatest(F.length("_x"), F.length("_y"))
-    found = told.withColumn("ratio", 1 - F.levenshtein("_x", "_y") / most).where(F.col("ratio") >= ratio - 1e-12)
+    # Beyond the edits that the ratio leaves, distances are not worked out: -1.
+    edits = F.call_function("levenshtein", F.col("_x"), F.col("_y"), F.floor(most * (1 - ratio) + 1e-6).cast("int") + 1)
+    found = told.withColumn("edits", edits).where("edits >= 0").withColumn("ratio", 1 - F.col("edits") / most).where(F.col("ratio") >= ratio - 1e-12).drop("edits")
     return found.drop("_i", "_j").join(rows_a, "_x").join(rows_b, "_y").select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), "ratio")

@@ -120,3 +120,15 @@ def test_near_pairs_of_copies_meet_once(spark):
     found = search.near_pairs(rows, "id", "t", rows.selectExpr("id AS other", "t"), "other", "t")
     assert found.count() == 3600 and found.distinct().count() == 3600
     assert any("near-texts" in f for f in found.inputFiles())
+
+
+def test_near_pairs_make_few_substrings(spark):
+    """Substrings that no partner has as a segment are told by a map of hashes and never dealt."""
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abcdefgh ") for _ in range(110)) for _ in range(40)]
+    left, right = spark.createDataFrame(list(enumerate(texts)), "i long, x string"), spark.createDataFrame([(i, t[:50] + "#" + t[51:]) for i, t in enumerate(texts)], "j long, y string")
+    keys = search._segment_keys(right, "j", "y", 0.92)
+    assert keys.count() == 40 * 10
+    assert 40 * 9 <= search._segment_keys(left, "i", "x", 0.92, keys).count() < 40 * 30
+    found = search.near_pairs(left, "i", "x", right, "j", "y", 0.92).collect()
+    assert sorted((r["i"], r["j"]) for r in found) == [(i, i) for i in range(40)] and {round(r["ratio"], 6) for r in found} == {round(1 - 1 / 110, 6)}
